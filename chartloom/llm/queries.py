@@ -5,12 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 0
+
+
+def _file(name: str) -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.sharding import histogram_shards
+
+    return histogram_shards(table(spark, sf_dir, "documents"), 40)
+
+
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.fertility import fertility_verdicts
+
+    return fertility_verdicts(table(spark, sf_dir, "documents"), _file("piece_bpe_32k.model"), _file("byte_bpe_multi_50k.tiktoken"))
+
+
+def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.contamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    index = fit(docs, table(spark, sf_dir, "labels").where(~held_out(5)))
+    return score(docs, index).select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.bpe import encode_documents, vocabulary_bytes
 
@@ -18,6 +56,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_histogram_shards": op3_histogram_shards,
+    "op4_fertility": op4_fertility,
+    "op6_contamination": op6_contamination,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
 }
 ORACLES: dict[str, str] = {}
