@@ -6,6 +6,7 @@ worker's temporaries stay bounded by the chunk size or by one text, whichever is
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -36,6 +37,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: later plans start from the files, whoever is lost."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # lets the driver drop the shuffle files of the finished job
     out = spark.read.schema(df.schema).parquet(path)
     out._chartloom_path = path
     return out

@@ -23,6 +23,12 @@ def _file(name: str) -> bytes:
         return f.read()
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.linededup import dedup_line_chunks
+
+    return dedup_line_chunks(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.sharding import histogram_shards
 
@@ -35,6 +41,14 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_verdicts(table(spark, sf_dir, "documents"), _file("piece_bpe_32k.model"), _file("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm import common, warc
+
+    path = common.fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.contamination import leaks
 
@@ -56,8 +70,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_fertility": op4_fertility,
+    "op5_warc": op5_warc,
     "op6_contamination": op6_contamination,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
