@@ -23,6 +23,12 @@ def _file(name: str) -> bytes:
         return f.read()
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.suffixtree import suffix_tree_scores
+
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.linededup import dedup_line_chunks
 
@@ -70,6 +76,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_line_dedup": op2_line_dedup,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_fertility": op4_fertility,
