@@ -28,9 +28,10 @@ def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def unplanes(raw: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).reshape(-1)
+def unplanes(raw: bytes, dtype, columns: int = 1) -> np.ndarray:
+    width = np.dtype(dtype).itemsize * columns
+    out = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype)
+    return out.reshape(-1, columns) if columns > 1 else out.reshape(-1)
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -66,7 +67,7 @@ def answered(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, np.ndar
         keys = [unplanes(k, "<u8") for k in table.column("keys").to_pylist()]
         sizes = [len(k) for k in keys]
         flat = np.concatenate(keys)
-        vals = np.concatenate([unplanes(v, dtype).reshape(len(k), width) if width > 1 else unplanes(v, dtype) for v, k in zip(table.column("vals").to_pylist(), keys)])
+        vals = np.concatenate([unplanes(v, dtype, width) for v in table.column("vals").to_pylist()])
         unique, group = np.unique(flat, return_inverse=True)
         answer = reduce(group, len(unique), vals)
         at = np.concatenate([[0], np.cumsum(sizes)])

@@ -75,6 +75,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_bytes())
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.suffixdedup import repeated_strings
+
+    return repeated_strings(table(spark, sf_dir, "documents"), length=200, keep="none")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_line_dedup": op2_line_dedup,
@@ -84,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_contamination": op6_contamination,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
