@@ -35,7 +35,7 @@ _WHITE = r"\t-\r \x85\xa0  -     　"
 _ODD = regex.compile(r"[\x1c-\x1f]")
 _WORDS = regex.compile(f"[^{_WHITE}]+")
 #: A stream's chunk may end inside a pre-token; a run this long is fed to the machine in pieces.
-CACHE = 250_000
+CACHE = 400_000
 
 
 class Vocabulary:
@@ -53,6 +53,8 @@ class Vocabulary:
         self.pieces = regex.compile(pattern.replace(r"\s", _WHITE))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.has_decoder = spec.get("decoder") is not None
+        bodies = [t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in self.vocab]
+        self.begins = {b[:i] for b in bodies for i in range(1, len(b) + 1)}
         self.longest = max(len(self._symbols_of(t)) for t in self.vocab)
         self.pair_of = {a + b: (a, b) for a, b in reversed(self.ranks)}  # of several merges to one token the first counts
         self._right: dict[str, list] = {}
@@ -186,22 +188,26 @@ class Transducer:
 
 def run_short(v: Vocabulary, text: str) -> list[str] | None:
     """The same machine over a whole pre-token that is shorter than the window, where nothing leaves early."""
-    n, longest, vocab, fits, known_fits, suffix = len(text), v.longest, v.vocab, v.fits, v._fits, v.suffix
-    known_whole = v._whole
+    n, vocab, fits, suffix, begins = len(text), v.vocab, v.fits, v.suffix, v.begins
+    known_fits, known_whole = v._fits, v._whole
     last: list[str | None] = [None] * (n + 1)
     begin = [0] * (n + 1)
-    for j in range(1, n + 1):
-        tail = suffix if j == n else ""
-        for i in range(max(0, j - longest), j):
-            left = last[i]
-            if left is None and i:
+    for i in range(n):
+        left = last[i]
+        if left is None and i:
+            continue
+        for j in range(i + 1, n + 1):
+            token = text[i:j]
+            if token not in begins:
+                break
+            if last[j] is not None:  # by an earlier start: one token alone can end here
                 continue
-            token = text[i:j] + tail
+            if j == n:
+                token += suffix
             if token in vocab and (token in known_whole and known_whole[token] or v.whole(token)):
                 if i and not ((left, token) in known_fits and known_fits[left, token] or fits(left, token)):
                     continue
                 last[j], begin[j] = token, i
-                break
     if last[n] is None:
         return None
     out, j = [], n
@@ -211,12 +217,32 @@ def run_short(v: Vocabulary, text: str) -> list[str] | None:
     return out[::-1]
 
 
+class Memory(dict):
+    """A bounded memo of two generations: what is asked for stays, what isn't goes when both are full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.machine = Transducer(vocabulary)
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.known_pieces: dict[str, tuple[int, str, str]] = {}
+        self.known = Memory(CACHE)
+        self.known_pieces = Memory(CACHE)
 
     def piece(self, text: str) -> list[str]:
         symbols = [BYTE_CHAR[b] for b in text.encode("utf-8", "surrogatepass")]
@@ -234,14 +260,12 @@ class Encoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         vocab, known = self.v.vocab, self.known_pieces
         for piece in self.v.pieces.findall(text.lower()):
-            out = known.get(piece)
+            out = known[piece]
             if out is None:
                 found = self.piece(piece)
                 out = len(found), " ".join([str(vocab[t]) for t in found]), " ".join(found)
                 if len(piece) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[piece] = out
+                    known.keep(piece, out)
             yield out
 
     def parts(self, text: str) -> Iterator[tuple[int, str, str]]:
@@ -258,16 +282,14 @@ class Encoder:
         found = list(self.parts(word))
         out = found[0] if len(found) == 1 else (sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found]))
         if len(word) <= 64:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = out
+            self.known.keep(word, out)
         return out
 
     def document(self, text: str) -> tuple[int, str, str]:
         """(tokens, ids joined by spaces, decoded text)."""
         known, word = self.known, self.word
         words = _WORDS.findall(text) if _ODD.search(text) else text.split()
-        got = [known.get(w) or word(w) for w in words]
+        got = [known[w] or word(w) for w in words]
         return sum(g[0] for g in got), " ".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got if g[0]])
 
 
@@ -308,7 +330,7 @@ class Decoder:
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-TEXT_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
+IDS_SCHEMA = SCHEMA + ", ids array<int>"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -319,8 +341,8 @@ def _encoder(source: bytes) -> Encoder:
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, vocabulary: bytes, digests: bool = True) -> DataFrame:
-    """Each row of docs (doc_id, text) encoded and decoded: digests, or the ids and the decoded text."""
+def encode_documents(docs: DataFrame, vocabulary: bytes, ids: bool = False) -> DataFrame:
+    """Each row of docs (doc_id, text) encoded and decoded: token count, digests, and the ids if asked for."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: a fixed few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,15 +352,12 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, digests: bool = True) -
                 part = batch.slice(lo, 500)
                 got = [encoder.document(t.as_py() or "") for t in part.column("text")]
                 out = [part.column("doc_id").cast(pa.int64()), pa.array([g[0] for g in got], pa.int64())]
-                if digests:
-                    out += [pa.array([hashlib.sha256(g[k].encode("utf-8", "surrogatepass")).hexdigest() for g in got], pa.string()) for k in (1, 2)]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    out += [pa.array([[int(i) for i in g[1].split()] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
-                    names = ["doc_id", "n_tokens", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA if digests else TEXT_SCHEMA)
+                out += [pa.array([hashlib.sha256(g[k].encode("utf-8", "surrogatepass")).hexdigest() for g in got], pa.string()) for k in (1, 2)]
+                if ids:
+                    out.append(pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, IDS_SCHEMA if ids else SCHEMA)
 
 
 def vocabulary_bytes(path: str | None = None) -> bytes:

@@ -44,6 +44,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """stored(), bucketed by a key: later joins on it leave these rows where they are. Registers a table."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    table = f"chartloom_{path.rsplit('/', 1)[1].replace('-', '_')}"
+    df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(table)
+    gc.collect()
+    spark._jvm.System.gc()
+    out = spark.table(table)
+    out._chartloom_path = path
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Deletes what stored() wrote; for tables that no later plan reads."""
     path = getattr(df, "_chartloom_path", None)
@@ -129,11 +141,10 @@ _powers: dict[str, np.ndarray] = {}
 def _pow(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1) if n <= CHUNK_BYTES + 1 else n
-        have = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
+        have = np.full(((n >> 20) + 1) << 20, _BASE if kind == "up" else _INVERSE, np.uint64)
         have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if size <= CHUNK_BYTES + 1:
+        np.cumprod(have, out=have)
+        if n <= CHUNK_BYTES + 1:
             _powers[kind] = have
     return have[:n]
 

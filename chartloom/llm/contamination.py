@@ -150,41 +150,65 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, "item_id long, sets binary, n long")
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, miss: float = 1e-6) -> DataFrame:
-    """A row (doc_id, item_id, n_shared, n_item, containment) for each document that holds at least
-    `threshold` of an item's shingles."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The items' shingles in blocks of bounded size: (ids, shingles, starts) of each."""
     sized = c.stored(item_shingles(items), "items")
     total = sized.agg(F.sum("n")).first()[0] or 0
     n_blocks = max(1, math.ceil(total / (BLOCK_SHINGLES // 2)))
-    parts = [_search(docs, sized.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b), threshold, miss) for b in range(n_blocks)]
-    return reduce(DataFrame.unionByName, parts) if total else spark.createDataFrame([], SCHEMA)
+    for b in range(n_blocks):
+        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).select("item_id", "sets").toArrow()  # some BLOCK_SHINGLES numbers
+        sets = [np.frombuffer(s, "<u8") for s in rows.column("sets").to_pylist()]
+        if sets:
+            yield rows.column("item_id").to_numpy(), np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+
+
+def _verified(index: Items, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, shared shingles) of each leak in a run of texts."""
+    rows, starts, h = _reduced(buf, off, index.universe)
+    if not len(rows):
+        return rows, rows, rows
+    pairs = index.candidates(h, starts)
+    shared = index.verify(pairs, h, starts)
+    who, item = pairs // len(index.ids), pairs % len(index.ids)
+    ok = shared >= index.threshold * index.sizes[item] - 1e-9
+    return rows[who[ok]], item[ok], shared[ok]
 
 
-def _search(docs: DataFrame, block: DataFrame, threshold: float, miss: float) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, miss: float = 1e-6) -> DataFrame:
+    """A row (doc_id, item_id, n_shared, n_item, containment) for each document that holds at least
+    `threshold` of an item's shingles."""
     spark = docs.sparkSession
-    rows = block.select("item_id", "sets").toArrow()  # at most BLOCK_SHINGLES shingles of eight bytes
-    sets = [np.frombuffer(s, "<u8") for s in rows.column("sets").to_pylist()]
-    if not sets:
-        return spark.createDataFrame([], SCHEMA)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    shipped = spark.sparkContext.broadcast((rows.column("item_id").to_numpy(), np.concatenate(sets), starts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(*shipped.value, threshold, miss)
-        for batch in batches:
-            for part, buf, off in c.chunks(batch):
-                rows, starts, h = _reduced(buf, off, index.universe)
-                if not len(rows):
-                    continue
-                pairs = index.candidates(h, starts)
-                shared = index.verify(pairs, h, starts)
-                who, item = pairs // len(index.ids), pairs % len(index.ids)
-                ok = shared >= threshold * index.sizes[item] - 1e-9
-                who, item, shared = who[ok], item[ok], shared[ok]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()).take(pa.array(rows[who])), pa.array(index.ids[item], pa.int64()), pa.array(shared), pa.array(index.sizes[item]), pa.array(shared / index.sizes[item])],
-                    names=["doc_id", "item_id", "n_shared", "n_item", "containment"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    def search(block: tuple) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Items(*shipped.value, threshold, miss)
+            for batch in batches:
+                for part, buf, off in c.chunks(batch):
+                    row, item, shared = _verified(index, buf, off)
+                    n = index.sizes[item]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(row, pa.int64())), pa.array(index.ids[item], pa.int64()), pa.array(shared, pa.int64()), pa.array(n, pa.int64()), pa.array(shared / n, pa.float64())], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+    return reduce(DataFrame.unionByName, map(search, _blocks(items)), spark.createDataFrame([], SCHEMA))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, miss: float = 1e-6) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+
+    def clean(docs: DataFrame, block: tuple) -> DataFrame:
+        shipped = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Items(*shipped.value, threshold, miss)
+            for batch in batches:
+                for part, buf, off in c.chunks(batch):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[_verified(index, buf, off)[0]] = False
+                    yield part.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return reduce(clean, _blocks(items), docs)

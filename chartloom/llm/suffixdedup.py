@@ -42,6 +42,8 @@ BLOCKS = "block long, ids array<long>, offsets binary, data binary, n_bytes long
 SEGMENTS = "bucket int, block long, keys binary, lens binary, asks binary, starts binary, data binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 TEXT_RESULT = RESULT + ", kept binary"
+#: Marking a block takes some 100 bytes of working memory a byte.
+BLOCK_BYTES = 2 << 20
 PLACE = 28  # bits of a position within a block
 REPEATED, SEND, ASK, HOT, FIRST = 1, 2, 4, 8, 16
 
@@ -50,22 +52,22 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, buf, off in c.chunks(batch):
+            for part, buf, off in c.chunks(batch, limit=BLOCK_BYTES):
                 one = lambda v, kind: pa.array([v], kind)
                 ids = part.column("doc_id").cast(pa.int64()).to_pylist()
                 yield pa.RecordBatch.from_arrays([one(task << 32 | k, pa.int64()), one(ids, pa.list_(pa.int64())), one(off.astype("<i8").tobytes(), pa.binary()), one(buf.tobytes(), pa.binary()), one(len(buf), pa.int64())], names=["block", "ids", "offsets", "data", "n_bytes"])
                 k += 1
 
-    return c.stored(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "text-blocks")
+    return c.stored_by(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "block", "text-blocks")
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     """The least of every w consecutive values."""
     n = len(v)
     rows = np.concatenate([v, np.full(-n % w + w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)[: n - w + 1]
+    np.minimum.accumulate(rows, axis=1, out=rows)
+    return np.minimum(back, rows.reshape(-1)[w - 1 : n])
 
 
 class Block:
@@ -85,6 +87,7 @@ class Block:
             gram = c.range_hash(self.prefix, at, at + GRAM)
             packed = (gram >> np.uint64(PLACE) << np.uint64(PLACE)) | at.astype(np.uint64)
             anchor = (sliding_min(packed, w) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+            del packed
             ok = np.zeros(len(anchor) + 1, np.int64)  # windows that lie in one row
             sizes = np.diff(self.off)
             long = sizes >= self.length

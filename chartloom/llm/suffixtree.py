@@ -69,7 +69,7 @@ def token_blocks(docs: DataFrame, modulus: int) -> DataFrame:
                 )
                 k += 1
 
-    return c.stored(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "token-blocks")
+    return c.stored_by(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "block", "token-blocks")
 
 
 class Settings:

@@ -214,3 +214,19 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(own[of]), pa.array([why[i] for i in of], kind)], names=["doc_id", "score", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is under `threshold`, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shipped.value
+        for batch in batches:
+            for part, buf, off in c.chunks(batch):
+                x, of = index.vectors(buf, off)
+                at, cos = index.nearest(x) if len(x) and len(index.ids) else (np.full((len(x), index.k), -1), np.zeros((len(x), index.k)))
+                own = np.concatenate([index.scores(index.votes(at, cos)) if len(x) else [], index.scores(np.array([index.prior]))])
+                yield part.filter(pa.array(own[of] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

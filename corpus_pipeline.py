@@ -1,11 +1,66 @@
-"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, BPE."""
+"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of
+documents; the last returns token counts, digests and token ids. Rows of null text pass the filters and
+encode to no tokens; of rows equal in id and text one stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chartloom.llm import bpe, common, contamination, jaccardjoin, linededup, toxicity
+from chartloom.llm.queries import held_out, importable, table
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out(5)))
+    return toxicity.without_toxic(docs, index)
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks go from the texts; n_chars follows the text."""
+    importable(spark)
+    out = linededup.dedup_line_chunks(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that Jaccard links connect, the one of the least id stays."""
+    importable(spark)
+    kept = jaccardjoin.jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return contamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as tokens."""
+    importable(spark)
+    return bpe.encode_documents(docs, bpe.vocabulary_bytes(), ids=True)
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("line dedup", lines_once),
+    ("n-gram Jaccard join", one_of_each_class),
+    ("benchmark decontamination", benchmark_out),
+    ("BPE encoding and decoding", encoded),
+]
+#: The stages are learned models, hashes and a tokeniser: no SQL gives their rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each one's rows written before the next reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
