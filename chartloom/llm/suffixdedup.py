@@ -43,7 +43,7 @@ SEGMENTS = "bucket int, block long, keys binary, lens binary, asks binary, start
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 TEXT_RESULT = RESULT + ", kept binary"
 #: Marking a block takes some 100 bytes of working memory a byte.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PLACE = 28  # bits of a position within a block
 REPEATED, SEND, ASK, HOT, FIRST = 1, 2, 4, 8, 16
 
@@ -250,7 +250,7 @@ def repeated_strings(docs: DataFrame, length: int = 200, keep: str = "first", te
         raise ValueError("keep is 'first' or 'none'; length is at least 40")
     keep_first, width = keep == "first", -(-(length - GRAM + 1) // 8)
     blocks = text_blocks(docs)
-    buckets = x.n_buckets(docs.sparkSession, blocks.agg(F.sum("n_bytes")).first()[0] or 0)
+    buckets = x.n_buckets(docs.sparkSession, 4 * (blocks.agg(F.sum("n_bytes")).first()[0] or 0))
 
     def over(ask, schema: str, **replies) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

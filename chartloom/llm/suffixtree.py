@@ -10,7 +10,8 @@ one. A text's score uses, word by word and for its end, the longest retained suf
 
 Counts are gathered by hash across blocks (exchange.py) in five rounds: words; pairs and states of one
 word; triples and states of two. Nothing is sampled or capped, and the tables grow with the corpus.
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, entries by
+as many bits as let less than one in 2**20 share its hash with another.
 
 Edge cases: null and empty texts are a single end token; null ids are training rows; repeated rows are
 counted and scored each; if no row is for training, N and V are 0, no word is known and every token has
@@ -36,6 +37,7 @@ PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCKS = "block long, ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary, n_tokens long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ALPHA = 0.1
+BLOCK_BYTES = 5 << 19
 KNOWN = np.uint32(0x7FFFFFFF)
 OWNED = np.uint32(0x80000000)
 
@@ -46,7 +48,7 @@ def token_blocks(docs: DataFrame, modulus: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, buf, off in c.chunks(batch):
+            for part, buf, off in c.chunks(batch, limit=BLOCK_BYTES):
                 low = c.LOWER[buf]
                 s, e, row = c.spans(~c.SPACE[low], off)
                 n = part.num_rows
@@ -76,32 +78,40 @@ class Settings:
     def __init__(self, min_count: int, gain: float, divergence: float, discount: float, buckets: int):
         self.min_count, self.gain, self.divergence, self.discount, self.buckets = min_count, gain, divergence, discount, buckets
         self.total = self.distinct = 0
+        self.mask = np.uint64(2**64 - 1)
+
+    def narrow(self, tokens: int) -> None:
+        """Entry hashes keep the bits that tell `tokens` entries apart; the rest is zero and compresses away."""
+        bits = min(64, 8 * -(-(max(tokens, 2).bit_length() + 20) // 8))
+        self.mask = np.uint64(2**64 - 2 ** (64 - bits))
 
 
 class Level:
     """A block's entries (context, next word) of one context length, in the order of their hashes."""
 
-    def __init__(self, context: np.ndarray, hashes: np.ndarray, seen: np.ndarray, token: np.ndarray, words: np.ndarray, salt: np.uint64):
-        """context: of each position, a position in `hashes` (the contexts) or -1; seen: counts of the contexts."""
+    def __init__(self, context: np.ndarray, often: np.ndarray, hashes: np.ndarray, seen: np.ndarray, token: np.ndarray, words: np.ndarray, salt: np.uint64, mask: np.uint64):
+        """context: of each position, a position in `hashes` (the contexts) or -1; seen: counts of the contexts;
+        often: whether what follows can be an entry, its shorter form having been seen twice."""
         self.at = np.flatnonzero(context >= 0)
-        pair, inverse = np.unique(context[self.at].astype(np.int64) * len(words) + token[self.at], return_inverse=True)
+        listed = np.flatnonzero((context >= 0) & often)
+        pair, inverse = np.unique(context[listed].astype(np.int64) * len(words) + token[listed], return_inverse=True)
         ctx, word = pair // max(len(words), 1), pair % max(len(words), 1)
-        keys = c.mix(hashes[ctx] * salt + words[word])
-        order = np.argsort(keys, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.keys, self.ctx, self.word = keys[order], ctx[order], word[order]
+        keys, merged = np.unique(c.mix(hashes[ctx] * salt + words[word]) & mask, return_inverse=True)
+        self.keys, self.ctx, self.word = keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        self.ctx[merged], self.word[merged] = ctx, word
         self.of = np.full(len(context), -1)
-        self.of[self.at] = rank[inverse]
+        self.of[listed] = merged[inverse]
+        self.example = np.zeros(len(keys), np.int64)  # a position of each entry
+        self.example[self.of[listed]] = listed
         self.hashes, self.seen, self.context = hashes, seen, context
 
     def local(self, train: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of[self.at][train[self.at]], minlength=len(self.keys)).astype(np.uint32)
+        return np.bincount(self.of[(self.of >= 0) & train], minlength=len(self.keys)).astype(np.uint32)
 
     def states_asked(self) -> np.ndarray:
-        """Positions of the contexts with entries, in the order of their hashes."""
-        used = np.unique(self.ctx)
-        return used[np.argsort(self.hashes[used], kind="stable")]
+        """Positions of the contexts in the order of their hashes; of equal hashes the first."""
+        used = np.unique(self.context[self.at])
+        return used[np.unique(self.hashes[used], return_index=True)[1]]
 
 
 class Block:
@@ -135,7 +145,7 @@ class Block:
         whole = s.total + ALPHA * (s.distinct + 1)
         self.root = ((self.count[:-1] + ALPHA) / whole)[self.token] if s.total else np.ones(len(self.token))
         context = np.where(self.count[self.prev] >= s.min_count, self.prev, -1)
-        self.one = Level(context, self.hashes, self.count, self.token, self.words, PAIR)
+        self.one = Level(context, self.count[self.token] >= 2, self.hashes, self.count, self.token, self.words, PAIR, s.mask)
 
     def _entries(self, level: Level, got: str) -> np.ndarray:
         return (x.gathered(self.row[got], "<u4") & KNOWN).astype(np.int64)
@@ -145,9 +155,7 @@ class Block:
         raw = x.gathered(self.row[got], "<u4")
         n = (raw & KNOWN).astype(np.int64)
         mine = ((raw & OWNED) > 0) & (n >= 2)
-        some = np.zeros(len(level.keys), np.int64)
-        some[level.of[level.at]] = level.at
-        below = parent[some]
+        below = parent[level.example]
         asked = level.states_asked()
         position = np.full(len(level.hashes), -1)
         position[asked] = np.arange(len(asked))
@@ -163,7 +171,7 @@ class Block:
         left[level.states_asked()] = x.gathered(self.row[states], "<f4")
         out, at = parent.copy(), level.at
         ctx = level.context[at]
-        k = n[level.of[at]]
+        k = np.where(level.of[at] >= 0, n[level.of[at]] if len(n) else 0, 0)
         rest = left[ctx]
         on = rest > 0
         p = np.where(k >= 2, (k - self.s.discount) / level.seen[ctx], 0.0) + rest * parent[at]
@@ -178,7 +186,10 @@ class Block:
         before[self.is_first] = -1
         ok = before >= 0
         ok[ok] = n[before[ok]] >= self.s.min_count
-        self.two = Level(np.where(ok, before, -1), self.one.keys, n, self.token, self.words, TRIPLE)
+        often = np.zeros(len(self.token), bool)
+        some = self.one.of >= 0
+        often[some] = n[self.one.of[some]] >= 2
+        self.two = Level(np.where(ok, before, -1), often, self.one.keys, n, self.token, self.words, TRIPLE, self.s.mask)
 
     def scores(self) -> pa.RecordBatch:
         p = self._mixed(self.two, "triples_got", "two_got", self.p_one)
@@ -210,6 +221,7 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12,
     blocks = token_blocks(docs, modulus)
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     s = Settings(min_count, gain, divergence, discount, x.n_buckets(spark, 8 * tokens))
+    s.narrow(tokens)
 
     def keep(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
         """The parent's share in each retained state, 0 for the others."""
