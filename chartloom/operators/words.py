@@ -1,0 +1,83 @@
+"""Words with exact offsets: atoms, lines, alignment of foreign tokens, packing into budgets."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from chartloom.functions import fixed
+from chartloom.functions.text import PIECES, pieces, text_lines
+
+
+def atoms(docs: DataFrame, text: str = "text", pattern: str = fixed.ATOM) -> DataFrame:
+    """A row for each atom: the other columns, pos, surface, start, end."""
+    rest = [x for x in docs.columns if x != text]
+    return docs.select(*rest, F.posexplode(pieces(F.col(text), pattern)).alias("pos", "a")).select(*rest, "pos", "a.surface", "a.start", "a.end")
+
+
+def lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each line that isn't blank: line_no, line, start (code points)."""
+    rest = [x for x in docs.columns if x != text]
+    return docs.select(*rest, F.explode(text_lines(F.col(text))).alias("l")).select(*rest, "l.line_no", "l.line", "l.start")
+
+
+def aligned(text: str, tokens: list[str]) -> list[tuple[str, int, int]]:
+    """Tokens of a foreign segmenter placed in the text by matching their atoms, in NFC, in order.
+
+    A token none of whose first atom follows is dropped; one that matches in part keeps that part.
+    """
+    import regex
+
+    atom = regex.compile(fixed.ATOM)
+    form = lambda s: unicodedata.normalize("NFC", s)
+    here = [(form(m[0]), m.start(), m.end()) for m in atom.finditer(text)]
+    out, at = [], 0
+    for token in tokens:
+        want = [form(m[0]) for m in atom.finditer(token)]
+        first = next((i for i in range(at, len(here)) if want and here[i][0] == want[0]), None)
+        if first is None:
+            continue
+        n = 1
+        while n < len(want) and first + n < len(here) and here[first + n][0] == want[n]:
+            n += 1
+        start, end = here[first][1], here[first + n - 1][2]
+        out.append((text[start:end], start, end))
+        at = first + n
+    return out
+
+
+@F.pandas_udf(PIECES)
+def align(text: pd.Series, tokens: pd.Series) -> pd.Series:
+    return pd.Series([[{"surface": s, "start": a, "end": b} for s, a, b in aligned(t, list(k))] for t, k in zip(text, tokens)])
+
+
+def packed(sizes: Column, ends: Column, budget: int) -> Column:
+    """array<struct<lo, hi>>: consecutive chunks of at most `budget`, each cut after the last sentence end
+    in its last quarter where there is one; an item over the budget is a chunk of its own.
+
+    sizes: array<int>; ends: array<boolean>, whether an item ends a sentence.
+    """
+    n = F.size(sizes)
+    empty = F.array().cast("array<struct<lo:int,hi:int>>")
+    # one pass an item: the open chunk's start and size; closing one may hand items back, so sums are of prefixes
+    sums = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))
+
+    def close(state: Column, j: Column) -> Column:
+        lo = state["lo"]
+        least = F.greatest(lo + 1, j - F.greatest(F.lit(1), F.floor((j - lo) / 4).cast("int")))
+        back = F.filter(F.sequence(least, j), lambda b: F.get(ends, b - 1))
+        hi = F.coalesce(F.array_max(back), j)
+        return F.struct(hi.alias("lo"), F.concat(state["out"], F.array(F.struct(lo.alias("lo"), hi.alias("hi")))).alias("out"))
+
+    def step(state: Column, j: Column) -> Column:
+        over = (j > state["lo"]) & (F.get(sums, j + 1) - F.get(sums, state["lo"]) > budget)
+        closed = close(state, j)
+        again = (j > closed["lo"]) & (F.get(sums, j + 1) - F.get(sums, closed["lo"]) > budget)
+        return F.when(over & again, close(closed, j)).when(over, closed).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("lo"), empty.alias("out"))
+    whole = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: F.concat(s["out"], F.array(F.struct(s["lo"].alias("lo"), n.alias("hi")))))
+    return F.when(n > 0, whole).otherwise(empty)

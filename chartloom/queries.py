@@ -1,21 +1,430 @@
-"""Queries over the test tables, one for each operator, with equivalent SQL."""
+"""Queries over the test tables, one for each operator, with equivalent SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: A word run (letters, marks, digits, underscore) or one punctuation character.
-ATOM = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
+from chartloom.functions import fixed, similarity
+from chartloom.functions import text as T
+from chartloom.operators import corpus, gazetteer, linking, scoring, spans, structure, validation, words
 
+WORD = r"[\p{L}\p{M}\p{N}_]"
 
-def _table(spark, sf_dir, name):
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _docs(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _line_spans(spark, sf_dir):
+    """Lines as spans of a document, typed by the parity of their number."""
+    out = words.lines(_docs(spark, sf_dir))
+    kind = F.when(F.col("line_no") % 2 == 0, "CHẨN_ĐOÁN").otherwise("THUỐC")
+    return out.select("doc_id", F.col("line_no").alias("idx"), kind.alias("type"), "start", (F.col("start") + F.length("line")).alias("end"), F.col("line").alias("text"))
+
+
+LINE_SPANS = """
+line_spans AS (
+  SELECT doc_id, i - 1 AS idx, CASE WHEN i % 2 = 1 THEN 'CHẨN_ĐOÁN' ELSE 'THUỐC' END AS type, ls[i] AS text,
+    CAST(coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS s,
+    CAST(coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0) + length(ls[i]) AS BIGINT) AS e
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+  WHERE trim(ls[i]) <> '')
+"""
+
+
 def atoms_count(spark, sf_dir):
+    runs = F.regexp_extract_all("text", F.lit(f"({fixed.ATOM})"), F.lit(1))
+    return _docs(spark, sf_dir).select("doc_id", F.size(runs).cast("long").alias("n_atoms"))
+
+
+def atom_offsets(spark, sf_dir):
+    a = words.atoms(_docs(spark, sf_dir))
+    return a.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("starts"), F.sum(F.col("end").cast("long")).alias("ends"), F.max("end").cast("long").alias("last"))
+
+
+def line_offsets(spark, sf_dir):
+    return words.lines(_docs(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("start").cast("long").alias("start"), F.length("line").cast("long").alias("n"))
+
+
+def word_freq_top(spark, sf_dir):
+    w = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD}+)"), F.lit(1))).alias("word"))
+    return w.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
+
+
+def squash_ws(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.length(T.squash(F.col("text"))).cast("long").alias("n"), F.md5(T.squash(F.col("text"))).alias("digest"))
+
+
+def fold_accents(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").where("lang IN ('fr', 'es', 'de')")
+    return d.select("doc_id", F.md5(T.folded(F.col("text"))).alias("digest"))
+
+
+def section_heading(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(":\n"), F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"]), "\n")
+    docs = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(body.alias("text"))
+    points = words.lines(docs).select("doc_id", "start", "line_no")
+    under = structure.last_before(points, structure.headings(docs))
+    return under.groupBy("heading").agg(F.count("*").alias("n"))
+
+
+def negation_window(spark, sf_dir):
+    ls = words.lines(_docs(spark, sf_dir))
+    return ls.where(F.lower("line").rlike(r"(?:the|of)[^.;]{0,30}$")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def bio_islands(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return spans.runs(e, "user_id", "event_type", ("ts", "event_id")).select("user_id", F.col("run").cast("long").alias("run"), "event_type", "n")
+
+
+def span_owner(spark, sf_dir):
+    owned = spans.owners(words.atoms(_docs(spark, sf_dir)), _line_spans(spark, sf_dir))
+    return owned.groupBy("doc_id", F.col("owner").cast("long").alias("owner")).agg(F.count("*").alias("n"), F.sum(F.col("overlap").cast("long")).alias("covered"))
+
+
+def greedy_match(spark, sf_dir):
+    gold = _line_spans(spark, sf_dir)
+    pred = gold.withColumns({"start": F.col("start") + 3, "end": F.col("end") + 5})
+    return spans.greedy_pairs(gold, pred).select("doc_id", F.col("g").cast("long").alias("g"), F.col("p").cast("long").alias("p"), F.col("overlap").cast("long").alias("overlap"))
+
+
+def deoverlap(spark, sf_dir):
+    s = _line_spans(spark, sf_dir).withColumn("end", F.col("end") + 40).withColumn("source", F.lit(1))
+    return spans.without_overlaps(s).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def adjacent_overlap(spark, sf_dir):
+    s = _line_spans(spark, sf_dir).withColumn("end", F.col("end") + 2)
+    return spans.adjacent_overlaps(s).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("next_start").cast("long").alias("next_start"))
+
+
+def spans_missed(spark, sf_dir):
+    gold = _line_spans(spark, sf_dir)
+    pred = gold.where(F.col("idx") % 3 != 0)
+    return spans.unmatched(gold, spans.greedy_pairs(gold, pred), "g").groupBy("type").agg(F.count("*").alias("n"))
+
+
+def chunk_budget(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    turn = F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n"), (F.expr("turn % 3") == 0).alias("e"))))
+    c = t.groupBy("conv_id").agg(turn.alias("t")).select("conv_id", F.transform("t", lambda x: x["n"]).alias("sizes"), F.transform("t", lambda x: x["e"]).alias("ends"))
+    return c.select("conv_id", F.explode(words.packed(F.col("sizes"), F.col("ends"), 2000)).alias("c")).select("conv_id", F.col("c.lo").cast("long").alias("lo"), F.col("c.hi").cast("long").alias("hi"))
+
+
+def gazetteer_hits(spark, sf_dir):
+    phrase = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry"), F.regexp_extract("text", r"^((?:\S+\s+){5}\S+)", 1).alias("phrase"), F.col("item_id").cast("string").alias("code"))
+    found = gazetteer.hits(_docs(spark, sf_dir), gazetteer.build(phrase))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "code")
+
+
+def gazetteer_partial(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.concat_ws(" ", "p_name", F.regexp_replace("p_type", "[^A-Za-z ]", " ")).alias("phrase"), F.col("p_brand").alias("code"))
+    return gazetteer.partial(gazetteer.build(p)).groupBy("n_tokens").agg(F.countDistinct("piece").alias("n"))
+
+
+def alias_split(spark, sf_dir):
+    from chartloom.sources.readers import aliases
+
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name_id"), F.col("p_brand").alias("code"), F.concat(F.initcap("p_name"), F.lit("; "), F.initcap("p_type"), F.lit(", of "), "p_brand").alias("name"))
+    return aliases(p).select(F.col("alias"), "name_id", F.col("pos").cast("long").alias("pos"))
+
+
+def tty_dedupe(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select("p_name", "p_brand", "p_partkey").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    return linking.preferred(p, "p_name", "p_brand", ["Brand#31", "Brand#12", "Brand#55", "Brand#11"])
+
+
+def exact_then_fuzzy(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("name_id")).select("name_id", F.col("p_name").alias("name"), F.col("name_id").cast("string").alias("code"))
+    mentions = names.select("name").unionByName(names.select(F.concat("name", F.lit(" tab")).alias("name"))).withColumnRenamed("name", "mention")
+    return linking.exact_then_fuzzy(mentions, names, fixed.DRUG_CUTOFF, 2).select("mention", "code", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def drug_links(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("name_id")).select("name_id", F.col("p_name").alias("name"), F.col("name_id").cast("string").alias("code"))
+    rel = names.select("code", F.concat(F.lit("in"), F.col("name_id") % 7).alias("ingredient"))
+    return linking.drugs(names.select(F.concat(F.upper("name"), F.lit(" po q6h:prn")).alias("mention")), names, rel).select("mention", "code", "score")
+
+
+def token_block_candidates(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("name_id"))
+    return linking.token_candidates(p.select(F.col("p_name").alias("mention")), p.select("name_id", F.col("p_name").alias("name")))
+
+
+def token_sort_key(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", similarity.sorted_words(F.concat_ws(" ", "p_name", "p_type")).alias("key"))
+
+
+def wer_conversations(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = t.withColumn("before", F.lag("text").over(w)).where("before IS NOT NULL")
+    first = lambda x: F.slice(T.tokens(F.col(x)), 1, 12)
+    return t.select("conv_id", "turn", F.round(similarity.word_error_rate(first("before"), first("text")), 6).alias("wer"))
+
+
+def jaccard_words(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = t.withColumn("before", F.lag("text").over(w)).where("before IS NOT NULL")
+    return t.select("conv_id", "turn", F.round(similarity.set_jaccard(F.split("before", " "), F.split("text", " ")), 6).alias("jaccard"))
+
+
+def cosine_topk(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return linking.nearest(e.where("id % 100 = 0"), e, 5).select("q", "id", F.round("score", 4).alias("score"))
+
+
+def margin_select(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    top = linking.nearest(e.where("id % 100 = 0"), e, 3).where("q <> id").select(F.col("q").alias("mention"), F.col("id").alias("code"), "score")
+    return linking.by_margin(top, 0.05, 0.2).select("mention", "code", F.col("rank").cast("long").alias("rank"))
+
+
+def dense_lex_merge(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    top = linking.nearest(e.where("id % 100 = 0"), e, 4).select(F.col("q").alias("mention"), F.col("id").alias("code"), "score", "rank")
+    alike = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    w = Window.partitionBy("q").orderBy("vec_id")
+    lex = alike.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "label").join(alike, "label").withColumn("rank", F.row_number().over(w)).where("rank <= 4")
+    return linking.merged(top.drop("score"), lex.select(F.col("q").alias("mention"), F.col("vec_id").alias("code"), "rank")).select("mention", "code", F.col("place").cast("long").alias("place"))
+
+
+def tfidf_terms(spark, sf_dir):
+    d = _docs(spark, sf_dir).where("doc_id IS NOT NULL")
+    t = d.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD}+)"), F.lit(1))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    w = linking.tfidf(t, d.agg(F.count("*").alias("n")))
+    return w.groupBy(F.col("id").alias("doc_id")).agg(F.round(F.sum("w"), 4).alias("mass"), F.count("*").alias("n"))
+
+
+def char_tfidf(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("name_id"))
+    grams = linking.char_grams(names, "name_id", "p_name")
+    return grams.groupBy("gram").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+
+
+def pair_left(spark, sf_dir):
+    docs, labels = _docs(spark, sf_dir).select("doc_id"), _table(spark, sf_dir, "labels")
+    have, extra = scoring.paired(docs, labels)
+    return have.groupBy("has_pred").agg(F.count("*").alias("n")).unionByName(extra.agg(F.count("*").alias("n")).select(F.lit(None).cast("boolean").alias("has_pred"), "n"))
+
+
+def score_weighted(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    s = d.select("doc_id", F.col("quality").cast("double").alias("text"), (1.0 - F.col("toxic")).alias("assertions"), ((F.col("doc_id") % 10) / 10.0).alias("candidates"), (F.col("n_chars") % 7).alias("weight"))
+    return scoring.corpus(s).select(*[F.round(x, 6).alias(x) for x in ("text", "assertions", "candidates", "final")], "weight")
+
+
+def score_documents(spark, sf_dir):
+    gold = _line_spans(spark, sf_dir).withColumns({"assertions": F.array().cast("array<string>"), "candidates": F.array(F.col("idx").cast("string"))})
+    pred = gold.where(F.col("idx") % 4 != 1).withColumn("text", F.regexp_replace("text", r"\s\S+$", ""))
+    gold, pred = (g.withColumn("text", F.substring("text", 1, 80)) for g in (gold, pred))
+    out = scoring.documents(_docs(spark, sf_dir), gold, pred)
+    return out.select("doc_id", "n_gold", "n_pred", "n_matched", "n_missed", "n_spurious", "weight", F.round("candidates", 6).alias("candidates"))
+
+
+def type_report(spark, sf_dir):
+    gold = _line_spans(spark, sf_dir)
+    return scoring.by_type(gold, gold.where(F.col("idx") % 3 != 0)).select("type", "n_gold", "n_pred", "n_matched", F.round("recall", 6).alias("recall"))
+
+
+def source_rollup(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(f"({ATOM})"), F.lit(1))).cast("long").alias("n_atoms"))
+    return d.rollup("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("text").contains("***")).alias("masked"))
+
+
+def type_conflict(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    return p.groupBy("p_name").agg(F.countDistinct("p_type").alias("n")).where("n > 1")
+
+
+def code_conflict(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").groupBy("p_name", "p_type", "p_size").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"))
+    return p.groupBy("p_name", "p_type").agg(F.countDistinct("brands").alias("n")).where("n > 1")
+
+
+def event_vocab(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def rank_hist_median(spark, sf_dir):
+    return corpus.rank_median(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+
+
+def cutoff_sweep(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    grid = spark.createDataFrame([(float(c), k) for c in (20, 40, 60, 80) for k in (1, 2)], "cutoff double, k int")
+    ranked = d.select(F.col("doc_id").alias("mention"), F.col("quality").cast("string").alias("code"), (F.col("n_chars") % 101).cast("double").alias("score"), F.lit(1).alias("rank"))
+    gold = d.select(F.col("doc_id").alias("mention"), F.array(F.lit("1")).alias("codes"))
+    return scoring.cutoffs(ranked, gold, grid).select("cutoff", F.col("k").cast("long").alias("k"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def ingredient_map(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    linked = n.select(F.col("n_name").alias("mention"), F.col("n_nationkey").cast("string").alias("code"), F.lit(100.0).alias("score"), F.lit(1).alias("rank"))
+    rel = n.where("n_regionkey <> 2").select(F.col("n_nationkey").cast("string").alias("code"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("ingredient"))
+    return linking.to_ingredients(linked, rel).select("mention", "code")
+
+
+def code_absent(spark, sf_dir):
+    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+def marker_multiset(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    each = t.select("conv_id", "turn", F.explode(F.split("text", " ")).alias("item"))
+    before, after = each.where("turn = 0").drop("turn"), each.where("turn = 1").drop("turn")
+    return corpus.kept_share(before, after, "conv_id", "item").select("conv_id", F.round("share", 6).alias("share"))
+
+
+def worst_n(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).alias("score")).orderBy("score", "doc_id").limit(20)
+
+
+def holdout_stratified(spark, sf_dir):
+    return corpus.holdout(_table(spark, sf_dir, "documents"), "lang", 100, order=F.col("doc_id")).groupBy("lang").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+
+
+def take_backfill(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return corpus.take_then_fill(d, "lang", 10, 60, [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "lang", "backfill")
+
+
+def seq_ids(spark, sf_dir):
+    return structure.numbered(_table(spark, sf_dir, "documents"), "lang", ("doc_id",), 6).select("doc_id", "seq_id")
+
+
+def issue_report(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    s = _line_spans(spark, sf_dir).withColumns({"end": F.when(F.col("idx") % 5 == 0, F.col("end") + 2).otherwise(F.col("end")), "candidates": F.when(F.col("idx") % 4 == 0, F.array(F.lit("X1"))).otherwise(F.array().cast("array<string>"))})
+    issues = validation.positions(docs, s).unionByName(validation.candidates(s)).unionByName(validation.overlaps(s))
+    return issues.groupBy("level", "code").agg(F.count("*").alias("n"))
+
+
+def missed_mentions(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    at = d.select("doc_id", F.explode(spans.occurrences(F.col("text"), F.lit("tion"))).alias("at"))
+    s = _line_spans(spark, sf_dir).where(F.col("idx") % 2 == 0).select(F.col("doc_id").alias("_d"), "start", "end")
+    return at.join(s, (F.col("doc_id") == F.col("_d")) & (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")), "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("at").cast("long")).alias("ats"))
+
+
+def mask_overlay(spark, sf_dir):
+    some = F.array(F.struct(F.lit(2).alias("start"), F.lit(7).alias("end")), F.struct(F.lit(10).alias("start"), F.lit(13).alias("end")))
+    return _docs(spark, sf_dir).where(F.length("text") >= 20).select("doc_id", F.md5(corpus.masked(F.col("text"), some)).alias("digest"))
+
+
+def markup_unwrap(spark, sf_dir):
+    docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("**ab** 〔DX|"), F.substring("text", 1, 9), F.lit("〕 mid 〔bad "), F.substring("text", 10, 5), F.lit("〔DRUG|xyz〕")).alias("text"))
+    return corpus.unwrapped(docs).select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", "text", F.col("s.type").alias("type"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+def json_props(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.select(F.from_json("props", "k LONG").alias("p")).groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+def paragraphs(spark, sf_dir):
+    from chartloom.sources.readers import paragraphs as cut
+
+    turns = _table(spark, sf_dir, "conversations").where("text IS NOT NULL AND trim(text) <> ''")
+    docs = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n \n").alias("text"))
+    return cut(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+
 
+QUERIES = {f.__name__: f for f in (
+    atoms_count, atom_offsets, line_offsets, word_freq_top, squash_ws, fold_accents, section_heading, negation_window, bio_islands, span_owner, greedy_match, deoverlap,
+    adjacent_overlap, spans_missed, chunk_budget, gazetteer_hits, gazetteer_partial, alias_split, tty_dedupe, exact_then_fuzzy, drug_links, token_block_candidates, token_sort_key,
+    wer_conversations, jaccard_words, cosine_topk, margin_select, dense_lex_merge, tfidf_terms, char_tfidf, pair_left, score_weighted, score_documents, type_report, source_rollup,
+    type_conflict, code_conflict, event_vocab, rank_hist_median, cutoff_sweep, ingredient_map, code_absent, marker_multiset, worst_n, holdout_stratified, take_backfill, seq_ids,
+    issue_report, missed_mentions, mask_overlay, markup_unwrap, json_props, paragraphs,
+)}
 
-QUERIES = {"atoms_count": atoms_count}
-ORACLES = {"atoms_count": rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{ATOM}')) AS BIGINT) AS n_atoms FROM documents"}
+ORACLES = {
+    "atoms_count": rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{fixed.ATOM}')) AS BIGINT) AS n_atoms FROM documents",
+    "line_offsets": f"WITH {LINE_SPANS} SELECT doc_id, idx AS line_no, s AS start, e - s AS n FROM line_spans",
+    "word_freq_top": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD}+')) AS word FROM documents) GROUP BY 1 ORDER BY n DESC, word LIMIT 50",
+    "squash_ws": r"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)",
+    "bio_islands": """SELECT user_id, CAST(run AS BIGINT) AS run, any_value(event_type) AS event_type, count(*) AS n FROM (
+        SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (
+          SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(1) OVER w IS NOT NULL THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
+        GROUP BY user_id, run""",
+    "adjacent_overlap": f"WITH {LINE_SPANS} SELECT doc_id, idx, n AS next_start FROM (SELECT doc_id, idx, e + 2 AS e2, lead(s) OVER (PARTITION BY doc_id ORDER BY s, e, idx) AS n FROM line_spans) WHERE n < e2",
+    "spans_missed": f"WITH {LINE_SPANS} SELECT type, count(*) AS n FROM line_spans WHERE idx % 3 = 0 AND e > s GROUP BY 1",
+    "tty_dedupe": """SELECT p_name, p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY coalesce(list_position(['Brand#31','Brand#12','Brand#55','Brand#11'], p_brand), 5), p_brand, p_partkey) AS n
+        FROM (SELECT p_name, p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2)) WHERE n = 1""",
+    "token_block_candidates": """WITH p AS (SELECT p_name, min(p_partkey) AS name_id FROM part GROUP BY 1), t AS (SELECT p_name, name_id, unnest(string_split(lower(p_name), ' ')) AS t FROM p)
+        SELECT DISTINCT a.p_name AS mention, b.name_id FROM t a JOIN t b USING (t)""",
+    "token_sort_key": "SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(p_name || ' ' || p_type, ' '), lambda x: x <> '')), ' ') AS key FROM part",
+    "jaccard_words": """SELECT conv_id, turn, round(CAST(len(list_intersect(b, a)) AS DOUBLE) / len(list_distinct(list_concat(b, a))), 6) AS jaccard FROM (
+        SELECT conv_id, turn, string_split(text, ' ') AS a, string_split(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ' ') AS b FROM conversations WHERE text IS NOT NULL) WHERE b IS NOT NULL""",
+    "event_vocab": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "type_conflict": "SELECT p_name, count(DISTINCT p_type) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1",
+    "code_conflict": """SELECT p_name, p_type, count(DISTINCT b) AS n FROM (SELECT p_name, p_type, p_size, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS b FROM part GROUP BY 1, 2, 3)
+        GROUP BY 1, 2 HAVING count(DISTINCT b) > 1""",
+    "rank_hist_median": """SELECT l_returnflag, max(CASE WHEN r = n // 2 + 1 THEN l_quantity END) AS median, min(l_quantity) AS least, max(l_quantity) AS largest, count(*) AS n FROM (
+        SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem WHERE l_quantity IS NOT NULL) GROUP BY 1""",
+    "source_rollup": "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (contains(text, '***')) AS masked FROM documents GROUP BY ROLLUP (source)",
+    "pair_left": """SELECT has_pred, count(*) AS n FROM (SELECT DISTINCT d.doc_id, l.doc_id IS NOT NULL AS has_pred FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY 1
+        UNION ALL SELECT CAST(NULL AS BOOLEAN), count(*) FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))""",
+    "score_weighted": """WITH s AS (SELECT CAST(quality AS DOUBLE) AS t, 1.0::DOUBLE - toxic AS a, (doc_id % 10) / 10.0::DOUBLE AS c, n_chars % 7 AS w FROM documents JOIN labels USING (doc_id)),
+        m AS (SELECT avg(t) AS t, avg(a) AS a, sum(c * w) / sum(w) AS c, CAST(sum(w) AS BIGINT) AS weight FROM s)
+        SELECT round(t, 6) AS text, round(a, 6) AS assertions, round(c, 6) AS candidates, round(t * 0.3::DOUBLE + a * 0.3::DOUBLE + c * 0.4::DOUBLE, 6) AS final, weight FROM m""",
+    "cutoff_sweep": """SELECT cutoff, k, round(avg(CASE WHEN (n_chars % 101) > cutoff AND quality = 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS jaccard FROM documents JOIN labels USING (doc_id),
+        (SELECT CAST(unnest([20, 40, 60, 80]) AS DOUBLE) AS cutoff), (SELECT CAST(unnest([1, 2]) AS BIGINT) AS k) GROUP BY 1, 2""",
+    "ingredient_map": "SELECT n_name AS mention, CASE WHEN n_regionkey <> 2 THEN 'r' || n_regionkey ELSE CAST(n_nationkey AS VARCHAR) END AS code FROM nation",
+    "code_absent": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "marker_multiset": """WITH e AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS item FROM conversations WHERE text IS NOT NULL),
+        a AS (SELECT conv_id, item, count(*) AS n FROM e WHERE turn = 0 GROUP BY 1, 2), b AS (SELECT conv_id, item, count(*) AS m FROM e WHERE turn = 1 GROUP BY 1, 2)
+        SELECT conv_id, round(CAST(sum(least(n, coalesce(m, 0))) AS DOUBLE) / sum(n), 6) AS share FROM a LEFT JOIN b USING (conv_id, item) GROUP BY 1""",
+    "worst_n": "SELECT doc_id, n_chars % 97 AS score FROM documents ORDER BY score, doc_id LIMIT 20",
+    "seq_ids": "SELECT doc_id, lang || '_' || lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS VARCHAR), 6, '0') AS seq_id FROM documents",
+    "take_backfill": """SELECT doc_id, lang, place > 10 AS backfill FROM (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents)
+        ORDER BY CASE WHEN place <= 10 THEN 0 ELSE 1 END, n_chars DESC, doc_id LIMIT 60""",
+    "mask_overlay": "SELECT doc_id, md5(left(text, 2) || '*****' || substring(text, 8, 3) || '***' || substring(text, 14)) AS digest FROM documents WHERE length(text) >= 20",
+    "json_props": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
+    "paragraphs": "SELECT conv_id AS doc_id, count(*) AS n FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1",
+    "cosine_topk": """SELECT q, id, round(s, 4) AS score FROM (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE n <= 5""",
+    "tfidf_terms": f"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}+')) AS term FROM documents) GROUP BY 1, 2),
+        d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), r AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM t JOIN d USING (term))
+        SELECT doc_id, round(sum(w) / sqrt(sum(w * w)), 4) AS mass, count(*) AS n FROM r GROUP BY 1""",
+    "type_report": f"""WITH {LINE_SPANS} SELECT type, count(*) AS n_gold, count(*) FILTER (idx % 3 <> 0) AS n_pred, count(*) FILTER (idx % 3 <> 0 AND e > s) AS n_matched,
+        round(CAST(count(*) FILTER (idx % 3 <> 0 AND e > s) AS DOUBLE) / count(*), 6) AS recall FROM line_spans GROUP BY 1""",
+    "negation_window": f"WITH {LINE_SPANS} SELECT doc_id, count(*) AS n FROM line_spans WHERE regexp_matches(lower(text), '(?:the|of)[^.;]{{0,30}}$') GROUP BY 1",
+    "markup_unwrap": """SELECT doc_id, text, type, start, "end" FROM (SELECT item_id AS doc_id, 'ab ' || left(text, 9) || ' mid bad ' || substring(text, 10, 5) || 'xyz' AS text, length(left(text, 9)) AS a, length(substring(text, 10, 5)) AS b FROM benchmark) x,
+        LATERAL (SELECT 'DX' AS type, CAST(3 AS BIGINT) AS start, CAST(3 + a AS BIGINT) AS "end" UNION ALL SELECT 'DRUG', CAST(12 + a + b AS BIGINT), CAST(15 + a + b AS BIGINT)) y""",
+    "atom_offsets": rf"""WITH r AS (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{fixed.ATOM}|\s+') AS ps FROM documents)),
+        o AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM r)
+        SELECT doc_id, count(*) AS n, CAST(sum(e - length(p)) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends, CAST(max(e) AS BIGINT) AS last FROM o WHERE NOT regexp_matches(p, '^\s') GROUP BY 1""",
+    "margin_select": """WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+        t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS n FROM s), u AS (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS r FROM t WHERE n <= 3 AND q <> id),
+        m AS (SELECT q, max(s) FILTER (r = 1) AS a, max(s) FILTER (r = 2) AS b FROM u GROUP BY 1)
+        SELECT q AS mention, id AS code, r AS rank FROM u JOIN m USING (q) WHERE r = 1 OR (r = 2 AND NOT ((a < 0.2 AND b < 0.2) OR a - b > 0.05))""",
+    "holdout_stratified": """WITH s AS (SELECT lang, count(*) AS n, least(count(*), greatest(1, CAST(round_even(100.0 * count(*) / sum(count(*)) OVER (), 0) AS BIGINT))) AS q FROM documents GROUP BY 1),
+        o AS (SELECT *, sum(q) OVER () - 100 AS over FROM s), b AS (SELECT *, CASE WHEN over > 0 THEN q - 1 ELSE n - q END AS room FROM o),
+        c AS (SELECT *, coalesce(sum(room) OVER (ORDER BY n DESC, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+        f AS (SELECT lang, q - sign(over) * greatest(0, least(room, abs(over) - before)) AS q FROM c)
+        SELECT lang, count(*) AS n, max(doc_id) AS last FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) JOIN f USING (lang) WHERE k <= q GROUP BY 1""",
+    "missed_mentions": f"""WITH RECURSIVE {LINE_SPANS}, occ AS (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i, len(ps) AS k FROM (SELECT doc_id, string_split(text, 'tion') AS ps FROM documents)),
+        a AS (SELECT doc_id, CAST(sum(length(p) + 4) OVER (PARTITION BY doc_id ORDER BY i) - 4 AS BIGINT) AS place, i, k FROM occ)
+        SELECT doc_id, count(*) AS n, CAST(sum(place) AS BIGINT) AS ats FROM a WHERE i < k AND NOT EXISTS (SELECT 1 FROM line_spans l WHERE l.doc_id = a.doc_id AND idx % 2 = 0 AND s <= place AND place < e) GROUP BY 1""",
+    "issue_report": f"""WITH {LINE_SPANS}, t AS (SELECT doc_id, idx, type, text, s, CASE WHEN idx % 5 = 0 THEN e + 2 ELSE e END AS e FROM line_spans), x AS (SELECT t.*, d.text AS raw, lead(s) OVER (PARTITION BY t.doc_id ORDER BY s, e, idx) AS nxt FROM t JOIN documents d USING (doc_id))
+        SELECT 'ERROR' AS level, 'A_OUT_OF_RANGE' AS code, count(*) AS n FROM x WHERE e > length(raw) HAVING count(*) > 0 UNION ALL
+        SELECT 'ERROR', 'A_MISMATCH', count(*) FROM x WHERE e <= length(raw) AND substring(raw, s + 1, e - s) <> text HAVING count(*) > 0 UNION ALL
+        SELECT 'WARN', 'D_MISSING_CAND', count(*) FROM x WHERE idx % 4 <> 0 HAVING count(*) > 0 UNION ALL
+        SELECT 'WARN', 'I_OVERLAP', count(*) FROM x WHERE nxt < e HAVING count(*) > 0""",
+    "alias_split": """WITH p AS (SELECT p_partkey AS name_id, list_transform(string_split_regex(array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') || '; ' || array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') || ', of ' || p_brand, '[,;]'), lambda a: trim(a)) AS ps FROM part),
+        c AS (SELECT name_id, unnest(ps) AS alias, unnest(range(0, len(ps))) AS pos FROM p)
+        SELECT alias, name_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY lower(alias) ORDER BY name_id, pos) AS n FROM c WHERE (pos = 0 OR regexp_matches(alias, '^[A-Z]')) AND len(string_split_regex(alias, '\s+')) BETWEEN 2 AND 5 AND length(alias) >= 6) WHERE n = 1""",
+    "score_documents": f"""WITH {LINE_SPANS} SELECT d.doc_id, count(idx) AS n_gold, count(idx) FILTER (idx % 4 <> 1) AS n_pred, count(idx) FILTER (idx % 4 <> 1) AS n_matched, count(idx) FILTER (idx % 4 = 1) AS n_missed, CAST(0 AS BIGINT) AS n_spurious,
+        CAST(2 * count(idx) AS BIGINT) AS weight, round(CASE WHEN count(idx) = 0 THEN 1.0::DOUBLE ELSE CAST(count(idx) FILTER (idx % 4 <> 1) AS DOUBLE) / count(idx) END, 6) AS candidates FROM documents d LEFT JOIN line_spans l ON d.doc_id = l.doc_id GROUP BY 1""",
+}
