@@ -23,43 +23,59 @@ from chartloom.llm import common as c
 KEY = ["_cl_id", "_cl_text"]
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), the value computed once: a lambda's variable isn't computed again where it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _chunks(lines: Column, divisor: int) -> Column:
-    """array<struct<s, n>>: first line (from 1) and number of lines of each chunk."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    marks = F.transform(F.arrays_zip(F.slice(hashes, 1, F.greatest(F.size(lines) - 1, F.lit(0))).alias("a"), F.slice(hashes, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("b")), lambda p: F.pmod(F.xxhash64(p["a"], p["b"]), F.lit(divisor)) == 0)
-    # marks[i] speaks of line i + 2 (from 1); a chunk starts after a marked line whose predecessor isn't marked
-    later = F.filter(F.transform(marks, lambda m, i: F.when(m & ~F.coalesce(F.get(marks, i - 1), F.lit(False)), i + 3)), lambda s: s.isNotNull())
-    starts = F.filter(F.concat(F.array(F.lit(1)), later), lambda s: s <= F.size(lines))
-    return F.transform(starts, lambda s, i: F.struct(s.alias("s"), (F.coalesce(F.get(starts, i + 1), F.size(lines) + 1) - s).alias("n")))
+    """array<struct<s, n, part>>: first line (from 1), number of lines and lines of each chunk."""
+
+    def of_lines(ls: Column) -> Column:
+        return _bound(F.transform(ls, lambda x: F.xxhash64(x)), lambda hs: of_hashes(ls, hs))
+
+    def of_hashes(ls: Column, hs: Column) -> Column:
+        # marks[i] speaks of line i + 1 (from 0); the first line has no mark
+        marks = F.transform(F.slice(hs, 2, F.greatest(F.size(hs) - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(F.get(hs, i), h), F.lit(divisor)) == 0)
+        return _bound(marks, lambda ms: of_marks(ls, ms))
+
+    def of_marks(ls: Column, ms: Column) -> Column:
+        # a chunk starts after a marked line whose predecessor isn't marked
+        later = F.filter(F.transform(ms, lambda m, i: F.when(m & ~F.coalesce(F.get(ms, i - 1), F.lit(False)), i + 3)), lambda s: s.isNotNull())
+        starts = F.filter(F.concat(F.array(F.lit(1)), later), lambda s: s <= F.size(ls))
+        return _bound(starts, lambda ss: F.transform(ss, lambda s, i: chunk(ls, s, F.coalesce(F.get(ss, i + 1), F.size(ls) + 1) - s)))
 
+    def chunk(ls: Column, s: Column, n: Column) -> Column:
+        return F.struct(s.alias("s"), n.alias("n"), F.slice(ls, s, n).alias("part"))
 
-def _joined(lines: Column, s: Column, n: Column) -> Column:
-    return F.array_join(F.slice(lines, s, n), "\n")
+    return _bound(lines, of_lines)
 
 
 def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 2, min_bytes: int = 40) -> DataFrame:
     """docs with the text without repeated chunks, n_lines and n_removed_lines."""
     keyed = docs.drop("n_lines", "n_removed_lines").withColumns({"_cl_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_cl_text": F.xxhash64(text_col)})
-    slim = keyed.where(F.col(text_col).isNotNull()).select(*KEY, F.split(text_col, "\n").alias("lines"))
-    slim = slim.select(*KEY, "lines", F.explode(_chunks(F.col("lines"), divisor)).alias("c")).where("c.n >= 2")
-    slim = slim.withColumn("part", F.slice("lines", F.col("c.s"), F.col("c.n")))
-    long_enough = F.aggregate("part", F.lit(0), lambda a, x: a + F.octet_length(x)) >= min_bytes
-    slim = c.stored(slim.where(long_enough).select(*KEY, "c.s", "c.n", F.xxhash64("part").alias("ch")), "line-chunks")
+    slim = keyed.where(F.col(text_col).isNotNull()).select(*KEY, F.explode(F.filter(_chunks(F.split(text_col, "\n"), divisor), lambda x: x["n"] >= 2)).alias("c"))
+    long_enough = F.aggregate("c.part", F.lit(0), lambda a, x: a + F.octet_length(x)) >= min_bytes
+    slim = c.stored(slim.where(long_enough).select(*KEY, "c.s", "c.n", F.xxhash64("c.part").alias("ch")), "line-chunks")
 
     at = F.struct(*KEY, "s")
     again = slim.groupBy("ch").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("ch", "first")
-    wanted = slim.join(again, "ch").groupBy(*KEY).agg(F.collect_set(F.struct("s", "n", "ch", (at == F.col("first")).alias("is_first"))).alias("w"))
-    found = keyed.select(*KEY, F.col(text_col).alias("t")).join(wanted, KEY).select(*KEY, F.split("t", "\n").alias("lines"), F.explode("w").alias("w"))
-    found = c.stored(found.select(*KEY, "w.s", "w.n", "w.ch", "w.is_first", _joined(F.col("lines"), F.col("w.s"), F.col("w.n")).alias("bytes")), "line-chunk-bytes")
+    wanted = slim.join(again, "ch").groupBy(*KEY).agg(F.collect_set(F.struct("s", "n", "ch", (at == F.col("first")).alias("is_first"))).alias("_cl_w"))
+    # the texts move once: with what is asked of them, null for most
+    held = c.stored(keyed.join(wanted, KEY, "left"), "line-texts")
+    asked = held.where("_cl_w IS NOT NULL")
 
+    ask = lambda ls: F.transform("_cl_w", lambda w: F.struct(w["s"].alias("s"), w["n"].alias("n"), w["ch"].alias("ch"), w["is_first"].alias("is_first"), F.array_join(F.slice(ls, w["s"], w["n"]), "\n").alias("bytes")))
+    found = asked.select(*KEY, F.explode(_bound(F.split(text_col, "\n"), ask)).alias("w")).select(*KEY, "w.*")
     first = found.where("is_first").select("ch", F.col("bytes").alias("first_bytes")).dropDuplicates(["ch"])
     same = found.where("NOT is_first").join(first, "ch").where("bytes = first_bytes")
     gone = c.stored(same.groupBy(*KEY).agg(F.collect_set(F.struct("s", "n")).alias("_cl_gone")), "line-chunks-gone")
-    c.release(found)
 
-    lines = F.split(text_col, "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.exists("_cl_gone", lambda g: (g["s"] <= i + 1) & (i + 1 < g["s"] + g["n"])), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_cl_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    rest = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.exists("_cl_gone", lambda g: (g["s"] <= i + 1) & (i + 1 < g["s"] + g["n"])))
+    text = F.when(F.col("_cl_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
     removed = F.coalesce(F.aggregate("_cl_gone", F.lit(0), lambda a, g: a + g["n"]), F.lit(0))
-    out = keyed.join(gone, KEY, "left")
-    return out.select(*[text.alias(x) if x == text_col else F.col(x) for x in docs.columns if x not in ("n_lines", "n_removed_lines")], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed_lines"))
+    columns = [x for x in docs.columns if x not in ("n_lines", "n_removed_lines")]
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"))) + 1).cast("long")
+    kept = held.where("_cl_w IS NULL").select(*columns, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
+    cut = asked.join(gone, KEY, "left").select(*[text.alias(x) if x == text_col else F.col(x) for x in columns], n_lines.alias("n_lines"), removed.cast("long").alias("n_removed_lines"))
+    return kept.unionByName(cut)
