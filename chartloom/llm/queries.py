@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+from chartloom.sources.session import importable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,4 +102,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOW}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+_FIVE = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))"
+
+ORACLES: dict[str, str] = {
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+        h AS (SELECT page_id, b, max(page_id) OVER (PARTITION BY b) AS head, sha1(b) || '0' AS d FROM p)
+        SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes,
+          array_to_string(list_transform(range(32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((((instr('0123456789abcdef', substring(d, (5 * k) // 4 + 1, 1)) - 1) * 16
+            + instr('0123456789abcdef', substring(d, (5 * k) // 4 + 2, 1)) - 1)) >> CAST(3 - (5 * k) % 4 AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+          CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to, TRUE AS verified FROM h""",
+    "op6_contamination": f"""WITH d AS (SELECT DISTINCT doc_id, unnest({_FIVE}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 4),
+        q AS (SELECT DISTINCT item_id, unnest({_FIVE}) AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 4), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
+        SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item, CAST(count(*) AS DOUBLE) / any_value(n) AS containment
+        FROM d JOIN q USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n) - 1e-9""",
+    "op9_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 4 THEN {_FIVE} WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM k JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE k >= 0.8 * (a.n + b.n - k) - 1e-6),
+        c AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)
+        SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM c WHERE x = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM e WHERE x = doc_id) AS n_links FROM documents""",
+}

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm import bpe, common, contamination, jaccardjoin, linededup, toxicity
-from chartloom.llm.queries import held_out, importable, table
+from chartloom.llm.queries import held_out, table
+from chartloom.sources.session import importable
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
