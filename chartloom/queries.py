@@ -9,11 +9,13 @@ from pyspark.sql.window import Window
 from chartloom.functions import fixed, similarity
 from chartloom.functions import text as T
 from chartloom.operators import corpus, gazetteer, linking, scoring, spans, structure, validation, words
+from chartloom.sources.session import importable
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -422,7 +424,7 @@ ORACLES = {
         SELECT 'ERROR', 'A_MISMATCH', count(*) FROM x WHERE e <= length(raw) AND substring(raw, s + 1, e - s) <> text HAVING count(*) > 0 UNION ALL
         SELECT 'WARN', 'D_MISSING_CAND', count(*) FROM x WHERE idx % 4 <> 0 HAVING count(*) > 0 UNION ALL
         SELECT 'WARN', 'I_OVERLAP', count(*) FROM x WHERE nxt < e HAVING count(*) > 0""",
-    "alias_split": """WITH p AS (SELECT p_partkey AS name_id, list_transform(string_split_regex(array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') || '; ' || array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') || ', of ' || p_brand, '[,;]'), lambda a: trim(a)) AS ps FROM part),
+    "alias_split": r"""WITH p AS (SELECT p_partkey AS name_id, list_transform(string_split_regex(array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') || '; ' || array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') || ', of ' || p_brand, '[,;]'), lambda a: trim(a)) AS ps FROM part),
         c AS (SELECT name_id, unnest(ps) AS alias, unnest(range(0, len(ps))) AS pos FROM p)
         SELECT alias, name_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY lower(alias) ORDER BY name_id, pos) AS n FROM c WHERE (pos = 0 OR regexp_matches(alias, '^[A-Z]')) AND len(string_split_regex(alias, '\s+')) BETWEEN 2 AND 5 AND length(alias) >= 6) WHERE n = 1""",
     "score_documents": f"""WITH {LINE_SPANS} SELECT d.doc_id, count(idx) AS n_gold, count(idx) FILTER (idx % 4 <> 1) AS n_pred, count(idx) FILTER (idx % 4 <> 1) AS n_matched, count(idx) FILTER (idx % 4 = 1) AS n_missed, CAST(0 AS BIGINT) AS n_spurious,
