@@ -5,7 +5,7 @@ one record. A record's MinHash values are the tokens it is split by. In each run
 one bucket; a bucket picks each of the T positions with probability 1 / (threshold * T) and sends a
 record to the child bucket of its value at each picked position, so records of Jaccard similarity
 `threshold` share one child bucket on average. Buckets of at most LIMIT records are compared pair by
-pair on their MinHash values; larger ones first compare all with one leader: those nearly equal to it leave, since
+pair on their MinHash values; larger ones first compare all with one leader: those similar to it leave, since
 by the triangle inequality whatever is similar to them is linked with the leader too, and the rest is split
 on. Runs repeat until a pair at the threshold is missed with a probability of at most 1 - recall, by the
 survival of its branching process down to depth DEPTH.
@@ -35,9 +35,10 @@ from chartloom.llm.components import components
 
 N = 5
 T = 128
-LIMIT = 32
+LIMIT = 256
 DEPTH = 3
-CUT, SAME = 0.55, 0.9
+#: What is under 1 - SAME from a leader has its links, 1 - threshold further, within 1 - CUT of it; 0.1 is left for noise.
+CUT, SAME = 0.5, 0.8
 TILE = 512
 COLUMNS = 4096
 NO_ID = -(2**63)
@@ -141,7 +142,7 @@ def _first_paths(threshold: float, runs: int):
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs within each small bucket whose estimate reaches CUT; rows come sorted by path."""
+    """Links that span what pairs of estimates over CUT connect in each small bucket; rows come sorted by path."""
     held: tuple | None = None
 
     def pairs(path: np.ndarray, key: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
@@ -152,9 +153,20 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in range(1, int(place.max(initial=0)) + 1):
             at = np.flatnonzero(place >= d)
             ok = np.concatenate([(sig[at[i : i + 20000]] == sig[at[i : i + 20000] - d]).mean(axis=1) >= CUT for i in range(0, len(at), 20000)])
-            us.append(key[at[ok]])
-            vs.append(key[at[ok] - d])
-        u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+            us.append(at[ok])
+            vs.append(at[ok] - d)
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+        label = np.arange(len(path))  # of a bucket's links those that span its components are enough
+        while len(a):
+            least = label.copy()
+            np.minimum.at(least, a, label[b])
+            np.minimum.at(least, b, label[a])
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        on = np.flatnonzero(label != np.arange(len(path)))
+        u, v = key[on], key[label[on]]
         both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
