@@ -195,6 +195,16 @@ class Block:
         return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in (TEXT_RESULT if texts else RESULT).split(", ")])
 
 
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Ranks from 1 of 64-bit values, equal for equal ones."""
+    order = np.argsort(values, kind="stable")
+    step = np.ones(len(values), np.uint32)
+    step[1:] = values[order[1:]] != values[order[:-1]]
+    out = np.empty(len(values), np.uint32)
+    out[order] = np.cumsum(step, dtype=np.uint32)
+    return out
+
+
 def suffix_ranks(buf: np.ndarray, at: np.ndarray, length: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix order of the positions `at`, whether each has the common prefix `length` with the one before).
 
@@ -202,20 +212,17 @@ def suffix_ranks(buf: np.ndarray, at: np.ndarray, length: int, place: np.ndarray
     """
     n = len(buf)
     raw = np.concatenate([buf, np.zeros(8, np.uint8)])
-    rank = np.zeros(n, np.uint64)
+    first = np.zeros(n, np.uint64)
     for i in range(8):
-        rank = rank << np.uint64(8) | raw[i : n + i].astype(np.uint64)
-    depth, terms, left = 8, [], length
-    ranks = {8: rank}
+        first <<= np.uint64(8)
+        first |= raw[i : n + i]
+    rank, depth = _dense(first), 8
+    del first, raw
     while depth * 2 <= length:
-        later = np.concatenate([rank[depth:], np.zeros(min(depth, n), np.uint64)])[:n]
-        order = np.lexsort((later, rank))
-        new = np.ones(n, bool)
-        new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (later[order[1:]] != later[order[:-1]])
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
+        pair = rank.astype(np.uint64) << np.uint64(32)
+        pair[: max(n - depth, 0)] |= rank[depth:]
+        rank = _dense(pair)
         depth *= 2
-        ranks = {depth: rank} if depth < length else ranks | {depth: rank}
     terms = [rank[at], rank[at + length - depth]]  # two overlapping prefixes make the window
     order = np.lexsort((place, terms[1], terms[0]))
     same = np.zeros(len(at), bool)
@@ -244,7 +251,7 @@ def _settled(hot: int, keep_first: bool):
     return reduce
 
 
-def repeated_strings(docs: DataFrame, length: int = 200, keep: str = "first", texts: bool = False, hot: int = 50_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 200, keep: str = "first", texts: bool = False, hot: int = 4_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of each row of docs."""
     if keep not in ("first", "none") or length < GRAM + 8:
         raise ValueError("keep is 'first' or 'none'; length is at least 40")
