@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -33,12 +34,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chartloom/{name}-{uuid.uuid4().hex}"
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of finished jobs, which it does when their plans are garbage."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: later plans start from the files, whoever is lost."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # lets the driver drop the shuffle files of the finished job
+    drop_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._chartloom_path = path
     return out
@@ -49,8 +58,7 @@ def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     table = f"chartloom_{path.rsplit('/', 1)[1].replace('-', '_')}"
     df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(table)
-    gc.collect()
-    spark._jvm.System.gc()
+    drop_shuffles(spark)
     out = spark.table(table)
     out._chartloom_path = path
     return out
