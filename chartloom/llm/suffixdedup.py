@@ -101,7 +101,7 @@ class Block:
                 first = np.flatnonzero(new)
                 self.lo, self.hi = start[first], start[np.concatenate([first[1:], [len(start)]]) - 1]
                 a = a[first]
-                keys = gram[a]
+                keys = c.mix(gram[a])  # anchors are least hashes: mixed anew they spread over the buckets
                 pieces = c.mix(c.range_hash(self.prefix, self.lo, self.hi + self.length) + (a - self.lo).astype(np.uint64))
         order = np.lexsort((pieces, keys))
         keys, pieces = keys[order], pieces[order]
