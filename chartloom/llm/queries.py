@@ -35,7 +35,7 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.linededup import dedup_line_chunks
 
-    return dedup_line_chunks(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed_lines", "text")
+    return dedup_line_chunks(table(spark, sf_dir, "documents"), windows=True).select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

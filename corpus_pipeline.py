@@ -24,7 +24,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks go from the texts; n_chars follows the text."""
     importable(spark)
-    out = linededup.dedup_line_chunks(docs)
+    out = linededup.dedup_line_chunks(docs, windows=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -65,3 +65,40 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert dedup_line_chunks(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def passages(docs, min_bytes=40):
+    """Every run of two lines and min_bytes or more that an earlier place has too goes, but for what the first place holds."""
+    first, lines, gone = {}, {}, {}
+    for k, (doc_id, text) in enumerate(sorted(set(docs), key=lambda d: (d[0], _signed(_h(d[1].encode()))))):
+        ls = lines[doc_id, text] = text.split("\n")
+        gone[doc_id, text] = set()
+        for s in range(len(ls)):
+            for e in range(s + 2, len(ls) + 1):
+                if sum(len(x.encode()) for x in ls[s:e]) >= min_bytes:
+                    at = first.setdefault(tuple(ls[s:e]), (k, s))
+                    if at != (k, s):
+                        gone[doc_id, text].update(range(max(s, at[1] + e - s) if at[0] == k else s, e))
+    return {d: ("\n".join(x for i, x in enumerate(ls) if i not in gone[d]), len(ls), len(gone[d])) for d, ls in lines.items()}
+
+
+def test_short_passages_between_differing_lines(spark):
+    rnd = random.Random(8)
+    own = lambda i, k: [f"text {i} has its own line {j} {rnd.random()}" for j in range(k)]
+    docs, planted = [], 0
+    for p in range(60):
+        block = [f"passage {p} line {j} with some more words" for j in range(2 + p % 7)]
+        planted += len(block)
+        docs += [(2 * p + i, "\n".join([*own(2 * p + i, 3), *block, *own(2 * p + i, 3)])) for i in (0, 1)]
+    short = ["ab", "", "c", "d" * 9, "", "e" * 60, "", "f", "é"]
+    docs += [(200 + i, "\n".join(rnd.choice(short) for _ in range(rnd.randint(1, 12)))) for i in range(30)]
+    docs += [(300, "\n".join(["the same line again and again"] * 7)), (301, "\n" * 90 + "z" * 50 + "\n" * 90), (302, "\n" * 80 + "z" * 50 + "\n" * 99), (302, "\n" * 80 + "z" * 50 + "\n" * 99)]
+    want = passages(docs)
+    got = dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string"), windows=True).collect()
+    assert sum(r.n_removed_lines for r in got if r.doc_id < 200) == planted
+    texts = {}
+    for d in docs:
+        texts.setdefault(d[0], []).append(d[1])
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.text, r.n_lines, r.n_removed_lines) in [want[r.doc_id, t] for t in texts[r.doc_id]]
