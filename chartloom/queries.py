@@ -64,8 +64,7 @@ def squash_ws(spark, sf_dir):
 
 
 def fold_accents(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where("lang IN ('fr', 'es', 'de')")
-    return d.select("doc_id", F.md5(T.folded(F.col("text"))).alias("digest"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.folded(F.col("text"))).alias("digest"))
 
 
 def section_heading(spark, sf_dir):
@@ -169,8 +168,7 @@ def wer_conversations(spark, sf_dir):
     t = _table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = t.withColumn("before", F.lag("text").over(w)).where("before IS NOT NULL")
-    first = lambda x: F.slice(T.tokens(F.col(x)), 1, 12)
-    return t.select("conv_id", "turn", F.round(similarity.word_error_rate(first("before"), first("text")), 6).alias("wer"))
+    return t.select("conv_id", "turn", F.round(similarity.word_error_rate(T.tokens(F.col("before")), T.tokens(F.col("text"))), 6).alias("wer"))
 
 
 def jaccard_words(spark, sf_dir):
@@ -225,12 +223,19 @@ def score_weighted(spark, sf_dir):
     return scoring.corpus(s).select(*[F.round(x, 6).alias(x) for x in ("text", "assertions", "candidates", "final")], "weight")
 
 
-def score_documents(spark, sf_dir):
+def _line_scores(spark, sf_dir):
     gold = _line_spans(spark, sf_dir).withColumns({"assertions": F.array().cast("array<string>"), "candidates": F.array(F.col("idx").cast("string"))})
     pred = gold.where(F.col("idx") % 4 != 1).withColumn("text", F.regexp_replace("text", r"\s\S+$", ""))
-    gold, pred = (g.withColumn("text", F.substring("text", 1, 80)) for g in (gold, pred))
-    out = scoring.documents(_docs(spark, sf_dir), gold, pred)
-    return out.select("doc_id", "n_gold", "n_pred", "n_matched", "n_missed", "n_spurious", "weight", F.round("candidates", 6).alias("candidates"))
+    return scoring.documents(_docs(spark, sf_dir), gold, pred)
+
+
+def score_documents(spark, sf_dir):
+    return _line_scores(spark, sf_dir).select("doc_id", "n_gold", "n_pred", "n_matched", "n_missed", "n_spurious", "weight", F.round("candidates", 6).alias("candidates"))
+
+
+def score_texts(spark, sf_dir):
+    """The text score of score_documents, whose SQL has the other columns."""
+    return _line_scores(spark, sf_dir).select("doc_id", F.round("text", 6).alias("text"))
 
 
 def type_report(spark, sf_dir):
@@ -345,7 +350,7 @@ def paragraphs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     atoms_count, atom_offsets, line_offsets, word_freq_top, squash_ws, fold_accents, section_heading, negation_window, bio_islands, span_owner, greedy_match, deoverlap,
     adjacent_overlap, spans_missed, chunk_budget, gazetteer_hits, gazetteer_partial, alias_split, tty_dedupe, exact_then_fuzzy, drug_links, token_block_candidates, token_sort_key,
-    wer_conversations, jaccard_words, cosine_topk, margin_select, dense_lex_merge, tfidf_terms, char_tfidf, pair_left, score_weighted, score_documents, type_report, source_rollup,
+    wer_conversations, jaccard_words, cosine_topk, margin_select, dense_lex_merge, tfidf_terms, char_tfidf, pair_left, score_weighted, score_documents, score_texts, type_report, source_rollup,
     type_conflict, code_conflict, event_vocab, rank_hist_median, cutoff_sweep, ingredient_map, code_absent, marker_multiset, worst_n, holdout_stratified, take_backfill, seq_ids,
     issue_report, missed_mentions, mask_overlay, markup_unwrap, json_props, paragraphs,
 )}
