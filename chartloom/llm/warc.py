@@ -15,8 +15,9 @@ payload contains magic span several pieces; those alone are read a second time a
 
 Edge cases: a null payload is written as empty; empty payloads are equal payloads; rows of one group that
 share the largest id (a repeated row) are all responses; a null id is smaller than any other and is written without an
-identifier; an empty table writes no record; extra columns are ignored; a header that is cut short or
-lacks a length has no successor, so the chain ends there.
+identifier; an empty table writes no record; extra columns are ignored; headers may be of any length; one
+that is cut short, holds magic or lacks a length has no successor. Reading fails where a file's chain does not
+end at the file's size.
 """
 
 from __future__ import annotations
@@ -35,10 +36,9 @@ from chartloom.llm import common as c
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 NULL_ID = -(2**63)
-HEADER_LIMIT = 64 << 10
 
 CANDIDATE = (
-    "file string, split long, at long, size long, next_at long, body_at long, body_size long, record_type string, page_id long,"
+    "file string, split long, file_size long, at long, size long, next_at long, body_at long, body_size long, record_type string, page_id long,"
     " refers_to long, payload_bytes long, payload_digest string, digest_seen string"
 )
 
@@ -79,7 +79,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 def _parse(head: bytes) -> dict[str, str] | None:
     """The header fields of a piece that starts behind the magic, or None if the header isn't whole."""
-    stop = head.find(END, 0, HEADER_LIMIT)
+    stop = head.find(END)
     if stop < 0:
         return None
     out = {"": str(stop + len(END))}
@@ -107,7 +107,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         place, at = None, 0
         for batch in batches:
             rows: list[tuple] = []
-            for piece, file, split, in zip(batch.column("piece"), batch.column("file").to_pylist(), batch.column("split").to_pylist()):
+            for piece, file, split, file_size in zip(batch.column("piece"), *(batch.column(x).to_pylist() for x in ("file", "split", "file_size"))):
                 raw = piece.as_py()
                 if (file, split) != place:
                     place, at = (file, split), 0
@@ -115,29 +115,29 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 else:
                     leading = False
                 if leading:  # what stands before the first magic of a file
-                    rows.append((file, split, -1, len(raw), *[None] * 9))
+                    rows.append((file, split, file_size, -1, len(raw), *[None] * 9))
                     at += len(raw)
                     continue
-                rows.append(_candidate(file, split, at, raw))
+                rows.append(_candidate(file, split, file_size, at, raw))
                 at += len(MAGIC) + len(raw)
             names = [x.split()[0] for x in CANDIDATE.split(",")]
-            kinds = [pa.string(), *[pa.int64()] * 6, pa.string(), *[pa.int64()] * 3, pa.string(), pa.string()]
+            kinds = [pa.string(), *[pa.int64()] * 7, pa.string(), *[pa.int64()] * 3, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return _pieces(spark, path).select("piece", "file", "split").mapInArrow(run, CANDIDATE)
+    return _pieces(spark, path).mapInArrow(run, CANDIDATE)
 
 
-def _candidate(file: str, split: int, at: int, raw: bytes) -> tuple:
+def _candidate(file: str, split: int, file_size: int, at: int, raw: bytes) -> tuple:
     fields = _parse(raw)
     length = _number(fields.get("content-length")) if fields else None
     if length is None or length < 0:
-        return (file, split, at, len(raw), *[None] * 9)
+        return (file, split, file_size, at, len(raw), *[None] * 9)
     body = int(fields[""])
     whole = len(raw) >= body + length
     kind = fields.get("warc-type")
     seen = _digest(raw[body : body + length]) if whole and kind == "response" else None
     return (
-        file, split, at, len(raw), at + len(MAGIC) + body + length + len(END), at + len(MAGIC) + body, length, kind, _number(fields.get("warc-record-id")),
+        file, split, file_size, at, len(raw), at + len(MAGIC) + body + length + len(END), at + len(MAGIC) + body, length, kind, _number(fields.get("warc-record-id")),
         _number(fields.get("warc-refers-to")), _number(fields.get("x-payload-length")), (fields.get("warc-payload-digest") or "").removeprefix("sha1:"), seen,
     )
 
@@ -197,6 +197,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     found = local.where("at >= 0").join(starts, ["file", "split"])
     found = found.withColumns({x: F.col(x) + F.col("start") for x in ("at", "next_at", "body_at")}).drop("start")
     records = c.stored(reachable(found), "warc-records")
+    _whole_chains(local, records)
     whole = records.where("record_type <> 'response' OR digest_seen IS NOT NULL")
     broken = records.where("record_type = 'response' AND digest_seen IS NULL")
     if not broken.isEmpty():
@@ -204,6 +205,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("page_id", F.coalesce("payload_bytes", "body_size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", (F.coalesce("digest_seen", "payload_digest") == F.col("payload_digest")).alias("verified"))
 
 
+def _whole_chains(local: DataFrame, records: DataFrame) -> None:
+    """Raises if the chain of a file does not end where the file does."""
+    sizes = local.groupBy("file").agg(F.max("file_size").alias("file_size"))
+    ends = records.groupBy("file").agg(F.max("next_at").alias("end"))
+    short = sizes.where("file_size > 0").join(ends, "file", "left").where("end IS NULL OR end <> file_size").select("file", "file_size", F.coalesce("end", F.lit(0)).alias("end")).take(3)
+    if short:
+        raise ValueError("record chains do not end at the file's size: " + "; ".join(f"{r.file} ends at {r.end} of {r.file_size}" for r in short))
+
+
 def _mended(spark: SparkSession, path: str, local: DataFrame, starts: DataFrame, broken: DataFrame) -> DataFrame:
     """Records whose payload contains magic: their pieces are read again, gathered and digested."""
 

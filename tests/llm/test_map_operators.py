@@ -103,6 +103,26 @@ def test_warc(spark):
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_warc_long_headers(spark):
+    rows = [(i, "data:text/html," + "x" * (200_000 if i in (3, 11) else 10), f"page {i}" * 50) for i in range(20)]
+    path = common.fresh_path(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read_archives(spark, path).collect()
+    assert sorted((r.page_id, r.verified) for r in got) == [(i, True) for i, _, _ in rows]
+
+
+def test_warc_chain_that_breaks_off(spark, tmp_path):
+    record = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %s\r\n\r\nhello\r\n\r\n"
+    for k, (n, text) in enumerate([(1, record % 5), (None, record % 5 + record % "?" + record % 5), (None, record % 5 + record % 9), (None, "junk"), (0, "")]):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.txt").write_bytes(text.encode())
+        if n is None:
+            with pytest.raises(ValueError, match="do not end"):
+                warc.read_archives(spark, f"{tmp_path}/{k}")
+        else:
+            assert warc.read_archives(spark, f"{tmp_path}/{k}").count() == n
+
+
 # ---------------------------------------------------------------- containment
 
 def _shingles(text):
