@@ -1,15 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of no, one or two preceding words. A context is a candidate if it occurs
-`min_count` times in training texts (and, of two words, if its last word is one); it is retained if the gain
+States are contexts of preceding words, of no word, one, two and so on. A context is a candidate if it occurs
+`min_count` times in training texts (and, of more words, if its last word does); it is retained if the gain
 in log likelihood of its next-word distribution over its parent's passes `gain` nats for each
 distribution entry and `divergence` nats an occurrence. A state's entries are next words seen at least twice
 after it, less `discount` each; what that leaves goes to the parent's distribution, down to the root's
 additively smoothed word frequencies, in which all unknown words are one symbol. Each distribution sums to
 one. A text's score uses, word by word and for its end, the longest retained suffix of what precedes.
 
-Counts are gathered by hash across blocks (exchange.py) in five rounds: words; pairs and states of one
-word; triples and states of two. Nothing is sampled or capped, and the tables grow with the corpus.
+Counts are gathered by hash across blocks (exchange.py): a round for words, then for each length of
+context a round for its entries and one for its states. With `depth` None, as the query has it, contexts grow
+by a word until no longer one can be retained: a longer one wins at most what its entries, counted in the
+shorter, cost there, the sum of n * log(1 / p), and needs 2 * `gain`. A number ends the contexts at that length.
+Nothing is sampled or capped, and the tables grow with the corpus; each round reads the answers of all before it.
 Words are told apart by 64-bit hashes, entries by
 as many bits as let less than one in 2**20 share its hash with another.
 
@@ -145,13 +148,13 @@ class Block:
         whole = s.total + ALPHA * (s.distinct + 1)
         self.root = ((self.count[:-1] + ALPHA) / whole)[self.token] if s.total else np.ones(len(self.token))
         context = np.where(self.count[self.prev] >= s.min_count, self.prev, -1)
-        self.one = Level(context, self.count[self.token] >= 2, self.hashes, self.count, self.token, self.words, PAIR, s.mask)
+        self.level, self.below = Level(context, self.count[self.token] >= 2, self.hashes, self.count, self.token, self.words, PAIR, s.mask), self.root
 
     def _entries(self, level: Level, got: str) -> np.ndarray:
         return (x.gathered(self.row[got], "<u4") & KNOWN).astype(np.int64)
 
     def _state_request(self, level: Level, got: str, parent: np.ndarray) -> pa.RecordBatch:
-        """What the block's owned entries add to their contexts: entries, occurrences, mass, gain."""
+        """What the block's owned entries add to their contexts: entries, occurrences, mass, gain, and what the entries cost below."""
         raw = x.gathered(self.row[got], "<u4")
         n = (raw & KNOWN).astype(np.int64)
         mine = ((raw & OWNED) > 0) & (n >= 2)
@@ -161,8 +164,8 @@ class Block:
         position[asked] = np.arange(len(asked))
         to, k = position[level.ctx[mine]], n[mine]
         mass = (k - self.s.discount) / level.seen[level.ctx[mine]]
-        sums = [np.bincount(to, weights=w, minlength=len(asked)) for w in (np.ones(len(k)), k.astype(float), mass, k * np.log(mass / below[mine]))]
-        vals = np.stack([*sums, level.seen[asked].astype(float)], axis=1).astype("<f4")
+        sums = [np.bincount(to, weights=w, minlength=len(asked)) for w in (np.ones(len(k)), k.astype(float), mass, k * np.log(mass / below[mine]), -k * np.log(below[mine]))]
+        vals = np.stack([*sums[:4], level.seen[asked].astype(float), sums[4]], axis=1).astype("<f4")
         return x.requests(self.block, level.hashes[asked], vals, self.s.buckets)
 
     def _mixed(self, level: Level, entries: str, states: str, parent: np.ndarray) -> np.ndarray:
@@ -178,21 +181,27 @@ class Block:
         out[at[on]] = p[on]
         return out
 
-    def learn_pairs(self) -> None:
-        self.p_one = self._mixed(self.one, "pairs_got", "one_got", self.root)
-        n = self._entries(self.one, "pairs_got")
-        # the context of two words before position i is the pair that ends at i - 1
-        before = np.concatenate([[-1], self.one.of[:-1]])
-        before[self.is_first] = -1
-        ok = before >= 0
-        ok[ok] = n[before[ok]] >= self.s.min_count
-        often = np.zeros(len(self.token), bool)
-        some = self.one.of >= 0
-        often[some] = n[self.one.of[some]] >= 2
-        self.two = Level(np.where(ok, before, -1), often, self.one.keys, n, self.token, self.words, TRIPLE, self.s.mask)
-
-    def scores(self) -> pa.RecordBatch:
-        p = self._mixed(self.two, "triples_got", "two_got", self.p_one)
+    def learn(self, depth: int) -> None:
+        """The level of contexts of `depth` words, and the distributions below it."""
+        self.learn_words()
+        for d in range(1, depth):
+            level = self.level
+            self.below = self._mixed(level, f"entries_{d}", f"states_{d}", self.below)
+            n = self._entries(level, f"entries_{d}")
+            # the context of d + 1 words before position i is the entry that ends at i - 1
+            before = np.concatenate([[-1], level.of[:-1]])
+            before[self.is_first] = -1
+            ok = before >= 0
+            ok[ok] = n[before[ok]] >= self.s.min_count
+            often = np.zeros(len(self.token), bool)
+            some = level.of >= 0
+            often[some] = n[level.of[some]] >= 2
+            salt = np.uint64(int(TRIPLE) * (2 * d - 1) % 2**64)
+            self.level = Level(np.where(ok, before, -1), often, level.keys, n, self.token, self.words, salt, self.s.mask)
+
+    def scores(self, depth: int) -> pa.RecordBatch:
+        self.learn(depth)
+        p = self._mixed(self.level, f"entries_{depth}", f"states_{depth}", self.below)
         first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         add = lambda v: np.add.reduceat(v, first)
         known = add((self.count[self.token] > 0).astype(np.int64))
@@ -215,7 +224,7 @@ def _tally(unique: np.ndarray, group: np.ndarray, vals: np.ndarray) -> np.ndarra
     return np.array([total.sum(), (total > 0).sum()], "<i8")
 
 
-def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12, gain: float = 1.0, divergence: float = 0.02, discount: float = 0.6) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12, gain: float = 1.0, divergence: float = 0.02, discount: float = 0.6, depth: int | None = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     blocks = token_blocks(docs, modulus)
@@ -223,7 +232,7 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12,
     s = Settings(min_count, gain, divergence, discount, x.n_buckets(spark, 8 * tokens))
     s.narrow(tokens)
 
-    def keep(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
+    def rests(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
         """The parent's share in each retained state, 0 for the others."""
         sums = [np.bincount(group, weights=vals[:, i], minlength=n) for i in range(4)]
         seen = np.zeros(n)
@@ -231,7 +240,20 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12,
         rest = np.clip(1 - sums[2], 1e-6, 1.0)
         won = sums[3] + (seen - sums[1]) * np.log(rest)
         ok = (sums[0] > 0) & (won >= gain * (sums[0] + 1)) & (won >= divergence * seen)
-        return np.where(ok, rest, 0.0).astype("<f4")[group]
+        return np.where(ok, rest, 0.0).astype("<f4")
+
+    def keep(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
+        return rests(group, n, vals)[group]
+
+    def growing(unique: np.ndarray, group: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        """How many states are retained, and how many may have longer ones that are (with room for rounding)."""
+        on = rests(group, len(unique), vals) > 0
+        won, cost = (np.bincount(group, weights=vals[:, i], minlength=len(unique)) for i in (3, 5))
+        return np.array([on.sum(), (cost - np.where(on, won, 0.0) >= 1.98 * gain).sum()], "<i8")
+
+    def sums_of(answers: DataFrame, width: int) -> list[int]:
+        whole = [np.zeros(width, np.int64), *(x.unplanes(r.reply, "<i8") for r in answers.where("block < 0").select("reply").toLocalIterator())]
+        return [int(v) for v in np.sum(whole, axis=0)]
 
     def pass_over(ask, **replies) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,37 +262,32 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12,
 
         return x.joined(blocks, **replies).mapInArrow(run, x.REQUEST)
 
-    def pairs(b: Block) -> pa.RecordBatch:
-        b.learn_words()
-        return x.requests(b.block, b.one.keys, b.one.local(b.train), s.buckets)
+    def entries(d: int):
+        def ask(b: Block) -> pa.RecordBatch:
+            b.learn(d)
+            return x.requests(b.block, b.level.keys, b.level.local(b.train), s.buckets)
 
-    def one_states(b: Block) -> pa.RecordBatch:
-        b.learn_words()
-        return b._state_request(b.one, "pairs_got", b.root)
+        return ask
 
-    def triples(b: Block) -> pa.RecordBatch:
-        b.learn_words()
-        b.learn_pairs()
-        return x.requests(b.block, b.two.keys, b.two.local(b.train), s.buckets)
+    def states(d: int):
+        def ask(b: Block) -> pa.RecordBatch:
+            b.learn(d)
+            return b._state_request(b.level, f"entries_{d}", b.below)
 
-    def two_states(b: Block) -> pa.RecordBatch:
-        b.learn_words()
-        b.learn_pairs()
-        return b._state_request(b.two, "triples_got", b.p_one)
+        return ask
 
     got = {"words_got": x.answered(pass_over(lambda b: b.word_request()), _add_counts, "<u4", 1, "words", _tally)}
-    whole = [np.zeros(2, np.int64), *(x.unplanes(r.reply, "<i8") for r in got["words_got"].where("block < 0").select("reply").toLocalIterator())]
-    s.total, s.distinct = (int(v) for v in np.sum(whole, axis=0))
-    got["pairs_got"] = x.answered(pass_over(pairs, **got), _add_counts, "<u4", 1, "pairs")
-    got["one_got"] = x.answered(pass_over(one_states, **got), keep, "<f4", 5, "one-states")
-    got["triples_got"] = x.answered(pass_over(triples, **got), _add_counts, "<u4", 1, "triples")
-    got["two_got"] = x.answered(pass_over(two_states, **got), keep, "<f4", 5, "two-states")
+    s.total, s.distinct = sums_of(got["words_got"], 2)
+    d = 0
+    while depth is None or d < depth:
+        d += 1
+        got[f"entries_{d}"] = x.answered(pass_over(entries(d), **got), _add_counts, "<u4", 1, f"entries-{d}")
+        got[f"states_{d}"] = x.answered(pass_over(states(d), **got), keep, "<f4", 6, f"states-{d}", growing)
+        if depth is None and not sums_of(got[f"states_{d}"], 2)[1]:
+            break
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in x.each_row(batches):
-            b = Block(row, s)
-            b.learn_words()
-            b.learn_pairs()
-            yield b.scores()
+            yield Block(row, s).scores(d)
 
     return x.joined(blocks, **got).mapInArrow(last, SCORES)

@@ -99,3 +99,66 @@ def test_empty_and_untrained(spark):
     assert suffix_tree_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
     assert tuple(suffix_tree_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()) == (held, True, 3, 0, 0, 0.0, 0.0)
+
+
+def deep(docs, min_count, gain, divergence, discount):
+    """Scores with contexts of any length that occurs min_count times; the retained lengths."""
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs]
+    toks = [["<begin>", *tokens(t)] for _, t in docs]
+    train = [t for t, h in zip(toks, held) if not h]
+    one = Counter(w for t in train for w in t[1:])
+    n, v = sum(one.values()), len(one)
+    root = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    rest, nexts, seen, depth = {}, {}, {}, 0
+
+    def p(ctx, w):
+        while ctx and ctx not in rest:
+            ctx = ctx[1:]
+        if not ctx:
+            return root(w)
+        k = nexts[ctx][w]
+        return ((k - discount) / seen[ctx] if k >= 2 else 0.0) + rest[ctx] * p(ctx[1:], w)
+
+    while True:
+        depth += 1
+        found = defaultdict(Counter)
+        for t in train:
+            for i in range(depth, len(t)):
+                found[tuple(t[i - depth : i])][t[i]] += 1
+        new = {}
+        for ctx, after in found.items():
+            seen[ctx] = sum(after.values())
+            kept = {w: k for w, k in after.items() if k >= 2}
+            if seen[ctx] < min_count or not kept:
+                continue
+            left = min(1.0, max(1e-6, 1 - sum((k - discount) / seen[ctx] for k in kept.values())))
+            won = sum(k * math.log((k - discount) / seen[ctx] / p(ctx[1:], w)) for w, k in kept.items()) + (seen[ctx] - sum(kept.values())) * math.log(left)
+            if won >= gain * (len(kept) + 1) and won >= divergence * seen[ctx]:
+                new[ctx] = left
+        if depth > 1 and not any(sum(after.values()) >= min_count for after in found.values()):
+            break
+        nexts.update(found)
+        rest.update(new)
+    longest = max(map(len, rest))
+    return [(i, h, len(t) - 1, sum(math.log10(p(tuple(t[max(0, j - longest) : j]), t[j])) for j in range(1, len(t)))) for (i, _), t, h in zip(docs, toks, held)], {len(x) for x in rest}
+
+
+def test_contexts_of_any_length(spark):
+    rnd = random.Random(6)
+    docs = []
+    for i in range(150):
+        t = []
+        for _ in range(rnd.randint(1, 12)):
+            # what ends the passage depends on the word five before it
+            k = rnd.randint(0, 3)
+            t += [f"start{k}", "all", "of", "this", "again", f"end{k}"] if rnd.random() < 0.5 else [rnd.choice(["all", "of", "this", "x", "y"])]
+        docs.append((i, " ".join(t)))
+    docs += [(None, "all of this"), (500, None), (501, ""), (3, docs[3][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.score) for r in suffix_tree_scores(frame, **OPTS, depth=None).collect()]
+    want, lengths = deep(docs, **OPTS)
+    assert max(lengths) > 4
+    key = lambda r: (str(r[0]), r[2], round(r[3], 4))
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:3] == w[:3]
+        assert g[3] == pytest.approx(w[3], rel=1e-5)
