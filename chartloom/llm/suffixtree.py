@@ -255,12 +255,17 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12,
         whole = [np.zeros(width, np.int64), *(x.unplanes(r.reply, "<i8") for r in answers.where("block < 0").select("reply").toLocalIterator())]
         return [int(v) for v in np.sum(whole, axis=0)]
 
+    deep: DataFrame | None = None
+
+    def base() -> DataFrame:
+        return blocks if deep is None else blocks.join(deep, "block", "left")
+
     def pass_over(ask, **replies) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in x.each_row(batches):
                 yield ask(Block(row, s))
 
-        return x.joined(blocks, **replies).mapInArrow(run, x.REQUEST)
+        return x.joined(base(), **replies).mapInArrow(run, x.REQUEST)
 
     def entries(d: int):
         def ask(b: Block) -> pa.RecordBatch:
@@ -283,11 +288,24 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12,
         d += 1
         got[f"entries_{d}"] = x.answered(pass_over(entries(d), **got), _add_counts, "<u4", 1, f"entries-{d}")
         got[f"states_{d}"] = x.answered(pass_over(states(d), **got), keep, "<f4", 6, f"states-{d}", growing)
-        if depth is None and not sums_of(got[f"states_{d}"], 2)[1]:
+        if d == depth or depth is None and not sums_of(got[f"states_{d}"], 2)[1]:
             break
+        if d > 1:
+            # the answers so far lie beside the blocks from here on, those of three words and more apart: later rounds join two tables
+            old = got
+            if d == 2:
+                blocks = c.stored_by(x.joined(blocks, **got), "block", "answered-blocks")
+            else:
+                before = deep
+                deep = c.stored_by(x.joined(blocks.select("block") if deep is None else deep, **got), "block", "answers")
+                if before is not None:
+                    c.release(before)
+            got = {}
+            for df in old.values():
+                c.release(df)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in x.each_row(batches):
             yield Block(row, s).scores(d)
 
-    return x.joined(blocks, **got).mapInArrow(last, SCORES)
+    return x.joined(base(), **got).mapInArrow(last, SCORES)
