@@ -1,30 +1,33 @@
 """What the llm operators share: stable intermediate tables, texts as numpy buffers, vectorised hashing.
 
-Texts reach Python in Arrow batches. `chunks` cuts a batch into runs of whole texts of a few MB, so a
-worker's temporaries stay bounded by the chunk size or by one text, whichever is larger.
+Texts reach Python in Arrow batches. `chunks` cuts a batch into runs of whole texts of a MB, so a worker's
+temporaries stay bounded by the chunk size or by one text, whichever is larger.
 """
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. In local mode, where driver and executor are one
+    process, a folder of our own stands in for it; on a cluster it has to be set."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -34,32 +37,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chartloom/{name}-{uuid.uuid4().hex}"
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of finished jobs, which it does when their plans are garbage."""
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.1)
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends: its rows are in the shared folder then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: later plans start from the files, whoever is lost."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    drop_shuffles(spark)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._chartloom_path = path
     return out
 
 
 def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """stored(), bucketed by a key: later joins on it leave these rows where they are. Registers a table."""
+    """stored(), bucketed by a key: later joins on it leave these rows where they are. The catalog holds the
+    table only until it is read back."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     table = f"chartloom_{path.rsplit('/', 1)[1].replace('-', '_')}"
-    df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(table)
-    drop_shuffles(spark)
+    with shuffles_dropped(spark):
+        df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(table)
     out = spark.table(table)
+    out.schema  # resolved while the catalog has it
+    spark.sql(f"DROP TABLE {table}")
     out._chartloom_path = path
     return out
 
@@ -139,30 +148,9 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 # ---------------------------------------------------------------- hashing
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _pow(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        have = np.full(((n >> 20) + 1) << 20, _BASE if kind == "up" else _INVERSE, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if n <= CHUNK_BYTES + 1:
-            _powers[kind] = have
-    return have[:n]
-
-
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial hash modulo 2**64; range_hash reads the hash of any byte range from it."""
-    n = len(buf)
-    out = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * _pow("up", n), out=out[1:])
-    return out
+LONG = 128  # longer ranges are digested one by one
+_SEED, _FOLD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -171,10 +159,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end): equal for equal bytes, wherever they stand."""
-    inverse = _pow("down", len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a number; past the end they are zero."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
+def range_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end): equal for equal bytes, wherever they stand.
+
+    Eight bytes at a time are folded in between rounds of a bijective mixer, so ranges of the same length up to
+    8 bytes never collide and no arithmetic relation between longer ones carries over; ranges over LONG bytes
+    are digested.
+    """
+    size, view = ends - starts, eights(buf)
+    out = mix(size.astype(np.uint64) * _SEED + _FOLD)
+    at = np.flatnonzero(size <= LONG) if len(size) and size.max() > LONG else np.arange(len(size))
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        out[at] = mix((out[at] ^ (view[starts[at] + k] & _LOW[np.minimum(size[at] - k, 8)])) * _FOLD + np.uint64(k))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_ranges(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from a and from b on are equal, compared byte by byte."""
+    view, out = eights(buf), np.ones(len(a), bool)
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[out[at] & (size[at] > k)]
+        if not len(at):
+            break
+        out[at] = ((view[a[at] + k] ^ view[b[at] + k]) & _LOW[np.minimum(size[at] - k, 8)]) == 0
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = bool((buf[a[i] : a[i] + size[i]] == buf[b[i] : b[i] + size[i]]).all())
+    return out
+
+
+def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each byte range, equal for equal bytes only: hashes group them, bytes confirm the groups."""
+    _, first, ids = np.unique(range_hash(buf, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    if (size == size[first][ids]).all() and same_ranges(buf, starts, starts[first][ids], size).all():
+        return ids
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(buf[a:b].tobytes(), len(known)) for a, b in zip(starts, ends)], np.int64)
 
 
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
@@ -205,4 +237,4 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     lower-cased in ASCII; every other ASCII character separates."""
     low = LOWER[buf]
     s, e, row = spans(ALNUM[low], offsets)
-    return range_hash(prefix_hash(low), s, e), row
+    return range_hash(low, s, e), row

@@ -1,12 +1,15 @@
 """Quality rules from tokeniser fertility.
 
-Two public vocabularies measure every document: a piece vocabulary with byte fallback and a byte-level
-one for many languages. Both split at white space, so a document's tokens are its words' tokens, and a
-worker encodes a distinct word once. Per document and vocabulary: characters per token, the share of
-tokens that are fallback bytes, and the entropy of the token distribution relative to its maximum. The
-bands within which a document stays are robust statistics (median and median absolute deviation) of all
-documents of the same language (lang; the dominant script where lang is null), widened for short texts,
-whose measures scatter.
+Two public vocabularies measure every whole text, white space and line ends included: a piece vocabulary with
+byte fallback and a byte-level one for many languages. Per document: characters per token of either, the share
+of tokens that are fallback bytes, and the entropy of the token distribution relative to its maximum. Runs of
+over RUN characters without white space, or of it, are measured in pieces of RUN, as byte-level merging takes
+quadratic time in them. The bands within which a document stays are robust statistics (median and median
+absolute deviation) of all documents of the same language (lang; the dominant script where lang is null), widened
+for short texts, whose measures scatter. They come from counts on a fixed grid of GRID steps a unit, so they are
+exact on that grid and the same however the rows are dealt.
+
+Words and lines are told apart by their bytes: hashes only say which to compare.
 
 Edge cases: null and empty texts have no words and fail the base rules; equal rows get equal verdicts;
 a language with one document keeps it (its own median); texts are read whole whatever their length;
@@ -15,11 +18,12 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import common as c
@@ -27,7 +31,14 @@ from chartloom.llm import common as c
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 8
-MAX_KNOWN = 400_000
+RUN = 1024
+_CUTS = re.compile(rf"\S{{{RUN}}}(?=\S)|\s{{{RUN}}}(?=\s)")
+GRID = 1024
+#: Measures over this many grid steps count as this many; a median there would be of texts without words.
+LAST = 1 << 16
+#: Bands are sent to every task up to so many languages; beyond, rows are joined with them.
+FEW = 10_000
+NAMES = ["chars_per_piece", "piece_entropy", "chars_per_byte_token", "fallback_share"]
 
 MEASURED = (
     "doc_id long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
@@ -35,8 +46,13 @@ MEASURED = (
 )
 
 
-class Words:
-    """Tokens of distinct words under both vocabularies, kept as flat arrays and found by word hash."""
+def _segments(text: str) -> list[str]:
+    ends = [m.end() for m in _CUTS.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+
+
+class Vocabularies:
+    """The two tokenisers of a worker; nothing is remembered between texts."""
 
     def __init__(self, piece_model: bytes, ranks: bytes):
         import base64
@@ -49,40 +65,29 @@ class Words:
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
         own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.bytes = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own, special_tokens={})
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.n_bytes: list[int] = []
-        self.ids: list[list[int]] = []
-
-    def look(self, hashes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(byte-level tokens, piece counts, flat piece ids) of the words given by hash and bytes."""
-        if len(self.at) > MAX_KNOWN:
-            self.clear()
-        keys = hashes.tolist()
-        missing = [i for i, h in enumerate(keys) if h not in self.at]
-        if missing:
-            texts = [words[i].decode("utf-8", "replace") for i in missing]
-            for i, t, ids in zip(missing, texts, self.pieces.encode(texts, num_threads=1)):
-                self.at[keys[i]] = len(self.ids)
-                self.ids.append(ids)
-                self.n_bytes.append(len(self.bytes.encode_ordinary(" " + t)))
-        rows = [self.at[h] for h in keys]
-        lists = [self.ids[r] for r in rows]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(counts.sum()))
-        return np.fromiter((self.n_bytes[r] for r in rows), np.int64, len(rows)), counts, flat
-
-
-def _repeats(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """For each word whether some 8-word window over it stands twice or more in its text."""
-    n = len(hashes)
+
+    def tokens(self, text: str) -> tuple[np.ndarray, int]:
+        """(piece ids, number of byte-level tokens) of a whole text."""
+        ids, n = [], 0
+        for part in _segments(text):
+            ids.append(np.array(self.pieces.encode(part), np.int32))
+            n += len(self.bytes.encode_ordinary(part))
+        return np.concatenate(ids), n
+
+
+def _repeats(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each word whether some 8-word window over it stands twice or more in its text.
+
+    Windows are named by doubling: a number for each two words, for each four, for each eight.
+    """
+    n = len(ids)
     covered = np.zeros(n + 1, np.int64)
     if n >= WINDOW:
-        win = c.ngram_hash(hashes, WINDOW)
-        start = np.flatnonzero(row[: len(win)] == row[WINDOW - 1 :])
-        key = c.mix(win[start] + row[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        name = ids
+        for step in (1, 2, 4):
+            name = np.unique(name[:-step] * (int(name.max()) + 1) + name[step:], return_inverse=True)[1]
+        start = np.flatnonzero(row[: len(name)] == row[WINDOW - 1 :])
+        key = row[start] * (int(name.max()) + 1) + name[start]
         order = np.argsort(key, kind="stable")
         same = np.zeros(len(order), bool)
         eq = key[order][1:] == key[order][:-1]
@@ -90,20 +95,20 @@ def _repeats(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
         same[:-1] |= eq
         twice = start[order[same]]
         np.add.at(covered, twice, 1)
-        np.add.at(covered, twice + WINDOW, -1) if len(twice) else None
+        np.add.at(covered, twice + WINDOW, -1)
     return np.cumsum(covered[:n]) > 0
 
 
-def _dup_lines(buf: np.ndarray, off: np.ndarray, prefix: np.ndarray, word_starts: np.ndarray, n_rows: int) -> np.ndarray:
+def _dup_lines(buf: np.ndarray, off: np.ndarray, word_starts: np.ndarray, n_rows: int) -> np.ndarray:
     """Lines with a word that equal an earlier line of the same text, counted by row."""
     s, e, row = c.spans(buf != 10, off)  # empty lines have no word
     if not len(s):
         return np.zeros(n_rows, np.int64)
     has = np.searchsorted(word_starts, e) > np.searchsorted(word_starts, s)
     s, e, row = s[has], e[has], row[has]
-    key = c.mix(c.range_hash(prefix, s, e) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first = np.unique(key, return_index=True)
-    dup = np.ones(len(key), bool)
+    ids = c.exact_ids(buf, s, e)
+    _, first = np.unique(row * (len(ids) + 1) + ids, return_index=True)
+    dup = np.ones(len(ids), bool)
     dup[first] = False
     return np.bincount(row[dup], minlength=n_rows)
 
@@ -122,66 +127,74 @@ def _scripts(buf: np.ndarray, off: np.ndarray) -> list[str]:
     return [names[1 + int(np.argmax(t))] if max(t) else "none" for t in zip(*tallies)]
 
 
-def _measure(words: Words, part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+def _measure(own: Vocabularies, part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
     n = part.num_rows
-    prefix = c.prefix_hash(buf)
-    s, e, row = c.spans(~c.SPACE[buf], off)
-    h = c.range_hash(prefix, s, e)
+    inside = ~c.SPACE[buf]
+    s, e, row = c.spans(inside, off)
     n_words = np.bincount(row, minlength=n)
+    summed = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[off])
     lead = (buf & 0xC0) != 0x80
-    in_word = lead & ~c.SPACE[buf]
-    chars = np.diff(np.concatenate([[0], np.cumsum(in_word)])[off])
-    symbols = np.diff(np.concatenate([[0], np.cumsum(SYMBOLS[buf])])[off])
-    repeat = np.bincount(row[_repeats(h, row)], minlength=n) if len(h) else np.zeros(n, np.int64)
-    dup = _dup_lines(buf, off, prefix, s, n)
+    word_chars, chars, symbols = summed(lead & inside), summed(lead), summed(SYMBOLS[buf])
+    repeat = np.bincount(row[_repeats(c.exact_ids(buf, s, e), row)], minlength=n) if len(s) else np.zeros(n, np.int64)
+    dup = _dup_lines(buf, off, s, n)
 
-    distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+    n_pieces, fallback, entropy, n_bytes = (np.zeros(n, k) for k in (np.int64, np.int64, float, np.int64))
     raw = buf.tobytes()
-    n_bytes, counts, flat = words.look(distinct, [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())])
-    byte_tokens = np.bincount(row, weights=n_bytes[back], minlength=n) if len(h) else np.zeros(n)
-    per_word = counts[back]
-    n_pieces = np.bincount(row, weights=per_word, minlength=n).astype(np.int64) if len(h) else np.zeros(n, np.int64)
-    begin = np.concatenate([[0], np.cumsum(counts)])[:-1][back]
-    total = int(per_word.sum())
-    ends = np.cumsum(per_word)
-    ids = flat[np.repeat(begin - (ends - per_word), per_word) + np.arange(total)] if total else np.zeros(0, np.int32)
-    owner = np.repeat(row, per_word)
-    fallback = np.bincount(owner[words.fallback[ids]], minlength=n)
-    key = np.sort(owner.astype(np.int64) << 20 | ids)
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if total else np.zeros(0, np.int64)
-    tally = np.diff(np.concatenate([edge, [total]]))
-    who = key[edge] >> 20
-    p = tally / np.maximum(n_pieces[who], 1)
-    entropy = np.bincount(who, weights=-p * np.log2(p), minlength=n) if total else np.zeros(n)
-    most = np.log2(np.maximum(n_pieces, 2))
+    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        if n_words[i]:
+            ids, n_bytes[i] = own.tokens(raw[a:b].decode("utf-8", "replace"))
+            n_pieces[i], fallback[i] = len(ids), own.fallback[ids].sum()
+            p = np.unique(ids, return_counts=True)[1] / len(ids)
+            entropy[i] = -(p * np.log2(p)).sum() / np.log2(max(len(ids), 2))
     lang = part.column("lang").to_pylist() if "lang" in part.schema.names else [None] * n
     if None in lang:
         lang = [x if x is not None else "script:" + y for x, y in zip(lang, _scripts(buf, off))]
     one = np.maximum(n_pieces, 1)
     out = [
-        part.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), *(pa.array(x.astype(np.int64)) for x in (n_words, chars, symbols, dup, repeat)),
-        pa.array(chars / one), pa.array(fallback / one), pa.array(entropy / most), pa.array(chars / np.maximum(byte_tokens, 1)), pa.array(n_pieces.astype(np.int64)),
+        part.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), *(pa.array(x.astype(np.int64)) for x in (n_words, word_chars, symbols, dup, repeat)),
+        pa.array(chars / one), pa.array(fallback / one), pa.array(entropy), pa.array(chars / np.maximum(n_bytes, 1)), pa.array(n_pieces),
     ]
     return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in MEASURED.split(",")])
 
 
-_words: list[Words] = []
+_own: list[Vocabularies] = []
 
 
 def measures(docs: DataFrame, piece_model: bytes, ranks: bytes) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((piece_model, ranks))  # two files of under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _words:
-            _words.append(Words(*shipped.value))
+        if not _own:
+            _own.append(Vocabularies(*shipped.value))
         for batch in batches:
             for part, buf, off in c.chunks(batch):
-                yield _measure(_words[0], part, buf, off)
+                yield _measure(_own[0], part, buf, off)
 
     cols = ["doc_id", "text", *(["lang"] if "lang" in docs.columns else [])]
     return docs.select(*cols).mapInArrow(run, MEASURED)
 
 
+def _middle(pairs: Column) -> Column:
+    """The lower median of array<struct<v, n>>, sorted by v, n being how often v occurs."""
+    half = F.floor((F.aggregate(pairs, F.lit(0).cast("long"), lambda a, p: a + p["n"]) + 1) / 2)
+    start = F.struct(half.alias("half"), F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("v"))
+    step = lambda a, p: F.struct(a["half"].alias("half"), (a["seen"] + p["n"]).alias("seen"), F.coalesce(a["v"], F.when(a["seen"] + p["n"] >= a["half"], p["v"])).alias("v"))
+    return F.aggregate(pairs, start, step, lambda a: a["v"])
+
+
+def bands(m: DataFrame) -> DataFrame:
+    """band with mid_ and mad_ of each measure over its documents of 20 words or more."""
+    step = lambda x: F.least(F.floor(F.col(x) * GRID), F.lit(LAST)).cast("int")
+    each = m.where("n_words >= 20").select("band", F.explode(F.array(*[F.struct(F.lit(x).alias("name"), step(x).alias("v")) for x in NAMES])).alias("c"))
+    counts = each.groupBy("band", "c.name", "c.v").agg(F.count("*").alias("n"))
+    # at most LAST counts for each language and measure, whatever the number of documents
+    grid = counts.groupBy("band", "name").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h")).withColumn("mid", _middle(F.col("h")))
+    away = F.array_sort(F.transform("h", lambda p: F.struct(F.abs(p["v"] - F.col("mid")).alias("v"), p["n"].alias("n"))))
+    both = grid.select("band", "name", (F.col("mid") + 0.5) / GRID, _middle(away) / GRID).toDF("band", "name", "mid", "mad")
+    value = lambda x, kind: F.max(F.when(F.col("name") == x, F.col(kind))).alias(f"{kind}_{x}")
+    return both.groupBy("band").agg(*(value(x, kind) for x in NAMES for kind in ("mid", "mad")))
+
+
 def fertility_verdicts(docs: DataFrame, piece_model: bytes, ranks: bytes, width: float = 8.0, floor: float = 0.08, short: float = 160.0) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the measures behind the verdict.
 
@@ -189,20 +202,15 @@ def fertility_verdicts(docs: DataFrame, piece_model: bytes, ranks: bytes, width:
     median, for even corpora) from its language's median, times 1 + sqrt(short / pieces).
     """
     m = c.stored(measures(docs, piece_model, ranks), "fertility")
-    names = ["chars_per_piece", "piece_entropy", "chars_per_byte_token", "fallback_share"]
-    exact = 10_000
-    solid = m.where("n_words >= 20")
-    mid = solid.groupBy("band").agg(*(F.percentile_approx(x, 0.5, exact).alias(f"mid_{x}") for x in names))
-    away = solid.join(mid, "band").groupBy("band").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"mid_{x}")), 0.5, exact).alias(f"mad_{x}") for x in names))
-    bands = mid.join(away, "band")
+    own = c.stored(bands(m), "fertility-bands")
     slack = width * (1 + F.sqrt(F.lit(short) / F.greatest("n_pieces", F.lit(1))))
-    dev = {x: F.col(x) - F.col(f"mid_{x}") for x in names}
-    room = {x: slack * F.greatest(F.col(f"mad_{x}"), F.lit(floor / width) * F.col(f"mid_{x}") if x != "fallback_share" else F.lit(0.01)) for x in names}
+    dev = {x: F.col(x) - F.col(f"mid_{x}") for x in NAMES}
+    room = {x: slack * F.greatest(F.col(f"mad_{x}"), F.lit(floor / width) * F.col(f"mid_{x}") if x != "fallback_share" else F.lit(0.01)) for x in NAMES}
     bad = (
         (F.abs(dev["chars_per_piece"]) > room["chars_per_piece"]) | (F.abs(dev["chars_per_byte_token"]) > room["chars_per_byte_token"])
         | (dev["fallback_share"] > room["fallback_share"]) | (dev["piece_entropy"] < -room["piece_entropy"])
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = m.join(bands, "band", "left").withColumn("base_failed", failed)
+    out = m.join(F.broadcast(own) if own.count() <= FEW else own, "band", "left").withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("band").alias("fertility_band"), *names)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("band").alias("fertility_band"), *NAMES)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -68,16 +69,88 @@ def _base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover)
 
 
+def _thue_morse(n=10):
+    """Two texts of 2**n letters each that polynomial hashes modulo 2**64 can't tell apart."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_bytes_apart():
+    import numpy as np
+
+    rnd = random.Random(8)
+    x, y = _thue_morse()
+    words = [x, y, x, "", "a", "a\0", *("".join(rnd.choice("ab") for _ in range(rnd.randint(0, 200))) for _ in range(400))]
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(r) for r in raw])
+    buf, s = np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw]
+    for got in (common.range_hash(buf, s, ends), common.exact_ids(buf, s, ends)):
+        by = {}
+        for r, h in zip(raw, got.tolist()):
+            by.setdefault(r, set()).add(h)
+        assert all(len(v) == 1 for v in by.values()) and len({h for v in by.values() for h in v}) == len(by)
+    a, b = rnd.choices(range(len(raw)), k=300), rnd.choices(range(len(raw)), k=300)
+    size = np.array([min(len(raw[i]), len(raw[j])) for i, j in zip(a, b)])
+    assert common.same_ranges(buf, s[a], s[b], size).tolist() == [raw[i][:n] == raw[j][:n] for i, j, n in zip(a, b, size.tolist())]
+
+
+def _fertility(rows, names, width=8.0, floor=0.08, short=160.0):
+    """The verdicts by plain Python: measures of whole texts, lower medians on the grid."""
+    own = fertility.Vocabularies(*names)
+    out = []
+    for i, t, lang in rows:
+        t, base = t or "", _base(t)
+        got = [0.0] * 4 + [0]
+        if base[0]:
+            parts = [m[0] for m in re.finditer(r"\S{1024}(?=\S)|\s{1024}(?=\s)|[\s\S]", t)]
+            joined, cut = [""], False
+            for q in parts:
+                joined[-1] += q
+                if len(q) == 1024:
+                    joined.append("")
+            ids = [x for q in joined for x in own.pieces.encode(q)]
+            n = sum(len(own.bytes.encode_ordinary(q)) for q in joined)
+            p = [k / len(ids) for k in Counter(ids).values()]
+            got = [len(t) / len(ids), -sum(x * math.log2(x) for x in p) / math.log2(max(2, len(ids))), len(t) / n, sum(own.pieces.is_byte(x) for x in ids) / len(ids), len(ids)]
+        out.append((i, lang, base, got))
+    low = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+    grid = lambda x: min(int(x * 1024), 1 << 16)
+    band, want = {}, []
+    for lang in {x[1] for x in out}:
+        solid = [x[3] for x in out if x[1] == lang and x[2][0] >= 20]
+        if solid:
+            mids = [low([grid(x[k]) for x in solid]) for k in range(4)]
+            band[lang] = [((mids[k] + 0.5) / 1024, low([abs(grid(x[k]) - mids[k]) for x in solid]) / 1024) for k in range(4)]
+    for i, lang, base, got in out:
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        bad = False
+        if lang in band:
+            slack = width * (1 + math.sqrt(short / max(1, got[4])))
+            for k, (mid, mad) in enumerate(band[lang]):
+                room, dev = slack * max(mad, 0.01 if k == 3 else floor / width * mid), got[k] - mid
+                bad |= abs(dev) > room if k in (0, 2) else dev > room if k == 3 else dev < -room
+        want.append(str((i, *base, failed, not failed and not bad)))
+    return sorted(want)
+
+
 def test_fertility(spark):
-    rows = [*_corpus(), *ODD, (500, "line one two\n" * 9), (501, "#a *b $c " * 30), (502, "THE OF!! " * 60)]
-    got = fertility.fertility_verdicts(_frame(spark, rows).withColumn("kept", F.lit("clash")), _file("piece_bpe_32k.model"), _file("byte_bpe_multi_50k.tiktoken")).collect()
-    have = sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got)
-    assert have == sorted(str((i, *_base(t))) for i, t in rows)
-    for r in got:
-        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert not (r.base_failed and r.kept)
-    assert sum(r.kept for r in got) > 40
-    assert fertility.fertility_verdicts(_frame(spark, []), _file("piece_bpe_32k.model"), _file("byte_bpe_multi_50k.tiktoken")).count() == 0
+    x, y = _thue_morse()
+    prose = [(i, t) for i, t in _corpus(160)]
+    rows = [*prose, *ODD, (500, "line one two\n" * 9), (501, "#a *b $c " * 30), (502, "THE OF!! " * 60), (503, "@@##" * 2000 + " a b " * 12), (504, f"{x}\n{y}\n{x}"), (505, " \n" * 3000 + "w " * 25), (506, "ж ц 中 😀 " * 30)]
+    rows += [(600 + k, " ".join("".join(chr(0x1F300 + (7 * j + 13 * i + k) % 400) for i in range(5)) for j in range(80))) for k in range(3)]
+    rows = [(i, t, ["fr", "de", "xx"][k % 3]) for k, (i, t) in enumerate(rows)]
+    names = _file("piece_bpe_32k.model"), _file("byte_bpe_multi_50k.tiktoken")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit("clash"))
+    got = [fertility.fertility_verdicts(f, *names).collect() for f in (frame, frame.repartition(7))]
+    have = [sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept)) for r in g) for g in got]
+    assert have[0] == have[1] == _fertility(rows, names)
+    by = {r.doc_id: r for r in got[0]}
+    assert sum(r.kept for r in got[0]) > 40 and any(not r.kept and not r.base_failed for r in got[0]) and by[504].n_dup_lines == 1
+    assert fertility.fertility_verdicts(_frame(spark, []), *names).count() == 0
+    no_lang = fertility.fertility_verdicts(_frame(spark, [(1, "ж ц " * 40), (2, "of the " * 40), (3, None)]), *names).collect()
+    assert {r.fertility_band for r in no_lang} == {"script:cyrillic", "script:latin", "script:none"}
 
 
 # ---------------------------------------------------------------- WARC
