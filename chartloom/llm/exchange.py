@@ -20,7 +20,7 @@ from chartloom.llm import common as c
 
 REQUEST = "bucket int, block long, keys binary, vals binary"
 REPLY = "block long, bucket int, reply binary"
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def planes(x: np.ndarray) -> bytes:

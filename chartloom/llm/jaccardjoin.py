@@ -5,14 +5,22 @@ one record. A record's MinHash values are the tokens it is split by. In each run
 one bucket; a bucket picks each of the T positions with probability 1 / (threshold * T) and sends a
 record to the child bucket of its value at each picked position, so records of Jaccard similarity
 `threshold` share one child bucket on average. Buckets of at most LIMIT records are compared pair by
-pair on their MinHash values; larger ones first compare all with one leader: those similar to it leave, since
-by the triangle inequality whatever is similar to them is linked with the leader too, and the rest is split
-on. Runs repeat until a pair at the threshold is missed with a probability of at most 1 - recall, by the
-survival of its branching process down to depth DEPTH.
+pair on sketches of their values.
 
 The links found that way (estimates over CUT, well under the threshold) only say which records may belong
-together: inside their components every pair of records is verified by exact set intersection, tile by tile
-for large components. So links are exact, and are counted without being written out.
+together, so pairs that are already connected need no further look. Large groups of near copies are connected
+first: in a few single-position buckets of over LIMIT records all are compared with one leader. From then on a
+bucket of one component is done, one of several compares only across them if that takes at most PAIRS
+comparisons, and what is left first compares all with one leader: those similar to it leave, since by the
+triangle inequality whatever is similar to them is linked with the leader too, and the rest is split on.
+
+Runs repeat until a pair at the threshold is missed with a probability of at most 1 - recall, by the survival of
+its branching process down to depth DEPTH, and on until the recall measured on a sample is met as well: SAMPLE texts of
+at most SAMPLE_BYTES, those of the lowest hash, whose links with all documents are counted exactly in the first
+pass over the texts.
+
+Inside components every pair of records is verified by exact set intersection, tile by tile for large
+components. So links are exact, and are counted without being written out.
 
 Edge cases: null and empty texts have no set, no link, and are a class of their own; repeated rows and
 equal texts are links of each other; null ids count as rows but can't name a class unless alone; texts of
@@ -23,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +39,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import common as c
-from chartloom.llm import exchange as x
 from chartloom.llm.components import components
 
 N = 5
 T = 128
 LIMIT = 256
+PAIRS = 1 << 18
 DEPTH = 3
 #: What is under 1 - SAME from a leader has its links, 1 - threshold further, within 1 - CUT of it; 0.1 is left for noise.
 CUT, SAME = 0.5, 0.8
-TILE = 512
-COLUMNS = 4096
+#: Positions of the buckets in which large groups are connected first.
+FIRST = range(0, T, T // 6)
+MORE_RUNS = 8
+SAMPLE, SAMPLE_BYTES = 256, 16_000
+TILE, TILE_BYTES = 1024, 4 << 20
+COLUMNS = 2048
 NO_ID = -(2**63)
 _odd = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,7 +72,7 @@ def picked(path: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def child(path: np.ndarray, position: np.ndarray, value: np.ndarray) -> np.ndarray:
-    return c.mix(path + c.mix(position.astype(np.uint64) * np.uint64(0x100000001B3) + value.astype(np.uint64) + np.uint64(1)))
+    return c.mix(c.mix(path + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (value.astype(np.uint64) + np.uint64(1)))
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +97,47 @@ def _keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return c.mix(np.add.reduceat(c.mix(h + np.uint64(0x632BE59BD9B4E019)), starts)).astype(np.int64)
 
 
-def records(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n (shingles) and MinHash values of each row of docs; key is null without shingles."""
+class Sample:
+    """The sampled sets, with which every text is compared exactly."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: float):
+        self.threshold, self.sizes = threshold, np.array([len(s) for s in sets], np.int64)
+        self.universe, local = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+        order = np.argsort(local, kind="stable")
+        self.item = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.begin = np.searchsorted(local[order], np.arange(len(self.universe) + 1))
+
+    def near(self, who: np.ndarray, h: np.ndarray, n_rows: int) -> list[list[int]]:
+        """For each row the sampled sets it is linked with, but for its equals."""
+        out: list[list[int]] = [[] for _ in range(n_rows)]
+        if not len(self.universe) or not len(h):
+            return out
+        at = np.minimum(np.searchsorted(self.universe, h), len(self.universe) - 1)
+        hit = self.universe[at] == h
+        sizes = np.bincount(who, minlength=n_rows)
+        at, rows = at[hit], who[hit]
+        many = self.begin[at + 1] - self.begin[at]
+        items = self.item[np.repeat(self.begin[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+        pair, k = np.unique(np.repeat(rows, many) * len(self.sizes) + items, return_counts=True)
+        row, item = pair // len(self.sizes), pair % len(self.sizes)
+        whole = sizes[row] + self.sizes[item] - k
+        for r, i in zip(*(v[(k >= self.threshold * whole - 1e-6) & (k < whole)].tolist() for v in (row, item))):
+            out[r].append(i)
+        return out
+
+
+def sampled(docs: DataFrame) -> list[np.ndarray]:
+    """The sets of the sample, at most SAMPLE."""
+    few = docs.select("text").where((F.octet_length("text") <= SAMPLE_BYTES)).distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE).toArrow()
+    buf, off = c.buffer_of(few.column("text"))
+    who, h = sets_of(buf, off)
+    rows, starts = np.unique(who, return_index=True)
+    return [h[a:b] for a, b in zip(starts, [*starts[1:], len(h)])]
+
+
+def records(docs: DataFrame, sample: Sample) -> DataFrame:
+    """doc_id, key, n (shingles), MinHash values and links with the sample of each row of docs; key is null without shingles."""
+    shipped = docs.sparkSession.sparkContext.broadcast(sample)  # at most SAMPLE sets of SAMPLE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,135 +146,206 @@ def records(docs: DataFrame) -> DataFrame:
                 rows, starts = np.unique(who, return_index=True)
                 at = np.full(part.num_rows, -1)
                 at[rows] = np.arange(len(rows))
-                keys, sig = np.zeros(0, np.int64), np.zeros((0, T), "<u2")
+                keys, vals = np.zeros(0, np.int64), np.zeros((0, T), "<u4")
                 if len(rows):
                     keys = _keys(h, starts)
-                    sig = np.stack([(np.minimum.reduceat(h * a, starts) >> np.uint64(20)).astype("<u2") for a in _odd], axis=1)
+                    vals = np.stack([(np.minimum.reduceat(h * a, starts) >> np.uint64(8)).astype("<u4") for a in _odd], axis=1)
                 sizes = np.diff(np.concatenate([starts, [len(h)]]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()), pa.array([int(keys[i]) if i >= 0 else None for i in at], pa.int64()),
-                        pa.array([int(sizes[i]) if i >= 0 else 0 for i in at], pa.int64()), pa.array([sig[i].tobytes() if i >= 0 else None for i in at], pa.binary()),
+                        pa.array([int(sizes[i]) if i >= 0 else 0 for i in at], pa.int64()), pa.array([vals[i].tobytes() if i >= 0 else None for i in at], pa.binary()),
+                        pa.array(shipped.value.near(who, h, part.num_rows), pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "key", "n", "sig"],
+                    names=["doc_id", "key", "n", "vals", "near"],
                 )
 
-    return c.stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, sig binary"), "records")
+    return c.stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, vals binary, near array<int>"), "records")
 
 
-def _sigs(column: pa.Array) -> np.ndarray:
+def _vals(column: pa.Array) -> np.ndarray:
     buf, off = c.buffer_of(column)
-    return buf.view("<u2").reshape(len(off) - 1, T) if len(off) > 1 else np.zeros((0, T), "<u2")
+    return buf.view("<u4").reshape(len(off) - 1, T) if len(off) > 1 else np.zeros((0, T), "<u4")
 
 
-def _paths(key: pa.Array, path: np.ndarray, sig: np.ndarray, threshold: float) -> pa.RecordBatch:
-    """The child buckets (path, key) of records in buckets."""
-    step = 4096
-    out_path, out_key, keys = [], [], key.to_numpy()
-    for lo in range(0, len(path), step):
-        row, at = np.nonzero(picked(path[lo : lo + step], threshold))
-        out_path.append(child(path[lo + row], at, sig[lo + row, at]))
-        out_key.append(keys[lo + row])
-    paths = np.concatenate(out_path) if out_path else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(np.concatenate(out_key) if out_key else np.zeros(0, np.int64), pa.int64())], names=["path", "key"])
+def _sketches(column: pa.Array) -> np.ndarray:
+    buf, off = c.buffer_of(column)
+    return buf.reshape(len(off) - 1, T) if len(off) > 1 else np.zeros((0, T), np.uint8)
 
 
-def _first_paths(threshold: float, runs: int):
-    roots = c.mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    run_of, at = np.nonzero(picked(roots, threshold))
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarities of sketches, row by row."""
+    return (a == b).mean(axis=-1)
+
+
+PATHS = "path long, key long, comp long"
+LINKS = "u long, v long"
+
+
+def _placed(path: np.ndarray, key: np.ndarray, comp: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(key), pa.array(comp)], names=["path", "key", "comp"])
+
+
+def _links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+
+def _root_paths(roots: np.ndarray, positions: np.ndarray):
+    """The buckets of every record at some positions of some roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, keys = _sigs(batch.column("sig")), batch.column("key").to_numpy()
-            for r, i in zip(run_of, at):
-                paths = child(np.full(len(sig), roots[r]), np.full(len(sig), i), sig[:, i])
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(keys, pa.int64())], names=["path", "key"])
+            vals, key, comp = _vals(batch.column("vals")), batch.column("key").to_numpy(), batch.column("comp").to_numpy()
+            for root, at in zip(roots, positions):
+                yield _placed(child(np.full(len(key), root), np.full(len(key), at), vals[:, at]), key, comp)
 
     return run
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that span what pairs of estimates over CUT connect in each small bucket; rows come sorted by path."""
-    held: tuple | None = None
+def _spanning(path: np.ndarray, key: np.ndarray, comp: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what pairs of estimates over CUT and of different components connect; rows by path."""
+    new = np.concatenate([[True], path[1:] != path[:-1]]) if len(path) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    size = np.diff(np.concatenate([first, [len(path)]]))
+    place = np.arange(len(path)) - np.repeat(first, size)
+    of = np.repeat(size, size)
+    us, vs = [], []
+    for d in range(1, int(place[of <= LIMIT].max(initial=0)) + 1):
+        at = np.flatnonzero((place >= d) & (of <= LIMIT))
+        at = at[comp[at] != comp[at - d]]
+        for i in range(0, len(at), 20000):
+            some = at[i : i + 20000]
+            ok = some[_alike(sk[some], sk[some - d]) >= CUT]
+            us.append(ok)
+            vs.append(ok - d)
+    for lo, n in zip(first[size > LIMIT], size[size > LIMIT]):  # few comparisons across components, by the choice of such buckets
+        own = np.arange(lo, lo + n)
+        kinds, times = np.unique(comp[own], return_counts=True)
+        for i in own[comp[own] != kinds[np.argmax(times)]]:
+            ok = own[(comp[own] != comp[i]) & (_alike(sk[i], sk[own]) >= CUT)]
+            us.append(np.full(len(ok), i))
+            vs.append(ok)
+    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+    label = np.arange(len(path))  # of a bucket's links those that span its components are enough
+    while len(a):
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    on = np.flatnonzero(label != np.arange(len(path)))
+    return key[on], key[label[on]]
 
-    def pairs(path: np.ndarray, key: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        new = np.concatenate([[True], path[1:] != path[:-1]]) if len(path) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        place = np.arange(len(path)) - first[np.cumsum(new) - 1]
-        us, vs = [], []
-        for d in range(1, int(place.max(initial=0)) + 1):
-            at = np.flatnonzero(place >= d)
-            ok = np.concatenate([(sig[at[i : i + 20000]] == sig[at[i : i + 20000] - d]).mean(axis=1) >= CUT for i in range(0, len(at), 20000)])
-            us.append(at[ok])
-            vs.append(at[ok] - d)
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-        label = np.arange(len(path))  # of a bucket's links those that span its components are enough
-        while len(a):
-            least = label.copy()
-            np.minimum.at(least, a, label[b])
-            np.minimum.at(least, b, label[a])
-            least = least[least]
-            if (least == label).all():
-                break
-            label = least
-        on = np.flatnonzero(label != np.arange(len(path)))
-        u, v = key[on], key[label[on]]
-        both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each bucket; rows come sorted by path."""
+    held: tuple | None = None
     for batch in batches:
-        now = batch.column("path").to_numpy(), batch.column("key").to_numpy(), _sigs(batch.column("sig"))
+        now = *(batch.column(x).to_numpy() for x in ("path", "key", "comp")), _sketches(batch.column("sk"))
         if held is not None:
             now = tuple(np.concatenate([a, b]) for a, b in zip(held, now))
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
-        yield pairs(*(a[:cut] for a in now))
+        yield _links(*_spanning(*(a[:cut] for a in now)))
         held = tuple(a[cut:] for a in now)
     if held is not None:
-        yield pairs(*held)
+        yield _links(*_spanning(*held))
+
+
+def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their estimate against the bucket's leader."""
+    for batch in batches:
+        est = _alike(_sketches(batch.column("sk")), _sketches(batch.column("leader_sk")))
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("path", "key", "comp", "leader", "leader_comp")), pa.array(est, pa.float64())], names=["path", "key", "comp", "leader", "leader_comp", "est"])
 
 
-def _with_leader(threshold: float):
+def _led(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """large: path, key, comp, leader, leader_comp. Its rows with est, their likeness to the leader."""
+    own = reps.select("key", "sk")
+    both = large.join(own, "key").join(own.select(F.col("key").alias("leader"), F.col("sk").alias("leader_sk")), "leader")
+    return both.mapInArrow(_with_leader, PATHS + ", leader long, leader_comp long, est double")
+
+
+def _children(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with a path go on to a child bucket; those without are links with the leader."""
         for batch in batches:
-            est = (_sigs(batch.column("sig")) == _sigs(batch.column("leader_sig"))).mean(axis=1) if batch.num_rows else np.zeros(0)
-            link, rest = np.flatnonzero(est >= CUT), np.flatnonzero(est < SAME)
-            key, leader = batch.column("key"), batch.column("leader")
-            none = pa.nulls(len(link), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, key.take(pa.array(link)), leader.take(pa.array(link))], names=["path", "key", "other"])
-            sig = _sigs(batch.column("sig"))
-            more = _paths(key.take(pa.array(rest)), batch.column("path").to_numpy()[rest].view(np.uint64), sig[rest], threshold)
-            yield pa.RecordBatch.from_arrays([more.column("path"), more.column("key"), pa.nulls(more.num_rows, pa.int64())], names=["path", "key", "other"])
+            path, key, comp = (batch.column(x).to_numpy() for x in ("path", "key", "comp"))
+            vals, path = _vals(batch.column("vals")), path.view(np.uint64)
+            for lo in range(0, len(path), 4096):
+                row, at = np.nonzero(picked(path[lo : lo + 4096], threshold))
+                row += lo
+                yield _placed(child(path[row], at, vals[row, at]), key[row], comp[row])
 
     return run
 
 
-def candidate_links(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(u, v): pairs of keys, complete but for 1 - recall in connecting what is similar."""
-    sigs = reps.select("key", "sig")
-    rows = sigs.mapInArrow(_first_paths(threshold, runs_needed(recall)), "path long, key long")
+def hot_links(reps: DataFrame) -> DataFrame | None:
+    """Links that connect large groups: all of a bucket of over LIMIT records with one of them."""
+    rows = c.stored(reps.mapInArrow(_root_paths(np.zeros(len(FIRST), np.uint64), np.array(FIRST)), PATHS), "hot-paths")
+    heads = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("key").alias("leader")).where(F.col("m") > LIMIT).select("path", "leader", F.col("leader").alias("leader_comp"))
+    heads = c.stored(heads, "hot-heads")
+    if heads.isEmpty():
+        c.release(rows)
+        return None
+    est = _led(rows.join(heads, "path"), reps)
+    out = c.stored(est.where((F.col("est") >= CUT) & (F.col("key") != F.col("leader"))).select(F.col("key").alias("u"), F.col("leader").alias("v")).distinct(), "hot-links")
+    c.release(rows)
+    return out
+
+
+def wave_links(reps: DataFrame, threshold: float, first_run: int, runs: int) -> list[DataFrame]:
+    """Links across components found in some runs. reps: key, comp, vals, sk."""
+    roots = c.mix(np.arange(first_run + 1, first_run + runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    run_of, at = np.nonzero(picked(roots, threshold))
+    rows = reps.mapInArrow(_root_paths(roots[run_of], at), PATHS)
     links: list[DataFrame] = []
     while True:
         rows = c.stored(rows.distinct() if links else rows, "paths")
-        sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("key").alias("leader")).where("m > 1")
-        shared = c.stored(rows.join(sizes, "path"), "buckets")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by("key", F.struct("comp", "key")).alias("leader"))
+        sizes = c.stored(sizes.where("least <> most").select("path", "m", "leader", F.col("least").alias("leader_comp")), "buckets")
+        big = sizes.where(F.col("m") > LIMIT)
+        any_big = not big.isEmpty()
+        easy = sizes.where(F.col("m") <= LIMIT).select("path")
+        if any_big:
+            parts = rows.join(big.select("path"), "path").groupBy("path", "comp").agg(F.count("*").alias("n"))
+            across = parts.groupBy("path").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across"))
+            across = c.stored(across, "across")
+            easy = easy.unionByName(across.where(F.col("across") <= PAIRS).select("path"))
+            big = big.join(across.where(F.col("across") > PAIRS).select("path"), "path")
+        full = rows.join(easy, "path").join(reps.select("key", "sk"), "key")
+        links.append(c.stored(full.select("path", "key", "comp", "sk").repartition("path").sortWithinPartitions("path", "comp", "key").mapInArrow(_small, LINKS).distinct(), "links"))
+        if not any_big or big.isEmpty():
+            c.release(rows)
+            return links
+        est = c.stored(_led(rows.join(big.drop("m"), "path"), reps), "led")
+        links.append(est.where((F.col("est") >= CUT) & (F.col("comp") != F.col("leader_comp"))).select(F.col("key").alias("u"), F.col("leader").alias("v")).distinct())
         c.release(rows)
-        full = shared.join(sigs, "key")
-        small = full.where(F.col("m") <= LIMIT).select("path", "key", "sig").repartition("path").sortWithinPartitions("path", "key")
-        links.append(c.stored(small.mapInArrow(_small, "u long, v long").distinct(), "links"))
-        large = full.where(F.col("m") > LIMIT).select("path", "key", "sig", "leader")
-        if shared.where(F.col("m") > LIMIT).isEmpty():
-            break
-        heads = shared.where((F.col("m") > LIMIT) & (F.col("key") == F.col("leader"))).select("path", "key").distinct().join(sigs.withColumnRenamed("sig", "leader_sig"), "key").select("path", "leader_sig")
-        step = c.stored(large.join(heads, "path").mapInArrow(_with_leader(threshold), "path long, key long, other long"), "split")
-        links.append(step.where("path IS NULL").select(F.col("key").alias("u"), F.col("other").alias("v")))
-        rows = step.where("path IS NOT NULL").select("path", "key")
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out.where("u <> v").distinct()
+        rows = est.where(F.col("est") < SAME).select("path", "key", "comp").join(reps.select("key", "vals"), "key").mapInArrow(_children(threshold), PATHS)
+
+
+def candidate_groups(reps: DataFrame, sample_keys: list[int], threshold: float, recall: float) -> DataFrame:
+    """(key, grp): the components of what may be linked. reps: key, vals, sk, near."""
+    spark = reps.sparkSession
+    hot = hot_links(reps.withColumn("comp", F.col("key")))
+    links = [hot] if hot is not None else []
+    state = reps.withColumn("comp", F.col("key")) if hot is None else reps.join(components(hot).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    others = spark.createDataFrame(list(enumerate(sample_keys)), "item int, other long")  # at most SAMPLE rows
+    truth = c.stored(reps.select("key", F.explode("near").alias("item")).join(F.broadcast(others), "item").where("key <> other").select("key", "other"), "sample-links")
+    n_truth, done, runs = truth.count(), 0, runs_needed(recall)
+    while True:
+        state = c.stored(state.select("key", "comp", "vals", "sk"), "state")
+        links += wave_links(state, threshold, done, runs)
+        groups = c.stored(components(reduce(DataFrame.unionByName, links).where("u <> v").distinct()).select(F.col("node").alias("key"), F.col("root").alias("grp")), "groups")
+        done, runs = done + runs, MORE_RUNS
+        together = truth.join(groups, "key").join(groups.select(F.col("key").alias("other"), F.col("grp").alias("_g")), "other").where("grp = _g").count() if n_truth else 0
+        c.release(state)
+        if together >= recall * n_truth:
+            return groups
+        state = reps.join(groups, "key", "left").withColumn("comp", F.coalesce("grp", "key"))
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -277,18 +400,23 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     """doc_id, class_id (the least doc_id that links connect it with) and n_links (other rows at least
     `threshold` similar) of each row of docs."""
     spark = docs.sparkSession
-    rows = records(docs)
+    sets = sampled(docs)
+    rows = records(docs, Sample(sets, threshold))
     own = F.coalesce("doc_id", F.lit(NO_ID))
-    reps = c.stored(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
-    groups = c.stored(components(candidate_links(reps, threshold, recall)).select(F.col("node").alias("key"), F.col("root").alias("grp")), "groups")
-    members = groups.join(reps.select("key", "rep", "copies", "n"), "key")
-    members = c.stored(members, "members")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("m"))
+    first = lambda x: F.first(x).alias(x)
+    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), first("n"), first("vals"), first("near"))
+    reps = c.stored(reps.mapInArrow(_sketched, "key long, rep long, copies long, n long, vals binary, near array<int>, sk binary"), "reps")
+    sample_keys = [int(_keys(s, np.zeros(1, np.int64))[0]) for s in sets]
+    groups = candidate_groups(reps.select("key", "vals", "sk", "near"), sample_keys, threshold, recall)
+    members = c.stored(groups.join(reps.select("key", "rep", "copies", "n"), "key"), "members")
+    # a group is one tile unless it has many or large sets
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, 8 * F.sum("n") / TILE_BYTES)).cast("int").alias("tiles")
+    sizes = members.groupBy("grp").agg(tiles)
 
     # the sets of the members, made again from one text each
-    wanted = members.join(sizes, "grp").select(F.coalesce("rep", F.lit(NO_ID)).alias("_id"), "key", "grp", "copies", "m")
+    wanted = members.join(sizes, "grp").select(F.coalesce("rep", F.lit(NO_ID)).alias("_id"), "key", "grp", "copies", "tiles")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in c.chunks(batch):
                 who, h = sets_of(buf, off)
@@ -298,16 +426,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
                 ok = _keys(h, starts) == part.column("key").to_numpy()[rows]
                 ends = np.concatenate([starts[1:], [len(h)]])
                 take = pa.array(rows[ok])
-                yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in ("key", "grp", "copies", "m")), pa.array([h[a:b].astype("<u8").tobytes() for a, b, k in zip(starts, ends, ok) if k], pa.binary())], names=["key", "grp", "copies", "m", "set"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in ("key", "grp", "copies", "tiles")), pa.array([h[a:b].astype("<u8").tobytes() for a, b, k in zip(starts, ends, ok) if k], pa.binary())], names=["key", "grp", "copies", "tiles", "set"])
 
-    texts = docs.select(own.alias("_id"), "text").join(wanted, "_id").select("text", "key", "grp", "copies", "m")
-    full = c.stored(texts.mapInArrow(sets, "key long, grp long, copies long, m long, set binary").dropDuplicates(["key"]), "sets")
+    texts = docs.select(own.alias("_id"), "text").join(wanted, "_id").select("text", "key", "grp", "copies", "tiles")
+    full = c.stored(texts.mapInArrow(made, "key long, grp long, copies long, tiles int, set binary").dropDuplicates(["key"]), "sets")
 
     n_bytes = full.agg(F.sum(F.length("set"))).first()[0] or 0
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("key"), tiles).cast("int")
-    placed = full.withColumns({"tiles": tiles, "mine": mine})
-    single = placed.where("tiles = 1").select("grp", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(2).alias("side"), "key", "copies", "set")
+    placed = full.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    single = placed.where("tiles = 1").select("grp", F.lit(2).alias("side"), "key", "copies", "set")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("mine", o).alias("a"), F.greatest("mine", o).alias("b"), F.when(o == F.col("mine"), 2).when(F.col("mine") < o, 0).otherwise(1).alias("side")))
     several = placed.where("tiles > 1").select("grp", F.explode(pairs).alias("p"), "key", "copies", "set").select("grp", "p.a", "p.b", "p.side", "key", "copies", "set")
     verified = "grp long, key long, links long, other long"
@@ -319,14 +445,24 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         out = [_linked(table.slice(i, j - i), threshold).add_column(0, "grp", pa.array(grp[i:j])) for i, j in zip(edges, [*edges[1:], len(grp)])]
         return pa.concat_tables(out).select(["grp", "key", "links", "other"])
 
-    n = max(c.partitions(spark), math.ceil(n_bytes / x.BUCKET_BYTES))
+    n = max(c.partitions(spark), math.ceil(n_bytes / TILE_BYTES))
     by_group = single.groupBy(F.pmod(F.xxhash64("grp"), F.lit(n))).applyInArrow(verify, verified)
     by_tile = several.groupBy("grp", "a", "b").applyInArrow(verify, verified)
     checked = c.stored(by_group.withColumn("last", F.lit(True)).unionByName(by_tile.withColumn("last", F.lit(False))), "verified")
+    c.release(full)
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
-    joined = components(checked.where("NOT last").select(F.col("key").alias("u"), F.col("other").alias("v")))
-    root = checked.where("last").select("key", F.col("other").alias("root")).unionByName(joined.select(F.col("node").alias("key"), "root"))
+    root = checked.where("last").select("key", F.col("other").alias("root"))
+    apart = checked.where("NOT last")
+    if not apart.isEmpty():
+        root = root.unionByName(components(apart.select(F.col("key").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("key"), "root"))
     known = reps.select("key", "rep", "copies").join(root, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = known.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = c.stored(known.join(names, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     return rows.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records with a byte of each of their values."""
+    for batch in batches:
+        sk = (_vals(batch.column("vals")) & np.uint32(255)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in sk], pa.binary())], names=[*batch.schema.names, "sk"])

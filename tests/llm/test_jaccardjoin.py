@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from chartloom.llm import jaccardjoin
 from chartloom.llm.jaccardjoin import jaccard_classes, runs_needed
 
@@ -62,6 +64,28 @@ def test_matches_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccardjoin, "TILE", 7)
     monkeypatch.setattr(jaccardjoin, "LIMIT", 4)
     assert sorted((tuple(r) for r in jaccard_classes(frame).collect()), key=str) == got
+    monkeypatch.setattr(jaccardjoin, "PAIRS", 12)
+    monkeypatch.setattr(jaccardjoin, "FIRST", range(1))
+    assert sorted((tuple(r) for r in jaccard_classes(frame).collect()), key=str) == got
+
+
+def test_measured_recall_asks_for_more_runs(spark, monkeypatch):
+    docs = corpus()
+    monkeypatch.setattr(jaccardjoin, "runs_needed", lambda recall: 1)
+    first, waves = jaccardjoin.wave_links, []
+    monkeypatch.setattr(jaccardjoin, "wave_links", lambda *a: (waves.append(a[2:]), first(*a))[1])
+    got = jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(brute(docs), key=str)
+    assert len(waves) > 1
+
+
+def test_spanning_links_of_a_large_bucket():
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 256, (3, jaccardjoin.T)).astype(np.uint8)
+    sk = np.concatenate([np.repeat(base[:1], 300, axis=0), np.repeat(base[1:2], 200, axis=0), base[:1], base[2:]])
+    key, comp = np.arange(len(sk)), np.array([0] * 300 + [7] * 200 + [8, 9])
+    u, v = jaccardjoin._spanning(np.zeros(len(sk), np.int64), key, comp, sk)
+    assert {comp[a] for a in (*u, *v)} == {0, 8} and 500 in {*u, *v}
 
 
 def test_runs_and_empty(spark):
