@@ -2,17 +2,20 @@
 
 Merging is replaced by a forward machine over the symbols of a pre-token. A token sequence is the BPE
 encoding exactly when each token encodes to itself and each adjacent pair encodes to itself, so the last
-token of the encoding of every prefix is unique: `last[j]` is the token that ends at symbol j and is
-compatible with `last[j - length]`. Only tokens that end within the longest token's length of the front
-can still change; what all of those share is stable and leaves the machine at once. `sufficient_lookahead`
-derives from the merge list how far the front has to run ahead of a stable boundary.
+token of the encoding of every prefix is unique: it is the token that ends there and is compatible with the last
+token of what stands before it. `sufficient_lookahead` derives from the merge list how many symbols the front has to
+run ahead of a token for it to be stable; stable tokens leave the machine, which so holds twice that many
+symbols at most. Pre-tokens shorter than that window run through the same machine, which remembers what it found for their prefixes.
 
-Decoding is a state machine too: tokens go in one at a time, text comes out as soon as its bytes form
-whole characters (or, for a vocabulary without a decoder, as token strings with single spaces between).
+Decoding is a state machine too: ids go in one at a time, text comes out as soon as its bytes form
+whole characters (or, for a vocabulary without a decoder, as token strings with single spaces between). A
+document is read in slices that end at white space, a slice's tokens go through the decoder and into running
+digests, and nothing but the text itself grows with its length. What the machines give for a pre-token is remembered, for a
+bounded number of them; a remembered decoding is used where no character is unfinished.
 
 Edge cases: null and empty texts give no tokens; a repeated row is encoded again; very long words pass
 through the machine with bounded memory; a clashing extra column is dropped from what `encode_documents`
-returns, which holds only the columns in its schema.
+returns, which holds only the columns in its schema. A vocabulary without all byte symbols is refused.
 """
 
 from __future__ import annotations
@@ -26,16 +29,40 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from chartloom.llm import common as c
+
 #: Bytes as the printable characters of byte-level vocabularies: a published, fixed mapping, built by its rule.
 _KEEP = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHAR = {b: chr(b) for b in _KEEP} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_KEEP))}
 CHAR_BYTE = {c: b for b, c in BYTE_CHAR.items()}
-#: White space of the vocabulary's patterns (the Unicode property), unlike Python's, which has 1C to 1F as well.
+#: White space of the vocabulary's patterns: the Unicode property.
 _WHITE = r"\t-\r \x85\xa0  -     　"
-_ODD = regex.compile(r"[\x1c-\x1f]")
-_WORDS = regex.compile(f"[^{_WHITE}]+")
-#: A stream's chunk may end inside a pre-token; a run this long is fed to the machine in pieces.
-CACHE = 400_000
+_SPACE = regex.compile(f"[{_WHITE}]")
+#: Pre-tokens and prefixes remembered by a worker, and the longest of them.
+CACHE, PREFIXES, LONGEST = 400_000, 20_000, 64
+#: Characters of a text that are tokenised at a time, more only up to the next white space.
+SLICE = 1 << 16
+
+
+class Memory(dict):
+    """A bounded memo of two generations: what is asked for stays, what isn't goes when both are full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Vocabulary:
@@ -53,14 +80,21 @@ class Vocabulary:
         self.pieces = regex.compile(pattern.replace(r"\s", _WHITE))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.has_decoder = spec.get("decoder") is not None
-        bodies = [t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in self.vocab]
-        self.begins = {b[:i] for b in bodies for i in range(1, len(b) + 1)}
         self.longest = max(len(self._symbols_of(t)) for t in self.vocab)
         self.pair_of = {a + b: (a, b) for a, b in reversed(self.ranks)}  # of several merges to one token the first counts
         self._right: dict[str, list] = {}
         self._left: dict[str, list] = {}
         self._whole: dict[str, bool] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
+        self.together: dict[str, set[str]] = {}
+        self.verdicts: dict[tuple[str, str], bool] = {}
+        self.prefixes: dict = {}  # by symbol: the last token of a prefix, and what may follow
+        self.n_prefixes = 0
+        self.reach: dict[str, int] = {}  # the longest token that ends in two symbols, or is one
+        for token in self.vocab:
+            self.reach[token[-2:]] = max(self.reach.get(token[-2:], 1), len(token))
+        if missing := [b for b in BYTE_CHAR.values() if b not in self.vocab or b + self.suffix not in self.vocab]:
+            raise ValueError(f"no tokens for the symbols {missing[:5]}")
+        self.lookahead = self.sufficient_lookahead()
 
     def _symbols_of(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
@@ -99,19 +133,34 @@ class Vocabulary:
     def fits(self, a: str, b: str) -> bool:
         """Whether a and b stay apart: no merge joins an edge of a with an edge of b while both stand there.
         Of equal ranks the leftmost goes first: a's own merge before the joint one, the joint one before b's."""
-        ok = self._fits.get((a, b))
+        right = self._right.get(a) or self._right.setdefault(a, self._edge(a, 1))
+        left = self._left.get(b) or self._left.setdefault(b, self._edge(b, 0))
+        for x, made_x, gone_x in right:
+            for y, made_y, gone_y in left:
+                rank = self.ranks.get((x, y))
+                if rank is not None and made_x < rank < gone_x and made_y < rank <= gone_y:
+                    return False
+        return True
+
+    def successors(self, left: str) -> set[str]:
+        """The tokens known to be whole and to stay apart from what is left of them ("" for nothing)."""
+        known = self.together.get(left)
+        if known is None:
+            known = self.together[left] = set()
+        return known
+
+    def joins(self, left: str, token: str) -> bool:
+        """Whether a token encodes to itself and stays apart from what is left of it."""
+        key = (left, token)
+        ok = self.verdicts.get(key)
         if ok is None:
-            if len(self._fits) > 4 * CACHE:
-                self._fits.clear()
-            right = self._right.get(a) or self._right.setdefault(a, self._edge(a, 1))
-            left = self._left.get(b) or self._left.setdefault(b, self._edge(b, 0))
-            ok, ranks = True, self.ranks
-            for x, made_x, gone_x in right:
-                for y, made_y, gone_y in left:
-                    rank = ranks.get((x, y))
-                    if rank is not None and made_x < rank < gone_x and made_y < rank <= gone_y:
-                        ok = False
-            self._fits[a, b] = ok
+            if len(self.verdicts) >= CACHE:
+                self.verdicts.clear()
+                for known in self.together.values():
+                    known.clear()
+            ok = self.verdicts[key] = self.whole(token) and (not left or self.fits(left, token))
+        if ok:
+            self.successors(left).add(token)
         return ok
 
     def sufficient_lookahead(self) -> int:
@@ -130,174 +179,99 @@ class Vocabulary:
 
 
 class Transducer:
-    """Encodes one pre-token, pushed symbol by symbol; `emit` gets every token once it is stable."""
+    """Encodes one pre-token, pushed symbol by symbol; every token comes out once it is stable."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, lookahead: int | None = None):
         self.v = vocabulary
+        self.lookahead = vocabulary.lookahead if lookahead is None else lookahead
         self.text: list[str] = []  # symbols since the last stable boundary
-        self.last: list[str | None] = [None]  # the token that ends before symbol i
-        self.before: str | None = None  # the stable token before them
+        self.last: list[str] = [""]  # the token that ends before symbol i
+        self.before = ""  # the stable token before them
 
     def _step(self, final: bool) -> None:
-        v, text, j = self.v, self.text, len(self.text)
-        joined = "".join(text[max(0, j - v.longest) :])
+        v, j = self.v, len(self.text)
+        joined = "".join(self.text[max(0, j - v.longest) :])
         tail = v.suffix if final else ""
         base = j - len(joined)
         for i in range(base, j):
             token = joined[i - base :] + tail
-            left = self.last[i] if i else self.before
-            if token in v.vocab and (i == 0 or left is not None) and v.whole(token) and (left is None or v.fits(left, token)):
+            if token in v.vocab and v.joins(self.last[i] if i else self.before, token):
                 self.last.append(token)
                 return
-        self.last.append(None)
+        raise AssertionError("every prefix has an encoding: the symbols are tokens")
 
-    def _path(self, j: int) -> list[str]:
+    def _path(self, final: bool = False) -> list[str]:
         out: list[str] = []
+        j = len(self.text)
         while j > 0:
-            token = self.last[j]
-            out.append(token)
-            j -= len(token) - (len(self.v.suffix) if self.v.suffix and token.endswith(self.v.suffix) and len(token) > len(self.v.suffix) else 0)
+            out.append(self.last[j])
+            j -= len(self.last[j]) - (len(self.v.suffix) if final and len(out) == 1 else 0)
         return out[::-1]
 
     def push(self, symbol: str) -> list[str]:
         """Symbols but the last of a pre-token. Returns tokens that have become stable."""
         self.text.append(symbol)
         self._step(False)
-        if len(self.text) < 4 * self.v.longest:
+        if len(self.text) < 2 * self.lookahead:
             return []
-        live = [self._path(j) for j in range(len(self.text) - self.v.longest, len(self.text) + 1) if self.last[j] is not None]
-        keep = 0
-        for tokens in zip(*live):
-            if any(t != tokens[0] for t in tokens):
+        done, end = [], 0
+        for token in self._path():
+            if end + len(token) > len(self.text) - self.lookahead:
                 break
-            keep += 1
-        done = live[0][:keep] if live else []
+            done.append(token)
+            end += len(token)
         if done:
-            n = sum(map(len, done))
-            self.before, self.text, self.last = done[-1], self.text[n:], [None, *self.last[n + 1 :]]
+            self.before, self.text, self.last = done[-1], self.text[end:], ["", *self.last[end + 1 :]]
         return done
 
     def finish(self, symbol: str) -> list[str]:
         """The last symbol of the pre-token. Returns the tokens left and is ready for the next pre-token."""
         self.text.append(symbol)
         self._step(True)
-        out = self._path(len(self.text)) if self.last[-1] is not None else self.v.merged([*self.text[:-1], symbol + self.v.suffix])
-        self.text, self.last, self.before = [], [None], None
+        out = self._path(final=True)
+        self.text, self.last, self.before = [], [""], ""
         return out
 
 
-def run_short(v: Vocabulary, text: str) -> list[str] | None:
-    """The same machine over a whole pre-token that is shorter than the window, where nothing leaves early."""
-    n, vocab, fits, suffix, begins = len(text), v.vocab, v.fits, v.suffix, v.begins
-    known_fits, known_whole = v._fits, v._whole
-    last: list[str | None] = [None] * (n + 1)
-    begin = [0] * (n + 1)
-    for i in range(n):
-        left = last[i]
-        if left is None and i:
-            continue
-        for j in range(i + 1, n + 1):
-            token = text[i:j]
-            if token not in begins:
-                break
-            if last[j] is not None:  # by an earlier start: one token alone can end here
-                continue
-            if j == n:
-                token += suffix
-            if token in vocab and (token in known_whole and known_whole[token] or v.whole(token)):
-                if i and not ((left, token) in known_fits and known_fits[left, token] or fits(left, token)):
-                    continue
-                last[j], begin[j] = token, i
-    if last[n] is None:
-        return None
-    out, j = [], n
+def run_short(v: Vocabulary, text: str) -> list[str]:
+    """The same machine over a pre-token within the window, where nothing leaves early."""
+    n, vocab, reach, together = len(text), v.vocab, v.reach, v.together
+    last, beside, node, j = [""], [v.successors("")], v.prefixes, 0
+    for ch in text[:-1]:
+        j += 1
+        known = node.get(ch)
+        if known is None:
+            i = j - reach.get(text[j - 2 : j] if j > 1 else ch, 1)
+            for i in range(i if i > 0 else 0, j):
+                token = text[i:j]
+                if token in beside[i] or token in vocab and v.joins(last[i], token):
+                    break
+            known = (token, {})
+            if v.n_prefixes < PREFIXES:
+                node[ch] = known
+                v.n_prefixes += 1
+        token, node = known
+        last.append(token)
+        beside.append(together.get(token) or v.successors(token))
+    text += v.suffix
+    for i in range(n - v.longest if n > v.longest else 0, n):
+        token = text[i:]
+        if token in beside[i] or token in vocab and v.joins(last[i], token):
+            break
+    last.append(token)
+    out, j = [last[n]], n - len(last[n]) + len(v.suffix)
     while j:
         out.append(last[j])
-        j = begin[j]
+        j -= len(last[j])
     return out[::-1]
 
 
-class Memory(dict):
-    """A bounded memo of two generations: what is asked for stays, what isn't goes when both are full."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most // 2, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self.keep(key, value)
-        return value
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
-class Encoder:
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.machine = Transducer(vocabulary)
-        self.known = Memory(CACHE)
-        self.known_pieces = Memory(CACHE)
-
-    def piece(self, text: str) -> list[str]:
-        symbols = [BYTE_CHAR[b] for b in text.encode("utf-8", "surrogatepass")]
-        if not self.v.suffix:
-            return self.v.merged(symbols)
-        if len(symbols) < 2 * self.v.longest and (short := run_short(self.v, "".join(symbols))) is not None:
-            return short
-        out: list[str] = []
-        for s in symbols[:-1]:
-            out += self.machine.push(s)
-        return out + self.machine.finish(symbols[-1])
-
-    def plain(self, text: str) -> Iterator[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        vocab, known = self.v.vocab, self.known_pieces
-        for piece in self.v.pieces.findall(text.lower()):
-            out = known[piece]
-            if out is None:
-                found = self.piece(piece)
-                out = len(found), " ".join([str(vocab[t]) for t in found]), " ".join(found)
-                if len(piece) <= 64:
-                    known.keep(piece, out)
-            yield out
-
-    def parts(self, text: str) -> Iterator[tuple[int, str, str]]:
-        if not self.v.split_special or not self.v.split_special.search(text):
-            yield from self.plain(text)
-            return
-        for part in self.v.split_special.split(text):
-            if part in self.v.special:
-                yield 1, str(self.v.special[part]), part
-            elif part:
-                yield from self.plain(part)
-
-    def word(self, word: str) -> tuple[int, str, str]:
-        found = list(self.parts(word))
-        out = found[0] if len(found) == 1 else (sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found]))
-        if len(word) <= 64:
-            self.known.keep(word, out)
-        return out
-
-    def document(self, text: str) -> tuple[int, str, str]:
-        """(tokens, ids joined by spaces, decoded text)."""
-        known, word = self.known, self.word
-        words = _WORDS.findall(text) if _ODD.search(text) else text.split()
-        got = [known[w] or word(w) for w in words]
-        return sum(g[0] for g in got), " ".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got if g[0]])
-
-
 class Decoder:
     """Ids in, text out, a token at a time; holds at most the bytes of one unfinished character."""
 
-    def __init__(self, vocabulary: Vocabulary, as_bytes: bool = False):
-        self.v, self.as_bytes, self.started, self.pending = vocabulary, as_bytes, False, b""
+    def __init__(self, vocabulary: Vocabulary, as_bytes: bool | None = None):
+        self.v, self.started, self.pending = vocabulary, False, b""
+        self.as_bytes = vocabulary.has_decoder if as_bytes is None else as_bytes
 
     def push(self, token_id: int) -> str:
         token = self.v.token_of.get(token_id)
@@ -329,6 +303,83 @@ class Decoder:
         return "".join(map(self.push, ids)) + self.finish()
 
 
+#: A pre-token's number of tokens, its ids in decimal, and what the decoder gives for them behind other tokens, or None
+#: where an unfinished character would stay behind.
+Piece = tuple[int, str, str | None]
+
+
+class Encoder:
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.machine = Transducer(vocabulary)
+        self.decoder = Decoder(vocabulary)
+        self.known = Memory(CACHE)
+
+    def tokens(self, text: str) -> list[str]:
+        """A pre-token's tokens."""
+        symbols = text if text.isascii() and text.isprintable() else "".join([BYTE_CHAR[b] for b in text.encode("utf-8", "surrogatepass")])
+        if len(symbols) < 2 * self.v.longest:
+            return run_short(self.v, symbols)
+        out: list[str] = []
+        for s in symbols[:-1]:
+            out += self.machine.push(s)
+        return out + self.machine.finish(symbols[-1])
+
+    def piece(self, text: str, ids: list[int] | None = None) -> Piece:
+        vocab, decoder = self.v.vocab, self.decoder
+        if ids is None:
+            ids = [vocab[t] for t in self.tokens(text)]
+        decoder.started = True
+        decoded = "".join(map(decoder.push, ids))
+        out = len(ids), " ".join(map(str, ids)), None if decoder.pending else decoded
+        decoder.pending = b""
+        if len(text) <= LONGEST:
+            self.known.keep(text, out)
+        return out
+
+    def plain(self, text: str) -> list[Piece]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        known, piece = self.known, self.piece
+        return [known[p] or piece(p) for p in self.v.pieces.findall(text.lower())]
+
+    def pieces(self, text: str) -> Iterator[list[Piece]]:
+        """The pre-tokens of a text, slice by slice."""
+        special, at = self.v.split_special, 0
+        while at < len(text):
+            end = len(text)
+            if end - at > SLICE and (space := _SPACE.search(text, at + SLICE)):
+                end = space.start()
+            part, at = text[at:end], end
+            if special and special.search(part):
+                yield [x for p in special.split(part) if p for x in ([self.known[p] or self.piece(p, [self.v.special[p]])] if p in self.v.special else self.plain(p))]
+            else:
+                yield self.plain(part)
+
+    def document(self, text: str, ids: list[int] | None = None) -> tuple[int, str, str]:
+        """(tokens, digest of the ids joined by spaces, digest of the decoded text); ids: gets the ids."""
+        n, listed, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self.v)
+        for found in self.pieces(text):
+            if not found:
+                continue
+            listed.update((" " * (n > 0) + " ".join([w[1] for w in found])).encode())
+            if not n and not decoder.as_bytes:  # the first token of all has no space before it
+                first = found[0][1].split()
+                decoded.update("".join([decoder.push(int(i)) for i in first]).encode())
+                rest = found[1:]
+            else:
+                rest = found
+            texts = [w[2] for w in rest]
+            if decoder.pending or None in texts:
+                texts = [decoder.push(int(i)) for w in rest for i in w[1].split()]
+            decoded.update("".join(texts).encode("utf-8", "surrogatepass"))
+            n += sum([w[0] for w in found])
+            if ids is not None:
+                ids.extend(int(i) for w in found for i in w[1].split())
+        decoded.update(decoder.finish().encode())
+        return n, listed.hexdigest(), decoded.hexdigest()
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS_SCHEMA = SCHEMA + ", ids array<int>"
 _encoders: dict[str, Encoder] = {}
@@ -348,13 +399,12 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, ids: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                got = [encoder.document(t.as_py() or "") for t in part.column("text")]
-                out = [part.column("doc_id").cast(pa.int64()), pa.array([g[0] for g in got], pa.int64())]
-                out += [pa.array([hashlib.sha256(g[k].encode("utf-8", "surrogatepass")).hexdigest() for g in got], pa.string()) for k in (1, 2)]
+            for part, _, _ in c.chunks(batch):
+                lists = [[] for _ in range(part.num_rows)] if ids else [None] * part.num_rows
+                got = [encoder.document(t.as_py() or "", own) for t, own in zip(part.column("text"), lists)]
+                out = [part.column("doc_id").cast(pa.int64()), *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
                 if ids:
-                    out.append(pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32())))
+                    out.append(pa.array(lists, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
     return docs.select("doc_id", "text").mapInArrow(run, IDS_SCHEMA if ids else SCHEMA)

@@ -29,7 +29,7 @@ def _file(name: str) -> bytes:
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.suffixtree import suffix_tree_scores
 
-    return suffix_tree_scores(table(spark, sf_dir, "documents"), depth=None)
+    return suffix_tree_scores(table(spark, sf_dir, "documents"), depth=4)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of preceding words, of no word, one, two and so on. A context is a candidate if it occurs
-`min_count` times in training texts (and, of more words, if its last word does); it is retained if the gain
-in log likelihood of its next-word distribution over its parent's passes `gain` nats for each
+States are contexts of preceding words, of no word, one, two and so on to `depth`. A context is a candidate if it
+occurs `min_count` times in training texts and the context without its first word is retained; it is retained if
+the gain in log likelihood of its next-word distribution over its parent's passes `gain` nats for each
 distribution entry and `divergence` nats an occurrence. A state's entries are next words seen at least twice
 after it, less `discount` each; what that leaves goes to the parent's distribution, down to the root's
 additively smoothed word frequencies, in which all unknown words are one symbol. Each distribution sums to
 one. A text's score uses, word by word and for its end, the longest retained suffix of what precedes.
 
-Counts are gathered by hash across blocks (exchange.py): a round for words, then for each length of
-context a round for its entries and one for its states. With `depth` None, as the query has it, contexts grow
-by a word until no longer one can be retained: a longer one wins at most what its entries, counted in the
-shorter, cost there, the sum of n * log(1 / p), and needs 2 * `gain`. A number ends the contexts at that length.
-Nothing is sampled or capped, and the tables grow with the corpus; each round reads the answers of all before it.
-Words are told apart by 64-bit hashes, entries by
-as many bits as let less than one in 2**20 share its hash with another.
+Counts are gathered by hash across blocks of documents: a round for words (exchange.py), then one for each length of
+context. A block sends its entries grouped by context, each context to one bucket, so the bucket that adds up a
+context's entries also tests it. A context that occurs over `hot` times (a frequent word) is dealt to as many
+parts as keep a part at `hot`, by next word; parts' sums meet in an aggregation and go back by joins. A block keeps, for
+each length, only which entry each position has, beside the answers; so a round reads tables that lie by block and
+sorts its own length alone. Growth ends at `depth`, or before where no context can be retained.
+Nothing is sampled or capped, counts have 64 bits, and the tables grow with the corpus. Words and contexts are told
+apart by 64-bit hashes.
 
 Edge cases: null and empty texts are a single end token; null ids are training rows; repeated rows are
 counted and scored each; if no row is for training, N and V are 0, no word is known and every token has
@@ -36,17 +37,23 @@ from chartloom.llm import common as c
 from chartloom.llm import exchange as x
 
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x1B873593CC9E2D51)
-PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-BLOCKS = "block long, ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary, n_tokens long"
+SALT = np.uint64(0x9E3779B97F4A7C15)
+BLOCKS = "block long, ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary, counts binary, n_tokens long"
+#: A block's message to a bucket, with bucket -1 what the block keeps itself.
+GROUPS = "bucket int, block long, contexts binary, sizes binary, seen binary, of_hot binary, words binary, counts binary, below binary, own binary, hot array<long>"
+ANSWERS = "block long, bucket int, n binary, rest binary, hot array<struct<context:long,entries:double,occurrences:double,mass:double,won:double,seen:double>>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ALPHA = 0.1
 BLOCK_BYTES = 5 << 19
-KNOWN = np.uint32(0x7FFFFFFF)
-OWNED = np.uint32(0x80000000)
+
+
+def _names(text: str) -> list[str]:
+    return [f.split()[0] for f in text.split(", ") if " " in f]
 
 
 def token_blocks(docs: DataFrame, modulus: int) -> DataFrame:
-    """Blocks of texts as positions in the block's sorted distinct word hashes, each text closed by END."""
+    """Blocks of texts as positions in the block's sorted distinct word hashes, each text closed by END; the
+    last count is of the training texts that begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
@@ -60,17 +67,18 @@ def token_blocks(docs: DataFrame, modulus: int) -> DataFrame:
                 ends = np.cumsum(sizes) - 1
                 own = np.ones(len(h), bool)
                 own[ends] = False
-                h[own] = c.range_hash(c.prefix_hash(low), s, e)
+                h[own] = c.range_hash(low, s, e)
                 words, tokens = np.unique(h, return_inverse=True)
                 ids = part.column("doc_id").cast(pa.int64())
-                held = [i is not None and zlib.crc32(str(i).encode()) % modulus == 0 for i in ids.to_pylist()]
+                held = np.array([i is not None and zlib.crc32(str(i).encode()) % modulus == 0 for i in ids.to_pylist()], bool)
+                counts = np.append(np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words)), (~held).sum())
                 one = lambda v, kind: pa.array([v], kind)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        one(task << 32 | k, pa.int64()), one(ids.to_pylist(), pa.list_(pa.int64())), one(held, pa.list_(pa.bool_())), one(sizes.astype("<i8").tobytes(), pa.binary()),
-                        one(x.planes(words), pa.binary()), one(x.planes(tokens.astype("<i4")), pa.binary()), one(len(h), pa.int64()),
+                        one(task << 32 | k, pa.int64()), one(ids.to_pylist(), pa.list_(pa.int64())), one(held.tolist(), pa.list_(pa.bool_())), one(sizes.astype("<i8").tobytes(), pa.binary()),
+                        one(x.planes(words), pa.binary()), one(x.planes(tokens.astype("<i4")), pa.binary()), one(x.planes(counts.astype("<i8")), pa.binary()), one(len(h), pa.int64()),
                     ],
-                    names=[f.split()[0] for f in BLOCKS.split(", ")],
+                    names=_names(BLOCKS),
                 )
                 k += 1
 
@@ -78,234 +86,256 @@ def token_blocks(docs: DataFrame, modulus: int) -> DataFrame:
 
 
 class Settings:
-    def __init__(self, min_count: int, gain: float, divergence: float, discount: float, buckets: int):
-        self.min_count, self.gain, self.divergence, self.discount, self.buckets = min_count, gain, divergence, discount, buckets
+    def __init__(self, min_count: int, gain: float, divergence: float, discount: float, hot: int, buckets: int):
+        self.min_count, self.gain, self.divergence, self.discount, self.hot, self.buckets = min_count, gain, divergence, discount, hot, buckets
         self.total = self.distinct = 0
-        self.mask = np.uint64(2**64 - 1)
 
-    def narrow(self, tokens: int) -> None:
-        """Entry hashes keep the bits that tell `tokens` entries apart; the rest is zero and compresses away."""
-        bits = min(64, 8 * -(-(max(tokens, 2).bit_length() + 20) // 8))
-        self.mask = np.uint64(2**64 - 2 ** (64 - bits))
+    def retained(self, entries, occurrences, mass, won, seen):
+        """What a retained context leaves to its parent; 0 where it isn't retained."""
+        rest = np.clip(1 - mass, 1e-6, 1.0)
+        gained = won + (seen - occurrences) * np.log(rest)
+        return np.where((entries > 0) & (gained >= self.gain * (entries + 1)) & (gained >= self.divergence * seen), rest, 0.0)
 
 
 class Level:
-    """A block's entries (context, next word) of one context length, in the order of their hashes."""
-
-    def __init__(self, context: np.ndarray, often: np.ndarray, hashes: np.ndarray, seen: np.ndarray, token: np.ndarray, words: np.ndarray, salt: np.uint64, mask: np.uint64):
-        """context: of each position, a position in `hashes` (the contexts) or -1; seen: counts of the contexts;
-        often: whether what follows can be an entry, its shorter form having been seen twice."""
-        self.at = np.flatnonzero(context >= 0)
-        listed = np.flatnonzero((context >= 0) & often)
-        pair, inverse = np.unique(context[listed].astype(np.int64) * len(words) + token[listed], return_inverse=True)
-        ctx, word = pair // max(len(words), 1), pair % max(len(words), 1)
-        keys, merged = np.unique(c.mix(hashes[ctx] * salt + words[word]) & mask, return_inverse=True)
-        self.keys, self.ctx, self.word = keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        self.ctx[merged], self.word[merged] = ctx, word
-        self.of = np.full(len(context), -1)
-        self.of[listed] = merged[inverse]
-        self.example = np.zeros(len(keys), np.int64)  # a position of each entry
-        self.example[self.of[listed]] = listed
-        self.hashes, self.seen, self.context = hashes, seen, context
-
-    def local(self, train: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of[(self.of >= 0) & train], minlength=len(self.keys)).astype(np.uint32)
-
-    def states_asked(self) -> np.ndarray:
-        """Positions of the contexts in the order of their hashes; of equal hashes the first."""
-        used = np.unique(self.context[self.at])
-        return used[np.unique(self.hashes[used], return_index=True)[1]]
+    """A block's entries (context, next word) of one length: by context hash, then by word.
+
+    context: each position's context, a place in `hashes`, or -1; seen: how often each context occurs. Groups are the
+    contexts in the order of their hashes, a hot one as several, one for each of its parts that occurs here.
+    """
+
+    def __init__(self, context: np.ndarray, hashes: np.ndarray, seen: np.ndarray, token: np.ndarray, words: np.ndarray, hot: int):
+        self.context, self.hashes, self.seen, self.token, self.words = context, hashes, seen, token, words
+        self.parts = np.maximum(-(-seen // hot), 1)
+
+        at = np.flatnonzero(context >= 0)
+        used = np.flatnonzero(np.bincount(context[at], minlength=len(hashes)))
+        cold, split = used[self.parts[used] == 1], at[self.parts[context[at]] > 1]
+        self.hot = used[self.parts[used] > 1]
+        salted, first = np.unique(self.salted_of(split), return_index=True)
+        keys, ctx = np.concatenate([hashes[cold], salted]), np.concatenate([cold, context[split[first]]])
+        order = np.argsort(keys, kind="stable")
+        self.salted, self.group_ctx = keys[order], ctx[order]
+
+    def salted_of(self, at: np.ndarray) -> np.ndarray:
+        """The parts of hot contexts, by next word."""
+        ctx = self.context[at]
+        part = self.words[self.token[at]] % self.parts[ctx].astype(np.uint64)
+        return c.mix(self.hashes[ctx] ^ (part + np.uint64(1)) * SALT)
+
+    def find(self, often: np.ndarray) -> None:
+        """Entries of the positions with a context and a next word that was seen twice after a shorter one."""
+        listed = np.flatnonzero((self.context >= 0) & often)
+        ctx = self.context[listed]
+        rank = np.zeros(len(self.hashes), np.int64)
+        rank[self.group_ctx] = np.arange(len(self.group_ctx))
+        group, split = rank[ctx], self.parts[ctx] > 1
+        group[split] = np.searchsorted(self.salted, self.salted_of(listed[split]))
+        pair, inverse = np.unique(group * len(self.words) + self.token[listed], return_inverse=True)
+        of = np.full(len(self.context), -1, np.int64)
+        of[listed] = inverse
+        self.given(of)
+        self.sizes = np.bincount(pair // max(len(self.words), 1), minlength=len(self.salted))
+
+    def given(self, of: np.ndarray) -> None:
+        """of: the entry of each position, or -1."""
+        at = np.flatnonzero(of >= 0)
+        self.of, self.example = of, np.zeros(int(of.max(initial=-1)) + 1, np.int64)
+        self.example[of[at]] = at
+        self.ctx = self.context[self.example]
+
+    def entry_hashes(self) -> np.ndarray:
+        return c.mix((self.hashes[self.ctx] ^ (self.words[self.token[self.example]] * SALT)) * SALT + np.uint64(1))
+
+    def rests(self, rest: np.ndarray, hot: dict[int, float]) -> np.ndarray:
+        """What each context leaves to its parent; 0 where it isn't retained."""
+        out = np.zeros(len(self.hashes))
+        out[self.group_ctx] = rest
+        for i in self.hot.tolist():
+            out[i] = hot.get(int(self.hashes[i].astype(np.int64)), 0.0)
+        return out
 
 
 class Block:
     def __init__(self, row: dict, s: Settings):
-        self.s, self.block = s, row["block"].as_py()
+        self.s, self.block, self.row = s, row["block"].as_py(), row
         self.words = x.unplanes(row["words"].as_py(), "<u8")
         self.token = x.unplanes(row["tokens"].as_py(), "<i4").astype(np.int64)
         self.sizes = np.frombuffer(row["sizes"].as_py(), "<i8")
         self.ids, self.held = row["ids"].values, np.array(row["held"].as_py(), bool)
-        self.train = ~np.repeat(self.held, self.sizes)
-        first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        begin = len(self.words)  # the begin mark's position
         self.hashes = np.concatenate([self.words, [BEGIN]])
-        self.prev = np.concatenate([[begin], self.token[:-1]])
-        self.prev[first] = begin
-        self.is_first = np.zeros(len(self.token), bool)
-        self.is_first[first] = True
         self.order = np.argsort(self.hashes, kind="stable")
-        self.row = row
 
     def word_request(self) -> pa.RecordBatch:
-        n = np.bincount(self.token[self.train], minlength=len(self.hashes)).astype(np.uint32)
-        n[-1] = (~self.held).sum()
+        n = x.unplanes(self.row["counts"].as_py(), "<i8")
         return x.requests(self.block, self.hashes[self.order], n[self.order], self.s.buckets)
 
-    def learn_words(self) -> None:
-        got = x.gathered(self.row["words_got"], "<u4")
-        self.count = np.empty(len(self.hashes), np.int64)
-        self.count[self.order] = (got & KNOWN).astype(np.int64)
-        s = self.s
-        whole = s.total + ALPHA * (s.distinct + 1)
-        self.root = ((self.count[:-1] + ALPHA) / whole)[self.token] if s.total else np.ones(len(self.token))
-        context = np.where(self.count[self.prev] >= s.min_count, self.prev, -1)
-        self.level, self.below = Level(context, self.count[self.token] >= 2, self.hashes, self.count, self.token, self.words, PAIR, s.mask), self.root
-
-    def _entries(self, level: Level, got: str) -> np.ndarray:
-        return (x.gathered(self.row[got], "<u4") & KNOWN).astype(np.int64)
-
-    def _state_request(self, level: Level, got: str, parent: np.ndarray) -> pa.RecordBatch:
-        """What the block's owned entries add to their contexts: entries, occurrences, mass, gain, and what the entries cost below."""
-        raw = x.gathered(self.row[got], "<u4")
-        n = (raw & KNOWN).astype(np.int64)
-        mine = ((raw & OWNED) > 0) & (n >= 2)
-        below = parent[level.example]
-        asked = level.states_asked()
-        position = np.full(len(level.hashes), -1)
-        position[asked] = np.arange(len(asked))
-        to, k = position[level.ctx[mine]], n[mine]
-        mass = (k - self.s.discount) / level.seen[level.ctx[mine]]
-        sums = [np.bincount(to, weights=w, minlength=len(asked)) for w in (np.ones(len(k)), k.astype(float), mass, k * np.log(mass / below[mine]), -k * np.log(below[mine]))]
-        vals = np.stack([*sums[:4], level.seen[asked].astype(float), sums[4]], axis=1).astype("<f4")
-        return x.requests(self.block, level.hashes[asked], vals, self.s.buckets)
-
-    def _mixed(self, level: Level, entries: str, states: str, parent: np.ndarray) -> np.ndarray:
-        n = self._entries(level, entries)
-        left = np.zeros(len(level.hashes), np.float64)
-        left[level.states_asked()] = x.gathered(self.row[states], "<f4")
-        out, at = parent.copy(), level.at
-        ctx = level.context[at]
-        k = np.where(level.of[at] >= 0, n[level.of[at]] if len(n) else 0, 0)
-        rest = left[ctx]
-        on = rest > 0
-        p = np.where(k >= 2, (k - self.s.discount) / level.seen[ctx], 0.0) + rest * parent[at]
-        out[at[on]] = p[on]
-        return out
-
     def learn(self, depth: int) -> None:
-        """The level of contexts of `depth` words, and the distributions below it."""
-        self.learn_words()
+        """The distributions below the contexts of `depth` words, and these contexts."""
+        s, first = self.s, np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        count = np.empty(len(self.hashes), np.int64)
+        count[self.order] = x.gathered(self.row["words_got"], "<i8")
+        self.count = count
+        self.root = ((count[:-1] + ALPHA) / (s.total + ALPHA * (s.distinct + 1)))[self.token] if s.total else np.ones(len(self.token))
+        self.below = self.root
+        before = np.concatenate([[len(self.words)], self.token[:-1]])
+        before[first] = len(self.words)  # the begin mark
+        self.often = count[self.token] >= 2
+        self.level = Level(np.where(count[before] >= s.min_count, before, -1), self.hashes, count, self.token, self.words, s.hot)
         for d in range(1, depth):
             level = self.level
-            self.below = self._mixed(level, f"entries_{d}", f"states_{d}", self.below)
-            n = self._entries(level, f"entries_{d}")
-            # the context of d + 1 words before position i is the entry that ends at i - 1
-            before = np.concatenate([[-1], level.of[:-1]])
-            before[self.is_first] = -1
-            ok = before >= 0
-            ok[ok] = n[before[ok]] >= self.s.min_count
-            often = np.zeros(len(self.token), bool)
-            some = level.of >= 0
-            often[some] = n[level.of[some]] >= 2
-            salt = np.uint64(int(TRIPLE) * (2 * d - 1) % 2**64)
-            self.level = Level(np.where(ok, before, -1), often, level.keys, n, self.token, self.words, salt, self.s.mask)
+            level.given(x.unplanes(self.row[f"own_{d}"].as_py(), "<i4").astype(np.int64) - 1)
+            n = x.gathered(self.row[f"n_{d}"], "<i8")
+            rest = level.rests(x.gathered(self.row[f"rest_{d}"], "<f8"), {h["context"]: h["rest"] for h in self.row[f"hot_{d}"].as_py() or []})
+            on = (level.context >= 0) & (rest[level.context] > 0)
+            ctx, has = level.context[on], level.of[on] >= 0
+            k = np.zeros(len(ctx), np.int64)
+            k[has] = n[level.of[on][has]]
+            p = np.where(k >= 2, (k - s.discount) / level.seen[ctx], 0.0) + rest[ctx] * self.below[on]
+            self.below = self.below.copy()
+            self.below[on] = p
+            # what ends at i - 1 and the words of i's context are the context of one word more before i
+            longer = np.concatenate([[-1], level.of[:-1]])
+            longer[first] = -1
+            some = np.flatnonzero((longer >= 0) & on)
+            some = some[n[longer[some]] >= s.min_count]
+            after = np.full(len(longer), -1, np.int64)
+            after[some] = longer[some]
+            self.often = np.zeros(len(longer), bool)
+            self.often[level.of >= 0] = n[level.of[level.of >= 0]] >= 2
+            self.level = Level(after, level.entry_hashes(), n, self.token, self.words, s.hot)
+
+    def ask(self, depth: int) -> pa.RecordBatch:
+        self.learn(depth)
+        level, train = self.level, ~np.repeat(self.held, self.sizes)
+        level.find(self.often)
+        counts = np.bincount(level.of[(level.of >= 0) & train], minlength=len(level.example)).astype("<u4")
+        below, words = self.below[level.example].astype("<f4"), self.words[self.token[level.example]]
+        ctx = level.group_ctx
+        hot = level.parts[ctx] > 1
+        seen, of_hot = level.seen[ctx].astype("<i8"), np.where(hot, level.hashes[ctx], 0)
+        b = x.bucket_of(level.salted, self.s.buckets)
+        edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+        ends = np.concatenate([edges[1:], [len(b)]]) if len(b) else edges
+        at = np.concatenate([[0], np.cumsum(level.sizes)])
+        groups = lambda v: [x.planes(v[i:j]) for i, j in zip(edges, ends)]
+        entries = lambda v: [x.planes(v[at[i] : at[j]]) for i, j in zip(edges, ends)]
+        none = [None] * len(edges)
+        cols = [
+            [-1, *b[edges].tolist()], [self.block] * (len(edges) + 1), [None, *groups(level.salted)], [None, *groups(level.sizes.astype("<i4"))], [None, *groups(seen)], [None, *(x.planes(of_hot[i:j]) if hot[i:j].any() else None for i, j in zip(edges, ends))],
+            [None, *entries(words)], [None, *entries(counts)], [None, *entries(below)], [x.planes((level.of + 1).astype("<i4")), *none], [level.hashes[level.hot].astype(np.int64).tolist(), *none],
+        ]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8, pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=_names(GROUPS))
 
     def scores(self, depth: int) -> pa.RecordBatch:
-        self.learn(depth)
-        p = self._mixed(self.level, f"entries_{depth}", f"states_{depth}", self.below)
+        self.learn(depth + 1)
         first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         add = lambda v: np.add.reduceat(v, first)
         known = add((self.count[self.token] > 0).astype(np.int64))
-        cols = [self.ids, pa.array(self.held), pa.array(self.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(first), self.s.total, np.int64)), pa.array(add(np.log10(self.root))), pa.array(add(np.log10(p)))]
-        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCORES.split(", ")])
+        cols = [self.ids, pa.array(self.held), pa.array(self.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(first), self.s.total, np.int64)), pa.array(add(np.log10(self.root))), pa.array(add(np.log10(self.below)))]
+        return pa.RecordBatch.from_arrays(cols, names=_names(SCORES))
 
 
 def _add_counts(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
-    total = np.bincount(group, weights=vals, minlength=n).astype(np.int64)
-    out = np.minimum(total, int(KNOWN))[group].astype("<u4")
-    first = np.full(n, len(group))
-    np.minimum.at(first, group, np.arange(len(group)))
-    out[first] |= OWNED  # one block speaks for the key
-    return out
+    total = np.zeros(n, np.int64)
+    np.add.at(total, group, vals)
+    return total[group]
 
 
 def _tally(unique: np.ndarray, group: np.ndarray, vals: np.ndarray) -> np.ndarray:
-    total = np.bincount(group, weights=vals, minlength=len(unique)).astype(np.int64)
+    total = np.zeros(len(unique), np.int64)
+    np.add.at(total, group, vals)
     total[unique == BEGIN] = 0
     return np.array([total.sum(), (total > 0).sum()], "<i8")
 
 
-def suffix_tree_scores(docs: DataFrame, modulus: int = 10, min_count: int = 12, gain: float = 1.0, divergence: float = 0.02, discount: float = 0.6, depth: int | None = 2) -> DataFrame:
+def _bucket(s: Settings):
+    """Adds up the entries of a bucket's contexts and tests the contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        column = lambda name: table.column(name).to_pylist()
+        flat = lambda name, kind: [x.unplanes(v, kind) for v in column(name)]
+        keys, sizes, counts = flat("contexts", "<u8"), flat("sizes", "<i4"), flat("counts", "<u4")
+        of_hot = np.concatenate([np.zeros(len(k), np.uint64) if v is None else x.unplanes(v, "<u8") for v, k in zip(column("of_hot"), keys)])
+        n_groups, n_entries = ([len(v) for v in parts] for parts in (keys, counts))
+        contexts, context = np.unique(np.concatenate(keys), return_inverse=True)
+        seen, hot = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.uint64)
+        seen[context], hot[context] = np.concatenate(flat("seen", "<i8")), of_hot
+        words, word = np.unique(np.concatenate(flat("words", "<u8")), return_inverse=True)
+        entry, of = np.unique(np.repeat(context, np.concatenate(sizes)) * len(words) + word, return_inverse=True)
+        n = np.zeros(len(entry), np.int64)
+        np.add.at(n, of, np.concatenate(counts))
+        below = np.zeros(len(entry))
+        below[of] = np.concatenate(flat("below", "<f4"))
+        kept = n >= 2
+        to, k, below = entry[kept] // max(len(words), 1), n[kept], below[kept]
+        mass = (k - s.discount) / seen[to]
+        sums = [np.bincount(to, weights=w, minlength=len(contexts)) for w in (np.ones(len(k)), k, mass, k * np.log(mass / below))]
+        rest = np.where(hot == 0, s.retained(*sums, seen), 0.0)
+        cut = lambda v, parts: [x.planes(v[b - a : b]) for a, b in zip(parts, np.cumsum(parts))]
+        parts_of_hot = [dict(zip(("context", "entries", "occurrences", "mass", "won", "seen"), (int(hot[i].astype(np.int64)), *(float(v[i]) for v in sums), float(seen[i])))) for i in np.flatnonzero(hot)]
+        blocks, kind = [*column("block"), -1], pa.list_(pa.struct([("context", pa.int64()), *((f, pa.float64()) for f in ("entries", "occurrences", "mass", "won", "seen"))]))
+        return pa.table(
+            {
+                "block": pa.array(blocks, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(blocks), pa.int32()),
+                "n": pa.array([*cut(n[of], n_entries), None], pa.binary()), "rest": pa.array([*cut(rest[context], n_groups), None], pa.binary()), "hot": pa.array([*[None] * (len(blocks) - 1), parts_of_hot], kind),
+            }
+        )
+
+    return run
+
+
+def _hot_rests(parts: DataFrame, s: Settings) -> DataFrame:
+    """(context, rest) of the hot contexts from the sums of their parts."""
+    each = parts.where("block < 0").select(F.explode("hot").alias("h")).select("h.*")
+    add = lambda name: F.sum(name).alias(name)
+    whole = each.groupBy("context").agg(add("entries"), add("occurrences"), add("mass"), add("won"), F.max("seen").alias("seen"))
+    rest = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), 1 - F.col("mass")))
+    gained = F.col("won") + (F.col("seen") - F.col("occurrences")) * F.log(rest)
+    ok = (F.col("entries") > 0) & (gained >= s.gain * (F.col("entries") + 1)) & (gained >= s.divergence * F.col("seen"))
+    return whole.select("context", F.when(ok, rest).otherwise(0.0).alias("rest"))
+
+
+def _by_block(got: DataFrame, d: int, s: Settings, asked: DataFrame) -> DataFrame:
+    """What the blocks know of the contexts of d words: own_d, n_d, rest_d, hot_d."""
+    own = asked.where("bucket < 0").select("block", F.col("own").alias(f"own_{d}"), "hot")
+    lists = got.where("block >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "rest"))).alias("g"))
+    hot = own.select("block", F.explode("hot").alias("context")).join(_hot_rests(got, s), "context").groupBy("block").agg(F.collect_list(F.struct("context", "rest")).alias(f"hot_{d}"))
+    out = own.drop("hot").join(lists, "block", "left").join(hot, "block", "left")
+    return c.stored_by(out.select("block", f"own_{d}", F.col("g.n").alias(f"n_{d}"), F.col("g.rest").alias(f"rest_{d}"), f"hot_{d}"), "block", f"level-{d}")
+
+
+def suffix_tree_scores(
+    docs: DataFrame, modulus: int = 10, min_count: int = 12, gain: float = 1.0, divergence: float = 0.02, discount: float = 0.6, depth: int = 3, hot: int = 1 << 20
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     blocks = token_blocks(docs, modulus)
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    s = Settings(min_count, gain, divergence, discount, x.n_buckets(spark, 8 * tokens))
-    s.narrow(tokens)
-
-    def rests(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
-        """The parent's share in each retained state, 0 for the others."""
-        sums = [np.bincount(group, weights=vals[:, i], minlength=n) for i in range(4)]
-        seen = np.zeros(n)
-        seen[group] = vals[:, 4]
-        rest = np.clip(1 - sums[2], 1e-6, 1.0)
-        won = sums[3] + (seen - sums[1]) * np.log(rest)
-        ok = (sums[0] > 0) & (won >= gain * (sums[0] + 1)) & (won >= divergence * seen)
-        return np.where(ok, rest, 0.0).astype("<f4")
-
-    def keep(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
-        return rests(group, n, vals)[group]
-
-    def growing(unique: np.ndarray, group: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        """How many states are retained, and how many may have longer ones that are (with room for rounding)."""
-        on = rests(group, len(unique), vals) > 0
-        won, cost = (np.bincount(group, weights=vals[:, i], minlength=len(unique)) for i in (3, 5))
-        return np.array([on.sum(), (cost - np.where(on, won, 0.0) >= 1.98 * gain).sum()], "<i8")
-
-    def sums_of(answers: DataFrame, width: int) -> list[int]:
-        whole = [np.zeros(width, np.int64), *(x.unplanes(r.reply, "<i8") for r in answers.where("block < 0").select("reply").toLocalIterator())]
-        return [int(v) for v in np.sum(whole, axis=0)]
-
-    deep: DataFrame | None = None
-
-    def base() -> DataFrame:
-        return blocks if deep is None else blocks.join(deep, "block", "left")
-
-    def pass_over(ask, **replies) -> DataFrame:
+    s = Settings(min_count, gain, divergence, discount, hot, x.n_buckets(spark, 8 * tokens))
+
+    def over(base: DataFrame, ask, schema: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in x.each_row(batches):
                 yield ask(Block(row, s))
 
-        return x.joined(base(), **replies).mapInArrow(run, x.REQUEST)
-
-    def entries(d: int):
-        def ask(b: Block) -> pa.RecordBatch:
-            b.learn(d)
-            return x.requests(b.block, b.level.keys, b.level.local(b.train), s.buckets)
-
-        return ask
-
-    def states(d: int):
-        def ask(b: Block) -> pa.RecordBatch:
-            b.learn(d)
-            return b._state_request(b.level, f"entries_{d}", b.below)
-
-        return ask
-
-    got = {"words_got": x.answered(pass_over(lambda b: b.word_request()), _add_counts, "<u4", 1, "words", _tally)}
-    s.total, s.distinct = sums_of(got["words_got"], 2)
-    d = 0
-    while depth is None or d < depth:
-        d += 1
-        got[f"entries_{d}"] = x.answered(pass_over(entries(d), **got), _add_counts, "<u4", 1, f"entries-{d}")
-        got[f"states_{d}"] = x.answered(pass_over(states(d), **got), keep, "<f4", 6, f"states-{d}", growing)
-        if d == depth or depth is None and not sums_of(got[f"states_{d}"], 2)[1]:
+        return base.mapInArrow(run, schema)
+
+    counts = x.answered(over(blocks, lambda b: b.word_request(), x.REQUEST), _add_counts, "<i8", 1, "words", _tally)
+    s.total, s.distinct = (int(v) for v in np.sum([np.zeros(2, np.int64), *(x.unplanes(r.reply, "<i8") for r in counts.where("block < 0").select("reply").toLocalIterator())], axis=0))
+    base = c.stored_by(x.joined(blocks, words_got=counts).drop("counts"), "block", "counted-blocks")
+    c.release(counts)
+    c.release(blocks)
+    known = 0
+    for d in range(1, depth + 1):
+        asked = c.stored(over(base, lambda b, d=d: b.ask(d), GROUPS), f"contexts-{d}")
+        if asked.where("bucket >= 0").isEmpty():
             break
-        if d > 1:
-            # the answers so far lie beside the blocks from here on, those of three words and more apart: later rounds join two tables
-            old = got
-            if d == 2:
-                blocks = c.stored_by(x.joined(blocks, **got), "block", "answered-blocks")
-            else:
-                before = deep
-                deep = c.stored_by(x.joined(blocks.select("block") if deep is None else deep, **got), "block", "answers")
-                if before is not None:
-                    c.release(before)
-            got = {}
-            for df in old.values():
-                c.release(df)
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in x.each_row(batches):
-            yield Block(row, s).scores(d)
-
-    return x.joined(base(), **got).mapInArrow(last, SCORES)
+        got = c.stored(asked.where("bucket >= 0").groupBy("bucket").applyInArrow(_bucket(s), ANSWERS), f"tested-{d}")
+        base = base.join(_by_block(got, d, s, asked).hint("shuffle_hash"), "block", "left")
+        c.release(asked)
+        c.release(got)
+        known = d
+    return over(base, lambda b: b.scores(known), SCORES)

@@ -250,9 +250,7 @@ def test_exact_way_for_huge_sets():
 
 # ---------------------------------------------------------------- toxicity
 
-def test_toxicity(spark):
-    import numpy as np
-
+def _toxic_corpus():
     rnd = random.Random(5)
     vocab, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], ["idiot", "scum", "loser"]
     docs = []
@@ -262,24 +260,88 @@ def test_toxicity(spark):
             w += [rnd.choice(bad).upper() for _ in range(rnd.randint(1, 4))]
         rnd.shuffle(w)
         docs.append((i, " ".join(w)))
-    docs += ODD
-    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    return docs + ODD, [(i, int(i % 6 == 0)) for i in range(400)] + [(None, 1), (3, None)]
+
+
+def _plain_scores(docs, labels, k):
+    """Scores by plain Python: every example's cosine, the k best, votes, a logistic by gradient steps."""
+    words = lambda t: Counter(re.findall("[a-z\x80-\U0010ffff]+", "".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in t or "")))
+    of = {i: y for i, y in labels if i is not None and y is not None}
+    ids = sorted(of)
+    by_id = dict(docs)
+    bags = {i: words(by_id[i]) for i in ids}
+    n, n1 = len(ids), sum(of.values())
+    m, a = Counter(w for i in ids for w in bags[i]), Counter(w for i in ids if of[i] for w in bags[i])
+    chi2 = {w: n * (a[w] * (n - n1 - m[w] + a[w]) - (m[w] - a[w]) * (n1 - a[w])) ** 2 / max(1, m[w] * (n - m[w]) * n1 * (n - n1)) if m[w] < n else 0.0 for w in m}
+    df = Counter(w for _, t in docs for w in set(words(t)))
+    weight = {w: (math.log((1 + len(docs)) / (1 + df[w])) + 1) * math.sqrt(chi2[w]) for w in m}
+
+    def vector(bag):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in bag.items() if weight.get(w)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    own = {i: vector(bags[i]) for i in ids}
+    rate = n1 / n
+
+    def vote(v, but=None):
+        cos = sorted((sum(x * own[i].get(w, 0.0) for w, x in v.items()), of[i]) for i in ids if i != but)
+        cos = [(c, y) for c, y in cos if c >= 1e-6][::-1]
+        assert len(cos) <= k or cos[k - 1][0] - cos[k][0] > 3e-7 or cos[k - 1][1] == cos[k][1], "a tie"
+        return (sum(c * c * y for c, y in cos[:k]) + 0.05 * rate) / (sum(c * c for c, _ in cos[:k]) + 0.05)
+
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    z, y = [logit(vote(own[i], i)) for i in ids], [of[i] for i in ids]
+    loss = lambda p: sum(math.log1p(math.exp(-(p[0] * q + p[1]) * (1 if l else -1))) for q, l in zip(z, y)) + (p[0] - 1) ** 2 / 2 + p[1] ** 2 * 5e-4
+    best, step = (1.0, 0.0), 1.0
+    while step > 1e-7:
+        near = [(best[0] + step * i, best[1] + step * j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        low = min(near, key=loss)
+        best, step = (low, step) if loss(low) < loss(best) else (best, step / 2)
+    return {i: 1 / (1 + math.exp(-(best[0] * logit(vote(vector(words(t)))) + best[1]))) for i, t in docs}
+
+
+def test_toxicity(spark):
+    docs, marks = _toxic_corpus()
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
     frame = _frame(spark, docs).withColumn("score", F.lit("clash"))
-    index = toxicity.fit(frame, labels, max_examples=300, k=9)
+    index = toxicity.fit(frame, labels, k=9)
     got = {r.doc_id: r for r in toxicity.score(frame, index).collect() if r.doc_id is not None}
-    held = [i for i in range(400, 600)]
-    assert sum((got[i].score >= 0.5) == (i % 6 == 0) for i in held) / len(held) > 0.97
-    assert all(0 <= r.score <= 1 for r in got.values()) and got[9001].score < 0.5
+    want = _plain_scores(docs, marks, 9)
+    assert all(got[i].score == pytest.approx(want[i], abs=1e-3) for i in got)
+    assert sum((got[i].score >= 0.5) == (i % 6 == 0) for i in range(400, 600)) / 200 > 0.97
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[9001].score < 0.5 and not got[9001].evidence
     assert got[402].evidence and all(e.label == 1 for e in got[402].evidence)
-    x = np.abs(np.random.default_rng(2).normal(size=(40, len(index.terms)))).astype(np.float32)
-    x /= np.sqrt((x**2).sum(axis=1))[:, None]
-    at, cos = index.nearest(x)
-    full = np.rint(np.clip(x @ index.w.T, 0, 1) * 1e7)
-    assert (np.abs(np.rint(cos * 1e7) - -np.sort(-full, axis=1)[:, : index.k]) <= 2).all()
     kept = {r.doc_id for r in toxicity.without_toxic(frame, index).collect()}
     assert kept >= {9000, 9001} and not kept & {i for i in got if got[i].score >= 0.5}
+
+
+def test_toxicity_index_is_exact():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    n, v = 300, 500
+    x = np.where(rnd.random((n, v)) < rnd.random(v) ** 4, rnd.random((n, v)), 0.0).astype(np.float32)
+    x /= np.maximum(np.sqrt((x**2).sum(axis=1)), 1e-9)[:, None]
+    row, term = np.nonzero(x)
+    index = toxicity.Index(np.arange(n), rnd.integers(0, 2, n), row, term, x[row, term], np.arange(v).astype(np.uint64), np.ones(v), 0.1, 7)
+    assert 0 < index.dense.shape[1] < v and len(index.first) > 300
+    at, cos = index.nearest(n, row, term, x[row, term])
+    full = np.rint(np.clip(x @ x.T, 0, 1) * 1e7)
+    assert (np.abs(np.rint(cos * 1e7) - -np.sort(-full, axis=1)[:, :7]) <= 3).all()
+    assert (np.abs(full[np.arange(n)[:, None], index.ids[at]] - np.rint(cos * 1e7)) <= 3).all()
+
+
+def test_toxicity_bounds_and_empty_tables(spark):
+    docs, marks = _toxic_corpus()
+    labels, frame = spark.createDataFrame(marks, "doc_id long, toxic int"), _frame(spark, docs)
+    assert len(toxicity.fit(frame.unionByName(_frame(spark, [docs[0]] * 1000)), labels, max_examples=50).ids) == 50
+    few = toxicity.fit(frame, labels, max_postings=2500)
+    assert 5 < len(few.ids) < 200 and len(few.terms) <= 2500
     nothing = toxicity.fit(frame, labels.where("toxic = 0"))
-    assert {r.score for r in toxicity.score(frame, nothing).collect()}.__len__() == 1
+    assert len({r.score for r in toxicity.score(frame, nothing).collect()}) == 1
+    none = toxicity.fit(_frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.score(frame, none).collect()} == {0.5} and toxicity.score(_frame(spark, []), few).count() == 0
 
 
 # ---------------------------------------------------------------- BPE
@@ -303,15 +365,36 @@ def test_bpe_equals_library(spark):
 
 
 def test_streaming_machines():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     v = bpe.Vocabulary(bpe.vocabulary_bytes())
-    machine, text = bpe.Transducer(v), "theingtionanre" * 400
-    out, most = [], 0
-    for ch in text[:-1]:
-        out += machine.push(ch)
-        most = max(most, len(machine.text))
-    out += machine.finish(text[-1])
-    assert out == v.merged([*text[:-1], text[-1] + v.suffix])
-    assert most <= v.sufficient_lookahead()
-    ids = [v.vocab[t] for t in bpe.Encoder(v).piece("größe中")]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(3)
+    for text in ("theingtionanre" * 900, "".join(rnd.choice("aeinrst") for _ in range(9000)), "abababc" * 1300):
+        machine, out, most, early = bpe.Transducer(v), [], 0, 0
+        for ch in text[:-1]:
+            out += machine.push(ch)
+            most = max(most, len(machine.text))
+        early = len(out)
+        out += machine.finish(text[-1])
+        assert [v.vocab[t] for t in out] == library.encode(text, add_special_tokens=False).ids
+        assert early and most <= 2 * v.sufficient_lookahead()
+    ids = [int(i) for p in bpe.Encoder(v).plain("größe中") for i in p[1].split()]
     assert bpe.Decoder(v, as_bytes=True).decode(ids) == unicodedata.normalize("NFC", "größe中") + " "
     assert bpe.Decoder(v).decode(ids) == " ".join(v.token_of[i] for i in ids)
+
+
+def test_bpe_lookahead_and_decoder_decide(spark, monkeypatch):
+    """A text longer than a slice and a word longer than the window; what is decoded comes from the decoder."""
+    v = bpe.Vocabulary(bpe.vocabulary_bytes())
+    encoder, text = bpe.Encoder(v), " ".join(["größe"] * 20_000 + ["zxq" * 4000, "end"])
+    n, _, decoded = encoder.document(text, ids := [])
+    assert n == len(ids) and decoded == hashlib.sha256(bpe.Decoder(v).decode(ids).encode()).hexdigest()
+    pushed = []
+    monkeypatch.setattr(bpe.Transducer, "push", lambda self, symbol, f=bpe.Transducer.push: pushed.append(len(got := f(self, symbol))) or got)
+    encoder.document("zxq" * 4000)
+    assert len(pushed) == 11_999 and sum(pushed) > 0
+    assert bpe.encode_documents(_frame(spark, []), bpe.vocabulary_bytes()).count() == 0
+    with pytest.raises(ValueError, match="no tokens"):
+        bpe.Vocabulary(bpe.vocabulary_bytes().replace(b'"a":', b'"no a":'))

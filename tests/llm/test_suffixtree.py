@@ -6,8 +6,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from chartloom.llm import suffixtree
 from chartloom.llm.suffixtree import suffix_tree_scores
 
 OPTS = {"min_count": 4, "gain": 0.5, "divergence": 0.01, "discount": 0.6}
@@ -18,53 +20,44 @@ def tokens(text):
     return [*re.findall("[^\x20\x09-\x0d]+", low), "<end>"]
 
 
-def brute(docs, min_count, gain, divergence, discount):
+def brute(docs, min_count, gain, divergence, discount, depth=9):
+    """(rows, what retained contexts leave, distributions, word counts)"""
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs]
-    toks = [tokens(t) for _, t in docs]
+    toks = [["<begin>", *tokens(t)] for _, t in docs]
     train = [t for t, h in zip(toks, held) if not h]
-    one = Counter(w for t in train for w in t)
+    one = Counter(w for t in train for w in t[1:])
     n, v = sum(one.values()), len(one)
     root = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1)) if n else 1.0
-    seen = {(): n} | {(w,): k for w, k in one.items()} | {("<begin>",): len(train)}
-    nexts = defaultdict(Counter)
-    for t in train:
-        prev = ["<begin>", *t]
-        for i, w in enumerate(t):
-            nexts[prev[i],][w] += 1
-            if i:
-                nexts[prev[i - 1], prev[i]][w] += 1
-    for ctx in [x for x in nexts if len(x) == 1]:
-        for b, m in nexts[ctx].items():
-            seen[ctx[0], b] = m
-    rest = {}
+    nexts, rest = defaultdict(Counter), {}
 
     def p(ctx, w):
-        while ctx and ctx not in rest:
-            ctx = ctx[1:]
-        if not ctx:
-            return root(w)
+        if not ctx or ctx not in rest:
+            return p(ctx[1:], w) if ctx else root(w)
         k = nexts[ctx][w]
-        return ((k - discount) / seen[ctx] if k >= 2 else 0.0) + rest[ctx] * p(ctx[1:], w)
-
-    def consider(ctx):
-        entries = {w: k for w, k in nexts[ctx].items() if k >= 2}
-        if not entries:
-            return
-        mass = sum((k - discount) / seen[ctx] for k in entries.values())
-        left = min(1.0, max(1e-6, 1 - mass))
-        won = sum(k * math.log((k - discount) / seen[ctx] / p(ctx[1:], w)) for w, k in entries.items()) + (seen[ctx] - sum(entries.values())) * math.log(left)
-        if won >= gain * (len(entries) + 1) and won >= divergence * seen[ctx]:
-            rest[ctx] = left
-
-    for ctx in [x for x in nexts if len(x) == 1 and seen[x] >= min_count]:
-        consider(ctx)
-    for ctx in [x for x in nexts if len(x) == 2 and seen[x] >= min_count and seen[x[0],] >= min_count]:
-        consider(ctx)
+        return ((k - discount) / sum(nexts[ctx].values()) if k >= 2 else 0.0) + rest[ctx] * p(ctx[1:], w)
+
+    for d in range(1, depth + 1):
+        found = defaultdict(Counter)
+        for t in train:
+            for i in range(d, len(t)):
+                if d == 1 or tuple(t[i - d + 1 : i]) in rest:
+                    found[tuple(t[i - d : i])][t[i]] += 1
+        nexts.update({ctx: after for ctx, after in found.items() if sum(after.values()) >= min_count})
+        new = {}
+        for ctx, after in found.items():
+            kept, seen = {w: k for w, k in after.items() if k >= 2}, sum(after.values())
+            if seen < min_count or not kept:
+                continue
+            left = min(1.0, max(1e-6, 1 - sum((k - discount) / seen for k in kept.values())))
+            won = sum(k * math.log((k - discount) / seen / p(ctx[1:], w)) for w, k in kept.items()) + (seen - sum(kept.values())) * math.log(left)
+            if won >= gain * (len(kept) + 1) and won >= divergence * seen:
+                new[ctx] = left
+        rest.update(new)
+    longest = max(map(len, rest), default=0)
     out = []
     for (i, _), t, h in zip(docs, toks, held):
-        prev = ["<begin>", *t]
-        score = sum(math.log10(p((prev[j - 1], prev[j]) if j else ("<begin>",), w)) for j, w in enumerate(t))
-        out.append((i, h, len(t), sum(one[w] > 0 for w in t), n, sum(math.log10(root(w)) for w in t), score))
+        score = sum(math.log10(p(tuple(t[max(0, j - longest) : j]), t[j])) for j in range(1, len(t)))
+        out.append((i, h, len(t) - 1, sum(one[w] > 0 for w in t[1:]), n, sum(math.log10(root(w)) for w in t[1:]), score))
     return out, rest, p, one
 
 
@@ -80,12 +73,13 @@ def corpus():
     return [*docs, (None, "the cat sat"), (500, None), (501, ""), (502, "unseen\x0bwords\there"), (3, docs[3][1]), (600, "the cat " * 3000)]
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize(("depth", "hot"), [(1, 1 << 20), (2, 1 << 20), (6, 40), (6, 1 << 20)])
+def test_matches_brute_force(spark, depth, hot):
     docs = corpus()
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS block", "2 AS score")
-    got = sorted((tuple(r) for r in suffix_tree_scores(frame, **OPTS).collect()), key=str)
-    want, rest, p, one = brute(docs, **OPTS)
-    assert len(rest) > 10 and any(len(x) == 2 for x in rest)
+    got = [tuple(r) for r in suffix_tree_scores(frame, **OPTS, depth=depth, hot=hot).collect()]
+    want, rest, p, one = brute(docs, **OPTS, depth=depth)
+    assert len(rest) > 5 and max(map(len, rest)) >= min(depth, 3)
     for ctx in list(rest)[:20]:
         assert sum(p(ctx, w) for w in [*one, "?unknown?"]) == pytest.approx(1.0)
     key = lambda r: (str(r[0]), r[2], round(r[6], 4))
@@ -95,70 +89,50 @@ def test_matches_brute_force(spark):
         assert g[6] == pytest.approx(w[6], rel=1e-5)
 
 
+def test_counts_have_64_bits():
+    group, big = np.array([0, 0, 1, 0]), 2**31 - 1
+    assert suffixtree._add_counts(group, 2, np.array([big, big, 5, big])).tolist() == [3 * big, 3 * big, 5, 3 * big]
+
+
 def test_empty_and_untrained(spark):
     assert suffix_tree_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
     assert tuple(suffix_tree_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()) == (held, True, 3, 0, 0, 0.0, 0.0)
 
 
-def deep(docs, min_count, gain, divergence, discount):
-    """Scores with contexts of any length that occurs min_count times; the retained lengths."""
-    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs]
-    toks = [["<begin>", *tokens(t)] for _, t in docs]
-    train = [t for t, h in zip(toks, held) if not h]
-    one = Counter(w for t in train for w in t[1:])
-    n, v = sum(one.values()), len(one)
-    root = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-    rest, nexts, seen, depth = {}, {}, {}, 0
-
-    def p(ctx, w):
-        while ctx and ctx not in rest:
-            ctx = ctx[1:]
-        if not ctx:
-            return root(w)
-        k = nexts[ctx][w]
-        return ((k - discount) / seen[ctx] if k >= 2 else 0.0) + rest[ctx] * p(ctx[1:], w)
-
-    while True:
-        depth += 1
-        found = defaultdict(Counter)
-        for t in train:
-            for i in range(depth, len(t)):
-                found[tuple(t[i - depth : i])][t[i]] += 1
-        new = {}
-        for ctx, after in found.items():
-            seen[ctx] = sum(after.values())
-            kept = {w: k for w, k in after.items() if k >= 2}
-            if seen[ctx] < min_count or not kept:
-                continue
-            left = min(1.0, max(1e-6, 1 - sum((k - discount) / seen[ctx] for k in kept.values())))
-            won = sum(k * math.log((k - discount) / seen[ctx] / p(ctx[1:], w)) for w, k in kept.items()) + (seen[ctx] - sum(kept.values())) * math.log(left)
-            if won >= gain * (len(kept) + 1) and won >= divergence * seen[ctx]:
-                new[ctx] = left
-        if depth > 1 and not any(sum(after.values()) >= min_count for after in found.values()):
-            break
-        nexts.update(found)
-        rest.update(new)
-    longest = max(map(len, rest))
-    return [(i, h, len(t) - 1, sum(math.log10(p(tuple(t[max(0, j - longest) : j]), t[j])) for j in range(1, len(t)))) for (i, _), t, h in zip(docs, toks, held)], {len(x) for x in rest}
-
-
 def test_contexts_of_any_length(spark):
     rnd = random.Random(6)
     docs = []
     for i in range(150):
         t = []
         for _ in range(rnd.randint(1, 12)):
-            # what ends the passage depends on the word five before it
+            # what ends the passage depends on the word three before it
             k = rnd.randint(0, 3)
-            t += [f"start{k}", "all", "of", "this", "again", f"end{k}"] if rnd.random() < 0.5 else [rnd.choice(["all", "of", "this", "x", "y"])]
+            t += [f"start{k}", "all", "of", f"end{k}"] if rnd.random() < 0.5 else [rnd.choice(["all", "of", "this", "x", "y"])]
         docs.append((i, " ".join(t)))
     docs += [(None, "all of this"), (500, None), (501, ""), (3, docs[3][1])]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.score) for r in suffix_tree_scores(frame, **OPTS, depth=None).collect()]
-    want, lengths = deep(docs, **OPTS)
-    assert max(lengths) > 4
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.score) for r in suffix_tree_scores(frame, **OPTS, depth=20).collect()]
+    want, rest, *_ = brute(docs, **OPTS, depth=20)
+    want = [(*w[:3], w[6]) for w in want]
+    assert max(map(len, rest)) >= 3
     key = lambda r: (str(r[0]), r[2], round(r[3], 4))
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert g[:3] == w[:3]
         assert g[3] == pytest.approx(w[3], rel=1e-5)
+
+
+def test_words_equal_to_polynomial_hashes(spark):
+    """Two words of 1,024 letters that a hash modulo 2**64 can't tell apart are two words."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = suffix_tree_scores(spark.createDataFrame([(1, f"{x} {x}"), (2, "c"), (11, y)], "doc_id long, text string")).collect()
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in (1, 2, 11)}
+    words = Counter(w for i, t in ((1, [x, x, 0]), (2, ["c", 0]), (11, [y, 0])) if not held[i] for w in t)
+    n, v = sum(words.values()), len(words)
+    for r in rows:
+        t = {1: [x, x, 0], 2: ["c", 0], 11: [y, 0]}[r.doc_id]
+        assert r.n_known == sum(words[w] > 0 for w in t) and r.train_tokens == n
+        assert r.base_score == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
