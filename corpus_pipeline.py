@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of
-documents; the last returns token counts, digests and token ids. Rows of null text pass the filters and
-encode to no tokens; of rows equal in id and text one stays.
+documents; the last returns token counts, digests and token ids. In every stage a null or empty text is no reason
+to go, null ids and repeated rows are rows like any other but where it says otherwise, texts of any length are read
+whole, an empty table gives no rows, and extra columns of any name pass through to the last stage, which drops them.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from chartloom.sources.session import importable
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
+    """Documents scored as toxic go; a text without a known word has the prior's score and stays. Rows of equal
+    text have equal scores, repeated or not."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out(5)))
     return toxicity.without_toxic(docs, index)
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go from the texts; n_chars follows the text."""
+    """Repeated passages of two lines and 40 bytes go from the texts but for their first copy; n_chars follows the text.
+    No row goes; rows equal in id and text count as one and keep the same lines."""
     importable(spark)
     out = linededup.dedup_line_chunks(docs, windows=True)
     if "n_chars" in docs.columns:
@@ -31,19 +34,19 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that Jaccard links connect, the one of the least id stays."""
+    """Of rows that Jaccard links connect, the one of the least id stays, nulls last, ties by the text's hash; of
+    equal rows one. Rows without a word stay."""
     importable(spark)
-    kept = jaccardjoin.jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return jaccardjoin.one_of_each_class(docs)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; texts that are shorter than an item's shingles stay."""
     return contamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as tokens."""
+    """What is left, as tokens; a null or empty text has none."""
     importable(spark)
     return bpe.encode_documents(docs, bpe.vocabulary_bytes(), ids=True)
 
