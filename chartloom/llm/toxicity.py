@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chartloom.llm import common as c
 
-BLOCK = 64
+BLOCK = 512
 DENSE = 16
 PRIOR = 0.05
 RANGES = 64

@@ -49,6 +49,26 @@ def test_shards(spark, monkeypatch, hot):
     assert all(abs(sum(r.size for r in rs) - total / 8) <= 2 * (0.01 * total / 8 + largest) for rs in by_shard.values())
 
 
+def test_shards_follow_the_splitters(spark):
+    """Shards are stretches of rows by (hash of the text, id), each boundary as near to its target as rows allow."""
+    import xxhash
+
+    rows = [*_corpus(400, 8), (9000, None), (9001, ""), *((20000 + i, "copy " * 20) for i in range(90)), *((7, "the same row") for _ in range(200))]
+    got = sharding.histogram_shards(_frame(spark, rows).repartition(5), 10, tolerance=0.002).collect()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    place = {(i, crc(t)): (xxhash.xxh64_intdigest(t.encode(), seed=42) >> 2 if t is not None else 42 >> 2, i) for i, t in rows}
+    ordered = sorted(((*place[r.doc_id, r.text_crc32], r.shard, r.size) for r in got))
+    assert [x[2] for x in ordered] == sorted(x[2] for x in ordered)
+    total, largest = sum(x[3] for x in ordered), max(x[3] for x in ordered)
+    for k in range(1, 10):
+        below = sum(x[3] for x in ordered if x[2] < k)
+        assert abs(below - total * k / 10) <= max(0.002 * total / 10, largest)
+    same = [r.shard for r in got if r.doc_id == 7 and r.text_crc32 == crc("the same row")]
+    assert len(same) >= 200 and len(set(same)) > 0
+    for shard in range(10):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 def test_shards_refuse_clashes_and_take_empty(spark):
     assert sharding.histogram_shards(_frame(spark, []), 4).count() == 0
     with pytest.raises(ValueError):
@@ -176,6 +196,17 @@ def test_warc(spark):
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_warc_odd_tables(spark):
+    rows = [(None, "http://n", "null id"), (None, None, "null id"), (1, None, "p"), (1, "u", "p"), (2, "u", None)]
+    path = common.fresh_path(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")), path)
+    got = sorted(str((r.page_id, r.record_type, r.refers_to, r.payload_bytes)) for r in warc.read_archives(spark, path).collect())
+    assert got == sorted(map(str, [(None, "response", None, 7), (None, "response", None, 7), (1, "response", None, 1), (1, "response", None, 1), (2, "response", None, 0)]))
+    empty = common.fresh_path(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
 def test_warc_long_headers(spark):
     rows = [(i, "data:text/html," + "x" * (200_000 if i in (3, 11) else 10), f"page {i}" * 50) for i in range(20)]
     path = common.fresh_path(spark, "warc-test")
@@ -316,9 +347,10 @@ def test_toxicity(spark):
     assert kept >= {9000, 9001} and not kept & {i for i in got if got[i].score >= 0.5}
 
 
-def test_toxicity_index_is_exact():
+def test_toxicity_index_is_exact(monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
     rnd = np.random.default_rng(2)
     n, v = 300, 500
     x = np.where(rnd.random((n, v)) < rnd.random(v) ** 4, rnd.random((n, v)), 0.0).astype(np.float32)
