@@ -92,8 +92,11 @@ def _chunks(lines: Column, divisor: int, min_bytes: int, windows: bool) -> Colum
 
 def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 2, min_bytes: int = 40, windows: bool = False) -> DataFrame:
     """docs with the text without repeated chunks (with `windows`, repeated passages), n_lines and n_removed_lines."""
-    keyed = docs.drop("n_lines", "n_removed_lines").withColumns({"_cl_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_cl_text": F.xxhash64(text_col)})
-    slim = keyed.where(F.col(text_col).isNotNull()).select(*KEY, F.explode(_chunks(F.split(text_col, "\n"), divisor, min_bytes, windows)).alias("c"))
+    columns = [x for x in docs.columns if x not in ("n_lines", "n_removed_lines")]
+    text = F.col("_cl_t")
+    # the input's columns travel in a struct, so no name of theirs meets one of these
+    keyed = docs.select(F.struct(*columns).alias("_cl_row"), F.col(text_col).alias("_cl_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_cl_id"), F.xxhash64(text_col).alias("_cl_text"))
+    slim = keyed.where(text.isNotNull()).select(*KEY, F.explode(_chunks(F.split(text, "\n"), divisor, min_bytes, windows)).alias("c"))
     slim = c.stored(slim.select(*KEY, "c.*"), "line-chunks")
 
     at = F.struct(*KEY, "s")
@@ -105,20 +108,21 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     c.release(slim)
     # the texts move once: with what is asked of them, null for most
     held = c.stored(keyed.join(wanted, KEY, "left"), "line-texts")
+    c.release(wanted)
     asked = held.where("_cl_w IS NOT NULL")
 
     ask = lambda ls: F.transform("_cl_w", lambda w: F.struct(w["s"].alias("s"), w["n"].alias("n"), w["ch"].alias("ch"), w["lo"].alias("lo"), w["is_first"].alias("is_first"), F.array_join(F.slice(ls, w["s"], w["n"]), "\n").alias("bytes")))
-    found = asked.select(*KEY, F.explode(_bound(F.split(text_col, "\n"), ask)).alias("w")).select(*KEY, "w.*")
+    found = asked.select(*KEY, F.explode(_bound(F.split(text, "\n"), ask)).alias("w")).select(*KEY, "w.*")
     first = found.where("is_first").select("ch", F.col("bytes").alias("first_bytes")).dropDuplicates(["ch"])
     same = found.where("NOT is_first").join(first, "ch").where("bytes = first_bytes")
     gone = c.stored(same.groupBy(*KEY).agg(F.collect_set(F.struct("lo", (F.col("s") + F.col("n") - 1).alias("hi"))).alias("_cl_gone")), "line-chunks-gone")
 
     gone_lines = F.array_distinct(F.flatten(F.transform("_cl_gone", lambda g: F.sequence(g["lo"], g["hi"]))))
-    rest = _bound(F.split(text_col, "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(ls)), gone_lines), lambda i: F.get(ls, i - 1)), "\n"))
-    text = F.when(F.col("_cl_gone").isNull(), F.col(text_col)).otherwise(rest)
+    rest = _bound(F.split(text, "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(ls)), gone_lines), lambda i: F.get(ls, i - 1)), "\n"))
+    left = F.when(F.col("_cl_gone").isNull(), text).otherwise(rest)
     removed = F.when(F.col("_cl_gone").isNull(), 0).otherwise(F.size(gone_lines))
-    columns = [x for x in docs.columns if x not in ("n_lines", "n_removed_lines")]
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"))) + 1).cast("long")
-    kept = held.where("_cl_w IS NULL").select(*columns, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
-    cut = asked.join(gone, KEY, "left").select(*[text.alias(x) if x == text_col else F.col(x) for x in columns], n_lines.alias("n_lines"), removed.cast("long").alias("n_removed_lines"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("long")
+    own = lambda x: F.col("_cl_row")[x].alias(x)
+    kept = held.where("_cl_w IS NULL").select(*map(own, columns), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
+    cut = asked.join(gone, KEY, "left").select(*[left.alias(x) if x == text_col else own(x) for x in columns], n_lines.alias("n_lines"), removed.cast("long").alias("n_removed_lines"))
     return kept.unionByName(cut)

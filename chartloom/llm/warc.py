@@ -36,6 +36,7 @@ from chartloom.llm import common as c
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 NULL_ID = -(2**63)
+CELL = 1 << 20
 
 CANDIDATE = (
     "file string, split long, file_size long, at long, size long, next_at long, body_at long, body_size long, record_type string, page_id long,"
@@ -48,20 +49,23 @@ def _digest(payload: bytes) -> str:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0) -> None:
-    """A WARC file for each task; payloads of under min_revisit bytes are never revisits."""
+    """A WARC file for each task; payloads of under min_revisit bytes are never revisits. Payloads are equal if their
+    SHA-1, their BLAKE2b-128 and their length are."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = c.buffer_of(batch.column("payload"))
             raw = memoryview(buf.tobytes())
-            found = pa.array([_digest(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("payload"), found], names=["id", "url", "payload", "digest"])
+            cuts = [*zip(off[:-1].tolist(), off[1:].tolist())]
+            found = pa.array([_digest(raw[a:b]) for a, b in cuts], pa.string())
+            other = pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in cuts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("payload"), found, other], names=["id", "url", "payload", "digest", "other"])
 
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url") if url_col in pages.columns else F.lit(None).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = slim.mapInArrow(digests, "id long, url string, payload string, digest string").withColumn("size", F.octet_length("payload").cast("long"))
+    rows = slim.mapInArrow(digests, "id long, url string, payload string, digest string, other binary").withColumn("size", F.octet_length("payload").cast("long"))
     # the largest id of each repeated payload; singles need no join partner
-    heads = rows.groupBy("digest", "size").agg(F.max(F.coalesce("id", F.lit(NULL_ID))).alias("head"), F.count("*").alias("n")).where(f"n > 1 AND size >= {min_revisit}").drop("n")
-    rows = rows.join(heads, ["digest", "size"], "left")
+    heads = rows.groupBy("digest", "other", "size").agg(F.max(F.coalesce("id", F.lit(NULL_ID))).alias("head"), F.count("*").alias("n")).where(f"n > 1 AND size >= {min_revisit}").drop("n")
+    rows = rows.join(heads, ["digest", "other", "size"], "left")
     revisit = F.col("head").isNotNull() & (F.coalesce("id", F.lit(NULL_ID)) != F.col("head"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     optional = lambda name, value: F.coalesce(line(name, value), F.lit(""))
@@ -233,8 +237,10 @@ def _mended(spark: SparkSession, path: str, local: DataFrame, starts: DataFrame,
     pieces = _pieces(spark, path).select("piece", "file", "split").mapInArrow(place, "file string, split long, at long, piece binary").where("at >= 0")
     pieces = pieces.join(starts, ["file", "split"]).select("file", (F.col("at") + F.col("start")).alias("piece_at"), "piece")
     slim = local.where("at >= 0").join(starts, ["file", "split"]).select("file", (F.col("at") + F.col("start")).alias("piece_at"), "size")
-    own = broken.select("file", "at", "body_at", "body_size", "next_at")
-    needed = slim.join(own, "file").where("piece_at >= at AND piece_at < body_at + body_size").drop("size")
+    # pieces and records of a file meet in the stretches of CELL bytes that they touch
+    cell = lambda x: F.floor(F.col(x) / CELL)
+    own = broken.select("file", "at", "body_at", "body_size", "next_at").withColumn("cell", F.explode(F.sequence(cell("at"), F.floor((F.col("body_at") + F.col("body_size")) / CELL))))
+    needed = slim.withColumn("cell", cell("piece_at")).join(own, ["file", "cell"]).where("piece_at >= at AND piece_at < body_at + body_size").drop("size", "cell")
     parts = needed.join(pieces, ["file", "piece_at"])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
