@@ -9,9 +9,9 @@ pair on sketches of their values.
 
 The links found that way (estimates over CUT, well under the threshold) only say which records may belong
 together, so pairs that are already connected need no further look. Large groups of near copies are connected
-first: in a few single-position buckets of over LIMIT records all are compared with one leader. From then on a
-bucket of one component is done, one of several compares only across them if that takes at most PAIRS
-comparisons, and what is left first compares all with one leader: those similar to it leave, since by the
+first: in a few single-position buckets of over LIMIT records all are compared with a few leaders. From then on a
+bucket of one component is done, one of several compares only across them if it has at most ROWS records and that takes at
+most PAIRS comparisons, and what is left first compares all with one leader: those similar to it leave, since by the
 triangle inequality whatever is similar to them is linked with the leader too, and the rest is split on.
 
 Runs repeat until a pair at the threshold is missed with a probability of at most 1 - recall, by the survival of
@@ -39,21 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import common as c
-from chartloom.llm.components import components
+from chartloom.llm.components import components, least_labels
 
 N = 5
 T = 128
 LIMIT = 256
-PAIRS = 1 << 18
+PAIRS, ROWS = 1 << 22, 1 << 16
 DEPTH = 3
 #: What is under 1 - SAME from a leader has its links, 1 - threshold further, within 1 - CUT of it; 0.1 is left for noise.
 CUT, SAME = 0.5, 0.8
-#: Positions of the buckets in which large groups are connected first.
-FIRST = range(0, T, T // 6)
+#: Positions of the buckets in which large groups are connected first, and leaders of each.
+FIRST, LEADERS = range(0, T, T // 6), 4
 MORE_RUNS = 8
 SAMPLE, SAMPLE_BYTES = 256, 16_000
 TILE, TILE_BYTES = 1024, 4 << 20
 COLUMNS = 2048
+FEW_BYTES = 32 << 20
 NO_ID = -(2**63)
 _odd = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -128,7 +129,9 @@ class Sample:
 
 def sampled(docs: DataFrame) -> list[np.ndarray]:
     """The sets of the sample, at most SAMPLE."""
-    few = docs.select("text").where((F.octet_length("text") <= SAMPLE_BYTES)).distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE).toArrow()
+    short = docs.select("text", F.xxhash64("text").alias("h")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    lowest = short.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # hashes move, texts don't
+    few = short.where(F.col("h") <= F.lit(lowest)).dropDuplicates(["text"]).orderBy("h", "text").limit(SAMPLE).toArrow()
     buf, off = c.buffer_of(few.column("text"))
     who, h = sets_of(buf, off)
     rows, starts = np.unique(who, return_index=True)
@@ -182,8 +185,8 @@ PATHS = "path long, key long, comp long"
 LINKS = "u long, v long"
 
 
-def _placed(path: np.ndarray, key: np.ndarray, comp: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(key), pa.array(comp)], names=["path", "key", "comp"])
+def _placed(path: np.ndarray, key: np.ndarray, comp: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(key), pa.array(comp), *more], names=["path", "key", "comp", "sk"][: 3 + len(more)])
 
 
 def _links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -191,16 +194,16 @@ def _links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
 
-def _root_paths(roots: np.ndarray, positions: np.ndarray):
-    """The buckets of every record at some positions of some roots."""
+def root_paths(reps: DataFrame, roots: np.ndarray, positions: np.ndarray, sketches: bool = False) -> DataFrame:
+    """The buckets of every record at some positions of some roots, with its sketch if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vals, key, comp = _vals(batch.column("vals")), batch.column("key").to_numpy(), batch.column("comp").to_numpy()
             for root, at in zip(roots, positions):
-                yield _placed(child(np.full(len(key), root), np.full(len(key), at), vals[:, at]), key, comp)
+                yield _placed(child(np.full(len(key), root), np.full(len(key), at), vals[:, at]), key, comp, *([batch.column("sk")] if sketches else []))
 
-    return run
+    return reps.select("key", "comp", "vals", *(["sk"] if sketches else [])).mapInArrow(run, PATHS + ", sk binary" * sketches)
 
 
 def _spanning(path: np.ndarray, key: np.ndarray, comp: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,15 +230,7 @@ def _spanning(path: np.ndarray, key: np.ndarray, comp: np.ndarray, sk: np.ndarra
             us.append(np.full(len(ok), i))
             vs.append(ok)
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-    label = np.arange(len(path))  # of a bucket's links those that span its components are enough
-    while len(a):
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        np.minimum.at(least, b, label[a])
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
+    label = least_labels(a, b, len(path))  # of a bucket's links those that span its components are enough
     on = np.flatnonzero(label != np.arange(len(path)))
     return key[on], key[label[on]]
 
@@ -263,11 +258,11 @@ def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("path", "key", "comp", "leader", "leader_comp")), pa.array(est, pa.float64())], names=["path", "key", "comp", "leader", "leader_comp", "est"])
 
 
-def _led(large: DataFrame, reps: DataFrame) -> DataFrame:
-    """large: path, key, comp, leader, leader_comp. Its rows with est, their likeness to the leader."""
-    own = reps.select("key", "sk")
-    both = large.join(own, "key").join(own.select(F.col("key").alias("leader"), F.col("sk").alias("leader_sk")), "leader")
-    return both.mapInArrow(_with_leader, PATHS + ", leader long, leader_comp long, est double")
+def _led(rows: DataFrame, heads: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows (path, key, comp, sk) whose path is in heads (path, leader, leader_comp), with est, their likeness to its leader."""
+    few = _few(c.stored(heads, "heads"))
+    own = _few(c.stored(reps.select(F.col("key").alias("leader"), F.col("sk").alias("leader_sk")).join(few, "leader"), "leaders"), 200)
+    return rows.join(own, "path").mapInArrow(_with_leader, PATHS + ", leader long, leader_comp long, est double")
 
 
 def _children(threshold: float):
@@ -283,48 +278,52 @@ def _children(threshold: float):
     return run
 
 
+def _few(df: DataFrame, row_bytes: int = 40) -> DataFrame:
+    """A stored table, sent to every task if it has at most FEW_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= FEW_BYTES else df
+
+
 def hot_links(reps: DataFrame) -> DataFrame | None:
-    """Links that connect large groups: all of a bucket of over LIMIT records with one of them."""
-    rows = c.stored(reps.mapInArrow(_root_paths(np.zeros(len(FIRST), np.uint64), np.array(FIRST)), PATHS), "hot-paths")
-    heads = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("key").alias("leader")).where(F.col("m") > LIMIT).select("path", "leader", F.col("leader").alias("leader_comp"))
-    heads = c.stored(heads, "hot-heads")
+    """Links that connect large groups: all of a bucket of over LIMIT records with some of them."""
+    roots, positions = np.zeros(len(FIRST), np.uint64), np.array(FIRST)
+    some = [F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(LEADERS)]
+    heads = root_paths(reps, roots, positions).groupBy("path").agg(F.count("*").alias("m"), *[x.alias(f"l{i}") for i, x in enumerate(some)]).where(F.col("m") > LIMIT)
+    leaders = F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))
+    heads = c.stored(heads.select("path", F.explode(leaders).alias("leader")).withColumn("leader_comp", F.col("leader")), "hot-heads")
     if heads.isEmpty():
-        c.release(rows)
         return None
-    est = _led(rows.join(heads, "path"), reps)
-    out = c.stored(est.where((F.col("est") >= CUT) & (F.col("key") != F.col("leader"))).select(F.col("key").alias("u"), F.col("leader").alias("v")).distinct(), "hot-links")
-    c.release(rows)
-    return out
+    est = _led(root_paths(reps, roots, positions, sketches=True), heads, reps)
+    return c.stored(est.where((F.col("est") >= CUT) & (F.col("key") != F.col("leader"))).select(F.col("key").alias("u"), F.col("leader").alias("v")).distinct(), "hot-links")
 
 
 def wave_links(reps: DataFrame, threshold: float, first_run: int, runs: int) -> list[DataFrame]:
     """Links across components found in some runs. reps: key, comp, vals, sk."""
     roots = c.mix(np.arange(first_run + 1, first_run + runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     run_of, at = np.nonzero(picked(roots, threshold))
-    rows = reps.mapInArrow(_root_paths(roots[run_of], at), PATHS)
+    rows = root_paths(reps, roots[run_of], at)
+    sketched = root_paths(reps, roots[run_of], at, sketches=True)  # made again rather than moved with every row
     links: list[DataFrame] = []
     while True:
-        rows = c.stored(rows.distinct() if links else rows, "paths")
-        sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by("key", F.struct("comp", "key")).alias("leader"))
-        sizes = c.stored(sizes.where("least <> most").select("path", "m", "leader", F.col("least").alias("leader_comp")), "buckets")
-        big = sizes.where(F.col("m") > LIMIT)
-        any_big = not big.isEmpty()
+        sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        sizes = c.stored(sizes.where("least <> most").select("path", "m", F.col("least").alias("leader_comp")), "buckets")
+        big = c.stored(sizes.where(F.col("m") > LIMIT), "large")
         easy = sizes.where(F.col("m") <= LIMIT).select("path")
-        if any_big:
-            parts = rows.join(big.select("path"), "path").groupBy("path", "comp").agg(F.count("*").alias("n"))
-            across = parts.groupBy("path").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across"))
-            across = c.stored(across, "across")
-            easy = easy.unionByName(across.where(F.col("across") <= PAIRS).select("path"))
-            big = big.join(across.where(F.col("across") > PAIRS).select("path"), "path")
-        full = rows.join(easy, "path").join(reps.select("key", "sk"), "key")
-        links.append(c.stored(full.select("path", "key", "comp", "sk").repartition("path").sortWithinPartitions("path", "comp", "key").mapInArrow(_small, LINKS).distinct(), "links"))
+        if any_big := not big.isEmpty():
+            parts = rows.join(_few(big.select("path")), "path").groupBy("path", "comp").agg(F.count("*").alias("n"))
+            across = parts.groupBy("path").agg(F.sum("n").alias("m"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across"))
+            across = c.stored(across.select("path", ((F.col("across") <= PAIRS) & (F.col("m") <= ROWS)).alias("few")), "across")
+            easy = easy.unionByName(across.where("few").select("path"))
+            big = c.stored(big.join(across.where("NOT few").select("path"), "path"), "large")
+        easy = _few(c.stored(easy, "easy"), 16)
+        links.append(c.stored(sketched.join(easy, "path").repartition("path").sortWithinPartitions("path", "comp", "key").mapInArrow(_small, LINKS).distinct(), "links"))
         if not any_big or big.isEmpty():
-            c.release(rows)
             return links
-        est = c.stored(_led(rows.join(big.drop("m"), "path"), reps), "led")
+        heads = rows.join(_few(big.select("path", F.col("leader_comp").alias("comp"))), ["path", "comp"]).groupBy("path").agg(F.min("key").alias("leader"), F.min("comp").alias("leader_comp"))
+        est = c.stored(_led(sketched, heads, reps), "led")
         links.append(est.where((F.col("est") >= CUT) & (F.col("comp") != F.col("leader_comp"))).select(F.col("key").alias("u"), F.col("leader").alias("v")).distinct())
-        c.release(rows)
-        rows = est.where(F.col("est") < SAME).select("path", "key", "comp").join(reps.select("key", "vals"), "key").mapInArrow(_children(threshold), PATHS)
+        rest = _few(c.stored(est.where(F.col("est") < SAME).select("path", "key", "comp"), "rest"))
+        rows = c.stored(reps.select("key", "vals").join(rest, "key").mapInArrow(_children(threshold), PATHS).distinct(), "paths")
+        sketched = reps.select("key", "sk").join(_few(rows), "key").select("path", "key", "comp", "sk")
 
 
 def candidate_groups(reps: DataFrame, sample_keys: list[int], threshold: float, recall: float) -> DataFrame:
@@ -332,20 +331,23 @@ def candidate_groups(reps: DataFrame, sample_keys: list[int], threshold: float,
     spark = reps.sparkSession
     hot = hot_links(reps.withColumn("comp", F.col("key")))
     links = [hot] if hot is not None else []
-    state = reps.withColumn("comp", F.col("key")) if hot is None else reps.join(components(hot).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    state = reps.withColumn("comp", F.col("key"))
+    if hot is not None:
+        own = c.stored(components(hot).withColumnRenamed("node", "key"), "hot-groups")
+        state = reps.join(_few(own), "key", "left").withColumn("comp", F.coalesce("root", "key"))
     others = spark.createDataFrame(list(enumerate(sample_keys)), "item int, other long")  # at most SAMPLE rows
     truth = c.stored(reps.select("key", F.explode("near").alias("item")).join(F.broadcast(others), "item").where("key <> other").select("key", "other"), "sample-links")
     n_truth, done, runs = truth.count(), 0, runs_needed(recall)
     while True:
         state = c.stored(state.select("key", "comp", "vals", "sk"), "state")
         links += wave_links(state, threshold, done, runs)
+        c.release(state)
         groups = c.stored(components(reduce(DataFrame.unionByName, links).where("u <> v").distinct()).select(F.col("node").alias("key"), F.col("root").alias("grp")), "groups")
         done, runs = done + runs, MORE_RUNS
         together = truth.join(groups, "key").join(groups.select(F.col("key").alias("other"), F.col("grp").alias("_g")), "other").where("grp = _g").count() if n_truth else 0
-        c.release(state)
         if together >= recall * n_truth:
             return groups
-        state = reps.join(groups, "key", "left").withColumn("comp", F.coalesce("grp", "key"))
+        state = reps.join(_few(groups), "key", "left").withColumn("comp", F.coalesce("grp", "key"))
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -396,9 +398,8 @@ def _linked(pdf: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"key": key, "links": links, "other": key[label]})
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """doc_id, class_id (the least doc_id that links connect it with) and n_links (other rows at least
-    `threshold` similar) of each row of docs."""
+def classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and key of each row, key with root, class_id and n_links of each set)."""
     spark = docs.sparkSession
     sets = sampled(docs)
     rows = records(docs, Sample(sets, threshold))
@@ -414,7 +415,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     sizes = members.groupBy("grp").agg(tiles)
 
     # the sets of the members, made again from one text each
-    wanted = members.join(sizes, "grp").select(F.coalesce("rep", F.lit(NO_ID)).alias("_id"), "key", "grp", "copies", "tiles")
+    wanted = _few(c.stored(members.join(sizes, "grp").select(F.coalesce("rep", F.lit(NO_ID)).alias("_id"), "key", "grp", "copies", "tiles"), "wanted"))  # if many, the texts move
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,8 +458,40 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         root = root.unionByName(components(apart.select(F.col("key").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("key"), "root"))
     known = reps.select("key", "rep", "copies").join(root, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = c.stored(known.join(names, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return rows.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", "key"), c.stored(known.join(names, "root").select("key", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """doc_id, class_id (the least doc_id that links connect it with) and n_links (other rows at least
+    `threshold` similar) of each row of docs."""
+    rows, known = classes(docs, threshold, recall)
+    return rows.join(known, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """Of the rows of docs that links connect the one of the least id, nulls last, and of these of the least hash of
+    the text; with all columns. Rows without a word have no link and all stay; of equal rows with a word one stays."""
+    _, known = classes(docs, threshold, recall)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, off in c.chunks(batch):
+                who, h = sets_of(buf, off)
+                rows, starts = np.unique(who, return_index=True)
+                key = np.zeros(part.num_rows, np.int64)
+                key[rows] = _keys(h, starts) if len(rows) else 0
+                none = np.ones(part.num_rows, bool)
+                none[rows] = False
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key, pa.int64(), mask=none)], names=[*part.schema.names, "_jj_key"])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    linked = known.select(F.col("key").alias("_jj_key"), F.col("root").alias("_jj_root"), F.col("n_links").alias("_jj_links"))
+    rows = c.stored(docs.mapInArrow(keyed, f"{names}, _jj_key long").join(linked, "_jj_key", "left"), "rows-by-class")
+    alone = F.coalesce("_jj_links", F.lit(0)) == 0
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+    # a task hands on one row a class, however large the class
+    best = rows.where(~alone).groupBy("_jj_root").agg(F.min_by(F.struct(*docs.columns), order).alias("_jj_row"))
+    return rows.where(alone).select(*docs.columns).unionByName(best.select(*[F.col(f"_jj_row.{x}").alias(x) for x in docs.columns]))
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,6 +88,55 @@ def test_spanning_links_of_a_large_bucket():
     assert {comp[a] for a in (*u, *v)} == {0, 8} and 500 in {*u, *v}
 
 
+def test_components_by_rounds(spark, monkeypatch):
+    from chartloom.llm import components
+
+    rnd = random.Random(5)
+    edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(220)] + [(400, i) for i in range(401, 460)] + [(5, 5)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    got = [sorted(map(tuple, components.components(frame).collect()))]
+    monkeypatch.setattr(components, "FEW", 0)
+    got.append(sorted(map(tuple, components.components(frame).collect())))
+    label = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got[0] == got[1] == sorted(label.items())
+
+
+def test_one_of_each_class(spark):
+    docs = [*corpus(), (None, corpus()[61][1]), (901, ""), (3, corpus()[3][1])]
+    docs.append((61, corpus()[61][1] + " end"))  # a near copy whose id repeats
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS _jj_root", "'x' AS root").drop("_jj_root")
+    got = jaccardjoin.one_of_each_class(frame).collect()
+    sets, rows = [shingles(t) for _, t in docs], brute(docs)
+    classes, want = {}, [d for d, s in zip(docs, sets) if not s]
+    near = lambda i, j: sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-6
+    seen = set()
+    for i in range(len(docs)):
+        if sets[i] and i not in seen:
+            group, todo = {i}, [i]
+            while todo:
+                k = todo.pop()
+                for j in range(len(docs)):
+                    if j not in group and near(k, j):
+                        group.add(j)
+                        todo.append(j)
+            seen |= group
+            classes[i] = group
+            least = min((docs[j][0] is None, docs[j][0] or 0) for j in group)
+            want.append({docs[j] for j in group if (docs[j][0] is None, docs[j][0] or 0) == least})
+    have = [(r.doc_id, r.text) for r in got]
+    assert len(have) == len(want) and len(rows) == len(docs) and all(r.root == "x" for r in got)
+    for w in want:
+        if isinstance(w, set):
+            assert sum(h in w for h in have) >= 1
+        else:
+            assert w in have
+    assert jaccardjoin.one_of_each_class(frame.limit(0)).count() == 0
+
+
 def test_runs_and_empty(spark):
     assert runs_needed(0.9999) == 20
     assert jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
