@@ -6,6 +6,9 @@ ASSERTION_TYPES = ["CHẨN_ĐOÁN", "THUỐC", "TRIỆU_CHỨNG"]
 CODEABLE_TYPES = ["CHẨN_ĐOÁN", "THUỐC"]
 NO_CODE_TYPES = ["TRIỆU_CHỨNG", "TÊN_XÉT_NGHIỆM"]
 LABEL_TYPES = {"THUOC": "THUỐC", "TRIEU_CHUNG": "TRIỆU_CHỨNG", "BENH": "CHẨN_ĐOÁN", "XET_NGHIEM": "TÊN_XÉT_NGHIỆM", "KET_QUA_XET_NGHIEM": "KẾT_QUẢ_XÉT_NGHIỆM"}
+ASSERTIONS = ["isNegated", "isFamily", "isHistorical"]
+MARK_ALIASES = {"DX": "CHẨN_ĐOÁN", "SYM": "TRIỆU_CHỨNG", "DRUG": "THUỐC", "TEST": "TÊN_XÉT_NGHIỆM", "RES": "KẾT_QUẢ_XÉT_NGHIỆM"}
+TEXT_LABELS = ["BENH", "THUOC"]
 UNSCORED_LABELS = ["BENH_NHAN", "TAC_NHAN_NGOAI_SINH"]
 
 # --- fixed values: context cues
@@ -21,7 +24,6 @@ ROUTES = ["po", "iv", "im", "sc", "sq", "sl", "pr", "top", "inh", "ng", "pv", "i
 FREQUENCIES = ["daily", "bid", "tid", "qid", "qd", "qod", "qhs", "qam", "qpm", "prn", "once", "weekly", "monthly", "hs", "ac", "pc", "stat"]
 EVERY_HOURS = r"^q\d+h$"
 DRUG_KINDS = ["IN", "PIN", "MIN", "SCD", "SBD", "BN"]
-KINDS_TO_INGREDIENT = ["BN", "SBD", "SBDG", "SBDC", "SCD", "SCDG", "SCDC", "SCDF", "GPCK", "BPCK"]
 SUGGESTION_KINDS = ["SCD", "SBD", "GPCK", "BPCK", "BN", "PIN", "IN"]
 
 # --- fixed values: patterns (word characters by Unicode class)
@@ -31,6 +33,11 @@ HEADING = r"(?m)^([^\n:]{2,40}):"
 LIST_MARKER = r"^[\s>]*(?:(?:\d+|[a-zA-Z])[.)]\s*|[-–—•*+]\s*)+"
 CAPS_SECTION = r"(?:^|[,.])\s*([A-Z][A-Z0-9 /&'\-]{2,40}):\s*,?\s*"
 SENTENCE_ENDS = [".", ";", "!", "?", ":", "…"]
+HEADING_LINE = r"(?m)^[^\n]{3,40}:\s*$"
+BOLD_MARK, HEADING_MARK = r"\*\*(?!\*)", r"(?m)^#{1,6}[ ]*"
+BEFORE_ITEM = r"\s*,\s*(?=\d+\.\s)"
+BEFORE_SUBHEAD = r"[ \t]*[.,][ \t]*(?=(?:[A-Z]{2,}[A-Z /]*|[A-Z][a-z]+(?: [A-Za-z]+){0,3}):)"
+STOP_AND_COMMA = r"\.[ \t]*,[ \t]*"
 
 # --- fixed values: weights and cutoffs
 WEIGHTS = {"text": 0.3, "assertions": 0.3, "candidates": 0.4}
@@ -38,3 +45,5 @@ DRUG_CUTOFF, DISEASE_CUTOFF = 55.0, 60.0
 DENSE_MARGIN, DENSE_MIN = 0.2, 0.2
 FUZZY_MARGIN, FUZZY_MIN = 0.15, 0.55
 MISMATCH_CUTOFF = 55.0
+LOOKUP_CUTOFF, DENSE_LOOKUP_CUTOFF = 90.0, 50.0
+MASK_RATE, FORM_RATE = 0.30, 0.20

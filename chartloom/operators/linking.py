@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartloom.functions import fixed
-from chartloom.functions.similarity import cosine, token_sort_ratio
+from chartloom.functions.similarity import cosine, indel_ratio, sorted_words
 from chartloom.functions.text import drug_string, lower_squashed, tokens
 
 
@@ -25,31 +28,65 @@ def token_candidates(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return m.join(n, "t").select("mention", "name_id").distinct()
 
 
-def exact_then_fuzzy(mentions: DataFrame, names: DataFrame, cutoff: float, k: int = 1, inclusive: bool = False, scorer=token_sort_ratio) -> DataFrame:
-    """(mention, code, score, rank): the exact names of a mention at 100, or else its k best token-sharing
-    names over the cutoff, one row a code, ties in table order. mentions: mention; names: name_id, name, code.
+def _marks(text: Column) -> Column:
+    """array<long>: a string's characters, each numbered among its equals, the likely rarer ones first."""
+    chars = F.when(F.length(text) > 0, F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1)))))).otherwise(F.array().cast("array<int>"))
+    numbered = lambda cs: F.transform(cs, lambda c, i: F.shiftleft((i + 2 - F.array_position(cs, c)).cast("long"), 21) + c)
+    return F.sort_array(F.get(F.transform(F.array(chars), numbered), F.lit(0)), False)
+
 
-    Each distinct mention is scored once, and only those without an exact name at all.
+def within_reach(want: DataFrame, table: DataFrame, cutoff: float) -> DataFrame:
+    """(mention, name_id): every pair whose Indel ratio can reach the mention's floor. want: mention, s, floor (`cutoff` or
+    more); table: name_id, t.
+
+    A ratio of r needs r / 200 of both lengths as common characters, counted with their number of times; so two
+    strings that reach it share one among the first few of their characters in any common order. The join is on
+    those characters alone, and how few they are depends on the floor.
     """
-    want = mentions.select("mention").distinct().withColumn("_q", lower_squashed(F.col("mention")))
-    table = names.withColumn("_q", lower_squashed(F.col("name")))
-    exact = want.join(table, "_q").select("mention", "code", "name_id", F.lit(100.0).alias("score"))
-    rest = want.join(exact, "mention", "left_anti")
-    pairs = token_candidates(rest, names).join(table.select("name_id", "code", F.col("_q").alias("_n")), "name_id").join(rest, "mention")
-    scored = pairs.select("mention", "code", "name_id", scorer("_q", "_n").alias("score"))
-    scored = scored.where(F.col("score") >= cutoff if inclusive else F.col("score") > cutoff)
-    best = exact.unionByName(scored).groupBy("mention", "code").agg(F.max_by(F.struct("score", "name_id"), F.struct("score", -F.col("name_id"))).alias("b"))
+    least = lambda n, floor: F.ceil(n * floor / (200.0 - floor) - 1e-9)  # noqa: E731  common characters with the shortest partner
+    m = want.select("mention", "s", "floor", F.length("s").alias("ls"), _marks(F.col("s")).alias("ms"))
+    n = table.select("name_id", "t", F.length("t").alias("lt"), _marks(F.col("t")).alias("mt"))
+    head = lambda marks, size, floor: F.slice(marks, 1, F.greatest(size - least(size, floor) + 1, F.lit(0)).cast("int"))
+    m = m.select("mention", "floor", "ls", "ms", F.posexplode(head(F.col("ms"), F.col("ls"), F.col("floor"))).alias("i", "mark"))
+    n = n.select("name_id", "lt", "mt", F.posexplode(head(F.col("mt"), F.col("lt"), F.lit(cutoff))).alias("j", "mark"))
+    need = F.ceil(F.col("floor") * (F.col("ls") + F.col("lt")) / 200.0 - 1e-9)
+    near = m.join(n, "mark").where((F.least("ls", "lt") >= need) & (F.col("i") <= F.col("ls") - need) & (F.col("j") <= F.col("lt") - need))
+    both = near.dropDuplicates(["mention", "name_id"])
+    return both.where(F.size(F.array_intersect("ms", "mt")) >= need).select("mention", "name_id")
+
+
+def _best_codes(scored: DataFrame, k: int) -> DataFrame:
+    """(mention, code, score, name_id, rank): one row a code, the k best, ties by name_id; the limit is taken
+    before rows meet by mention."""
+    best = scored.groupBy("mention", "code").agg(F.max_by(F.struct("score", "name_id"), F.struct("score", -F.col("name_id"))).alias("b"))
     w = Window.partitionBy("mention").orderBy(F.desc("b.score"), "b.name_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("mention", "code", F.col("b.score").alias("score"), "rank")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("mention", "code", F.col("b.score").alias("score"), F.col("b.name_id").alias("name_id"), "rank")
 
 
-def full_fuzzy(mentions: DataFrame, names: DataFrame, cutoff: float, k: int = 1) -> DataFrame:
-    """As exact_then_fuzzy, against every name: for stated query sets and tables whose names needn't share a token."""
-    want = mentions.select("mention").distinct()
-    scored = want.join(names, F.lit(True)).select("mention", "code", "name_id", token_sort_ratio(lower_squashed(F.col("mention")), lower_squashed(F.col("name"))).alias("score"))
-    best = scored.where(F.col("score") > cutoff).groupBy("mention", "code").agg(F.max_by(F.struct("score", "name_id"), F.struct("score", -F.col("name_id"))).alias("b"))
-    w = Window.partitionBy("mention").orderBy(F.desc("b.score"), "b.name_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("mention", "code", F.col("b.score").alias("score"), "rank")
+def exact_then_fuzzy(mentions: DataFrame, names: DataFrame, cutoff: float, k: int = 1, inclusive: bool = False) -> DataFrame:
+    """(mention, code, score, rank): the exact names of a mention at 100, or else its k best names over the
+    cutoff by sorted words, one row a code, ties in table order. mentions: mention; names: name_id, name, code.
+
+    Complete without scoring all names: those that share a word give each mention a floor, the score of its k-th
+    code so far, and only names that can reach it are scored besides. Null and empty mentions and names match nothing.
+    """
+    want = mentions.select("mention").distinct().withColumn("q", lower_squashed(F.col("mention"))).where("q <> ''")
+    table = names.select("name_id", "code", lower_squashed(F.col("name")).alias("q")).where("q <> ''")
+    exact = want.join(table, "q").select("mention", "code", "name_id", F.lit(100.0).alias("score"))
+    rest = want.join(exact, "mention", "left_anti").select("mention", "q", sorted_words(F.col("q")).alias("s"))
+    table = table.withColumn("t", sorted_words(F.col("q")))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(table.select("name_id", "code", "t"), "name_id").join(rest.select("mention", "s"), "mention")
+        out = both.select("mention", "code", "name_id", indel_ratio("s", "t").alias("score"))
+        return out.where(F.col("score") >= cutoff if inclusive else F.col("score") > cutoff)
+
+    alike = token_candidates(rest.select("mention"), names)
+    first = scored(alike)
+    floor = _best_codes(first, k).groupBy("mention").agg(F.count("*").alias("n"), F.min("score").alias("low")).where(F.col("n") == k)
+    floors = rest.join(floor, "mention", "left").select("mention", "s", F.coalesce("low", F.lit(cutoff)).alias("floor"))
+    more = within_reach(floors, table, cutoff).join(alike, ["mention", "name_id"], "left_anti")
+    return _best_codes(exact.unionByName(first).unionByName(scored(more)), k).drop("name_id")
 
 
 def to_ingredients(linked: DataFrame, relations: DataFrame) -> DataFrame:
@@ -68,6 +105,7 @@ def brand_ingredients(rel: DataFrame) -> DataFrame:
 
 
 def drugs(mentions: DataFrame, names: DataFrame, relations: DataFrame, k: int = 1) -> DataFrame:
+    """(mention, code, score, rank): drug strings without dose words looked up by name, codes as ingredients."""
     plain = mentions.select("mention").distinct().withColumn("_d", drug_string(F.col("mention"))).where("_d <> ''")
     found = exact_then_fuzzy(plain.select(F.col("_d").alias("mention")), names, fixed.DRUG_CUTOFF, k)
     return to_ingredients(plain.join(found.withColumnRenamed("mention", "_d"), "_d").drop("_d"), relations)
@@ -82,12 +120,25 @@ def by_margin(scored: DataFrame, margin: float, least: float, key: str = "mentio
     return two.withColumn("_alone", alone).where("_n = 1 OR NOT _alone").drop("_next", "_top", "_alone").withColumnRenamed("_n", "rank")
 
 
+#: Vectors of queries sent to every task at a time.
+QUERY_BLOCK = 10_000
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id", vec: str = "embedding") -> DataFrame:
-    """(q, id, score): the k items of highest cosine of each of a stated set of queries; ties by id."""
+    """(q, id, score, rank): the k items of highest cosine of each of a stated set of queries; ties by id.
+
+    Queries go to the items in blocks of a bounded size; a task keeps its k best a query before rows move.
+    """
     q = queries.select(F.col(id_col).alias("q"), F.col(vec).alias("_q"))
-    all_ = items.select(F.col(id_col).alias("id"), F.col(vec).alias("_v")).join(F.broadcast(q), F.lit(True))
+    blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return all_.select("q", "id", cosine(F.col("_q"), F.col("_v")).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def block(i: int) -> DataFrame:
+        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
+        pairs = items.select(F.col(id_col).alias("id"), F.col(vec).alias("_v")).join(F.broadcast(some), F.lit(True))
+        return pairs.select("q", "id", cosine(F.col("_q"), F.col("_v")).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, map(block, range(blocks)))
 
 
 def merged(first: DataFrame, second: DataFrame, key: str = "mention") -> DataFrame:

@@ -60,16 +60,60 @@ def corpus(scores: DataFrame) -> DataFrame:
 
 
 def by_type(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Gold, predicted, matched counts with precision and recall by type, the scored types first."""
-    pairs = greedy_pairs(gold, pred, key)
-    t = gold.select(key, F.col("idx").alias("g"), "type").join(pairs, [key, "g"]).groupBy("type").agg(F.count("*").alias("n_matched"))
+    """(type, n_gold, n_pred, n_matched, n_missed, n_spurious, precision, recall, text, assertions, candidates), the
+    scored types first; the last three are means over matched pairs, assertions only for types that carry them.
+
+    gold and pred without assertions or candidates are read as without any.
+    """
+    none = F.array().cast("array<string>")
+    full = lambda d: d.select(key, "idx", "type", "text", *[F.coalesce(F.col(x), none).alias(x) if x in d.columns else none.alias(x) for x in ("assertions", "candidates")])
+    side = lambda d, n: full(d).select(key, F.col("idx").alias(n), *[F.col(x).alias(f"{n}_{x}") for x in ("type", "text", "assertions", "candidates")])
+    both = greedy_pairs(gold, pred, key).join(side(gold, "g"), [key, "g"]).join(side(pred, "p"), [key, "p"])
+    words = both.withColumns({"_gw": _words(F.col("g_text"), False, False), "_pw": _words(F.col("p_text"), False, False)})
+    m = words.groupBy(F.col("g_type").alias("type")).agg(
+        F.count("*").alias("n_matched"), F.avg(1.0 - word_error_rate("_gw", "_pw")).alias("text"),
+        F.avg(F.when(F.col("g_type").isin(fixed.ASSERTION_TYPES), set_jaccard(F.col("g_assertions"), F.col("p_assertions")))).alias("assertions"),
+        F.avg(set_jaccard(F.col("g_candidates"), F.col("p_candidates"))).alias("candidates"),
+    )
     g, p = (d.groupBy("type").agg(F.count("*").alias(n)) for d, n in ((gold, "n_gold"), (pred, "n_pred")))
-    out = g.join(p, "type", "full").join(t, "type", "left").fillna(0)
-    out = out.withColumns({"precision": F.try_divide("n_matched", "n_pred"), "recall": F.try_divide("n_matched", "n_gold")})
+    counts = ["n_gold", "n_pred", "n_matched"]
+    out = g.join(p, "type", "full").join(m, "type", "left").fillna(0, counts)
+    out = out.withColumns({"n_missed": F.col("n_gold") - F.col("n_matched"), "n_spurious": F.col("n_pred") - F.col("n_matched"), "precision": F.try_divide("n_matched", "n_pred"), "recall": F.try_divide("n_matched", "n_gold")})
     place = F.array_position(F.array(*map(F.lit, fixed.OUTPUT_TYPES)), F.col("type"))
     return out.orderBy(F.when(place == 0, 99).otherwise(place), "type")
 
 
+def unofficial(spans: DataFrame) -> DataFrame:
+    """(type, n) of the types that aren't scored, null included, the most frequent first."""
+    return spans.where(~F.coalesce(F.col("type").isin(fixed.OUTPUT_TYPES), F.lit(False))).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+
+
+def worst(scores: DataFrame, n: int, score: str = "final", key: str = "doc_id") -> DataFrame:
+    """The n rows of lowest score, ties by key; nulls first."""
+    return scores.orderBy(score, key).limit(n)
+
+
+def best_cutoff(swept: DataFrame) -> DataFrame:
+    """(cutoff, k, jaccard): the row of highest mean; of equal ones the first by cutoff, then by k."""
+    return swept.orderBy(F.desc("jaccard"), "cutoff", "k").limit(1)
+
+
+def ceiling(ranked: DataFrame, gold: DataFrame, depth: int = 10, key: str = "mention") -> DataFrame:
+    """(ceiling, found, n): the mean Jaccard if of a mention's `depth` best codes the right ones were always chosen, how many mentions with
+    codes have one among them, and how many there are. ranked: mention, code, rank; gold: mention, codes."""
+    top = ranked.where(F.col("rank") <= depth).groupBy(key).agg(F.collect_set("code").alias("_top"))
+    both = gold.join(top, key, "left").withColumn("_hit", F.array_intersect("codes", F.coalesce("_top", F.array().cast("array<string>"))))
+    return both.agg(F.avg(set_jaccard(F.col("codes"), F.col("_hit"))).alias("ceiling"), F.count_if(F.size("_hit") > 0).alias("found"), F.count_if(F.size("codes") > 0).alias("n"))
+
+
+def rank_histogram(ranked: DataFrame, gold: DataFrame, depth: int = 10, key: str = "mention") -> DataFrame:
+    """(rank, n): at which rank a mention's first right code stands, null for none among the `depth` best; mentions without
+    codes don't count."""
+    each = gold.where(F.size("codes") > 0).select(key, "codes")
+    hit = each.join(ranked.where(F.col("rank") <= depth), key, "left").groupBy(key).agg(F.min(F.when(F.array_contains("codes", F.col("code")), F.col("rank"))).alias("rank"))
+    return hit.groupBy("rank").agg(F.count("*").alias("n"))
+
+
 def bad_offsets(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans whose slice of the raw text isn't their text, both in NFC."""
     return spans.join(docs.select(key, F.col("text").alias("_raw")), key).where(nfc(F.expr("substring(_raw, start + 1, end - start)")) != nfc(F.col("text"))).drop("_raw")

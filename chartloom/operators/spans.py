@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from chartloom.functions import fixed
+
+
+#: Characters of a position bucket: spans meet in the buckets they touch, so a long text is many small groups.
+BUCKET = 256
+
+
+def _overlapping(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """left and right (columns of different names but for key) where their intervals overlap: an equi-join on key and
+    position bucket, each pair in the bucket where the later of the two begins."""
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BUCKET), F.floor((F.col(hi) - 1) / BUCKET)))
+    x = left.where(F.col(a[0]) < F.col(a[1])).withColumn("_cell", cells(*a))
+    y = right.where(F.col(b[0]) < F.col(b[1])).withColumn("_cell", cells(*b))
+    meets = (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])) & (F.col("_cell") == F.floor(F.greatest(a[0], b[0]) / BUCKET))
+    return x.join(y, [key, "_cell"]).where(meets).drop("_cell")
+
 
 def owners(words: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each word with the span (idx) that covers most of it, the lowest idx of equals; null without overlap.
 
-    words: key, pos, start, end; spans: key, idx, start, end and more. The document is the join key, the
-    interval test its residual; the best span of a word is an aggregate, so no word is sorted.
+    words: key, pos, start, end; spans: key, idx, start, end and more. The best span of a word is an aggregate, so
+    no word is sorted. Null keys and empty intervals own and are owned by nothing.
     """
-    s = spans.select(F.col(key).alias("_k"), F.col("idx"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = words.join(s, (F.col(key) == F.col("_k")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")))
+    s = spans.select(F.col(key), F.col("idx").alias("_i"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    hit = _overlapping(words.select(key, "pos", "start", "end"), s, key, ("start", "end"), ("_s", "_e"))
     size = F.least("end", "_e") - F.greatest("start", "_s")
-    best = hit.groupBy(key, "pos").agg(F.max_by("idx", F.struct(size, -F.col("idx"))).alias("owner"), F.max(size).alias("overlap"))
+    best = hit.groupBy(key, "pos").agg(F.max_by("_i", F.struct(size, -F.col("_i"))).alias("owner"), F.max(size).alias("overlap"))
     return words.join(best, [key, "pos"], "left")
 
 
@@ -43,6 +61,34 @@ def islands(words: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("po
     return k.groupBy(key, "island").agg(F.first("kind").alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words")).drop("island")
 
 
+def concept_lines(rows: DataFrame, key: str = "file", kept: list[str] | None = None) -> DataFrame:
+    """(key, text, kind, first, last): the words of each BIO group, joined by blanks, with its first and last line number.
+
+    rows: key, line, word, label, a null word for a blank line. Labels of kinds not in `kept` are read as O.
+    """
+    w = Window.partitionBy(key).orderBy("line")
+    kind = F.when(F.col("word").isNotNull() & F.substring("label", 1, 2).isin("B-", "I-") & (F.length("label") > 2), F.expr("substring(label, 3)"))
+    kind = kind if kept is None else F.when(kind.isin(kept), kind)
+    k = rows.withColumn("_kind", kind)
+    opens = F.col("_kind").isNotNull() & ~(F.col("label").startswith("I-") & F.lag("_kind").over(w).eqNullSafe(F.col("_kind")))
+    k = k.withColumn("_group", F.sum(opens.cast("int")).over(w)).where(F.col("_kind").isNotNull())
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "word"))), lambda x: x["word"]), " ")
+    return k.groupBy(key, "_group").agg(words.alias("text"), F.first("_kind").alias("kind"), F.min("line").alias("first"), F.max("line").alias("last")).drop("_group")
+
+
+def blocks(words: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """words (key, pos, word, label) with block: runs of at most `most` words, cut after the last sentence end in a run's last
+    quarter where there is one; words without a character are left out, and so are the I- words a block begins with."""
+    from chartloom.operators.words import packed
+
+    ends = F.substring("word", -1, 1).isin(fixed.SENTENCE_ENDS)
+    listed = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(ends, F.lit(False)).alias("e")))).alias("w"))
+    cut = listed.select(key, "w", F.posexplode(packed(F.transform("w", lambda x: F.lit(1)), F.transform("w", lambda x: x["e"]), most)).alias("block", "c"))
+    rows = cut.select(key, "block", F.explode(F.slice("w", F.col("c.lo") + 1, F.col("c.hi") - F.col("c.lo"))).alias("x")).select(key, "block", "x.pos").join(words, [key, "pos"])
+    begins = F.min(F.when(~F.col("label").startswith("I-"), F.col("pos"))).over(Window.partitionBy(key, "block"))
+    return rows.withColumn("_from", begins).where("pos >= _from AND trim(word) <> ''").drop("_from")
+
+
 def runs(df: DataFrame, key: str, value: str, order: tuple[str, ...]) -> DataFrame:
     """Maximal runs of an equal value in a key's order: key, run, value, n."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -50,22 +96,39 @@ def runs(df: DataFrame, key: str, value: str, order: tuple[str, ...]) -> DataFra
     return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).groupBy(key, "run").agg(F.first(value).alias(value), F.count("*").alias("n"))
 
 
+PAIRS = ArrayType(StructType([StructField(x, IntegerType()) for x in "ogp"]))
+
+
+@F.pandas_udf(PAIRS)
+def _taken(pairs: pd.Series) -> pd.Series:
+    """Of pairs in order those whose ends are both free; one pass with the sets of ends in use."""
+
+    def of(listed) -> list[dict]:
+        used_g, used_p, out = set(), set(), []
+        for x in listed:
+            if x["g"] not in used_g and x["p"] not in used_p:
+                used_g.add(x["g"])
+                used_p.add(x["p"])
+                out.append(x)
+        return out
+
+    return pairs.map(of)
+
+
 def greedy_pairs(gold: DataFrame, pred: DataFrame, key: str = "doc_id", same_type: bool = True) -> DataFrame:
     """One-to-one pairs (key, g, p, overlap) taken by largest overlap, then lowest g, then lowest p.
 
-    gold and pred: key, idx, type, start, end. A document's overlapping pairs are few; they are folded over
-    in that total order with the ends already used.
+    gold and pred: key, idx, type, start, end. Only overlapping pairs meet; a document's are folded over in that
+    total order, in linear time. Null types pair with nothing where types count.
     """
-    g = gold.select(key, F.col("idx").alias("g"), F.col("type").alias("_gt"), F.col("start").alias("_gs"), F.col("end").alias("_ge"))
-    p = pred.select(key, F.col("idx").alias("p"), F.col("type").alias("_pt"), F.col("start").alias("_ps"), F.col("end").alias("_pe"))
-    pairs = g.join(p, key).where((F.col("_gs") < F.col("_pe")) & (F.col("_ps") < F.col("_ge")))
+    g = gold.select(key, F.col("idx").cast("int").alias("g"), F.col("type").alias("_gt"), F.col("start").alias("_gs"), F.col("end").alias("_ge"))
+    p = pred.select(key, F.col("idx").cast("int").alias("p"), F.col("type").alias("_pt"), F.col("start").alias("_ps"), F.col("end").alias("_pe"))
+    pairs = _overlapping(g, p, key, ("_gs", "_ge"), ("_ps", "_pe"))
     if same_type:
         pairs = pairs.where(F.col("_gt") == F.col("_pt"))
-    pairs = pairs.select(key, (F.least("_ge", "_pe") - F.greatest("_gs", "_ps")).alias("overlap"), "g", "p")
-    listed = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("o"), "g", "p"))).alias("c"))
-    kind = listed.schema["c"].dataType.simpleString()
-    taken = F.aggregate("c", F.array().cast(kind), lambda t, x: F.when(F.exists(t, lambda y: (y["g"] == x["g"]) | (y["p"] == x["p"])), t).otherwise(F.concat(t, F.array(x))))
-    return listed.select(key, F.explode(taken).alias("t")).select(key, "t.g", "t.p", (-F.col("t.o")).alias("overlap"))
+    pairs = pairs.select(key, (F.greatest("_gs", "_ps") - F.least("_ge", "_pe")).cast("int").alias("o"), "g", "p")
+    listed = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "g", "p"))).alias("c"))
+    return listed.select(key, F.explode(_taken("c")).alias("t")).select(key, "t.g", "t.p", (-F.col("t.o")).alias("overlap"))
 
 
 def unmatched(side: DataFrame, pairs: DataFrame, which: str, key: str = "doc_id") -> DataFrame:

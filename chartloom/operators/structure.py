@@ -13,7 +13,7 @@ from chartloom.operators.words import lines
 
 def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, at, heading): line starts of 2 to 40 characters up to a colon, and where the colon ends."""
-    found = lines(docs.select(key, "text")).withColumn("head", F.regexp_extract("line", r"^([^\n:]{2,40}):", 1)).where("head <> ''")
+    found = lines(docs.select(key, "text")).withColumn("head", F.regexp_extract("line", fixed.HEADING, 1)).where("head <> ''")
     return found.select(key, (F.col("start") + F.length("head") + 1).cast("int").alias("at"), F.col("head").alias("heading"))
 
 
@@ -43,9 +43,9 @@ def flags(heading: Column, line_prefix: Column, kind: Column | None = None) -> C
 def with_flags(docs: DataFrame, spans: DataFrame, key: str = "doc_id", gated: bool = True) -> DataFrame:
     """spans (key, start, end, type, ...) with assertions. Cues are matched on the text as given: NFC."""
     under = last_before(spans, headings(docs, key), key)
-    prefix = F.substring_index(F.expr("substring(text, 1, start)"), "\n", -1)
-    joined = under.join(docs.select(key, "text"), key)
-    return joined.withColumn("assertions", flags(F.col("heading"), prefix, F.col("type") if gated else None)).drop("text", "heading")
+    prefix = F.substring_index(F.expr("substring(_of_doc, 1, start)"), "\n", -1)
+    joined = under.join(docs.select(key, F.col("text").alias("_of_doc")), key)
+    return joined.withColumn("assertions", flags(F.col("heading"), prefix, F.col("type") if gated else None)).drop("_of_doc", "heading")
 
 
 def caps_sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -60,20 +60,41 @@ def caps_sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def relaid(body: Column) -> Column:
-    """A section's body with numbered items and sub-headings on lines of their own."""
-    out = F.regexp_replace(body, r"\s*,\s*(?=\d+\.\s)", "\n")
-    out = F.regexp_replace(out, r"[ \t]*[.,][ \t]*(?=(?:[A-Z]{2,}[A-Z /]*|[A-Z][a-z]+(?: [A-Za-z]+){0,3}):)", "\n")
-    out = F.regexp_replace(out, r"\.[ \t]*,[ \t]*", ". ")
-    return F.trim(F.regexp_replace(out, r"[ \t]{2,}", " "))
+    """A section's body with numbered items and sub-headings on lines of their own: cut into lines where an item or
+    a sub-heading begins, each line's sentences joined by a stop and a blank, each run of blanks one."""
+    cut = lambda parts, where: F.flatten(F.transform(parts, lambda x: F.split(x, where)))
+    rows = cut(cut(F.array(body), fixed.BEFORE_ITEM), fixed.BEFORE_SUBHEAD)
+    joined = F.array_join(F.transform(rows, lambda x: F.array_join(F.split(x, fixed.STOP_AND_COMMA), ". ")), "\n")
+    return F.trim(F.regexp_replace(joined, r"[ \t]{2,}", " "))
 
 
 def traits(docs: DataFrame) -> DataFrame:
     from chartloom.functions.text import nfc
 
-    return docs.withColumns({"masked": F.contains("text", F.lit("***")), "not_nfc": nfc("text") != F.col("text"), "headed": F.col("text").rlike(r"(?m)^[^\n]{3,40}:\s*$")})
+    return docs.withColumns({"masked": F.contains("text", F.lit("***")), "not_nfc": nfc("text") != F.col("text"), "headed": F.col("text").rlike(fixed.HEADING_LINE)})
+
+
+#: Steps of the order key within which rows are counted apart.
+STEPS = 1024
 
 
 def numbered(df: DataFrame, prefix: str, order: tuple[str, ...], width: int = 4) -> DataFrame:
-    """seq_id: the prefix column and a zero-padded count within it."""
+    """seq_id: the prefix column and a zero-padded count within it, by `order`, nulls first.
+
+    Where the first order column is a number, rows are counted in STEPS equal ranges of it and numbered within a range, so
+    one frequent prefix is many tasks; else a prefix is one task. A null prefix gives a number alone.
+    """
+    first = order[0]
+    if dict(df.dtypes)[first] in ("bigint", "int", "smallint", "tinyint", "double", "float"):
+        low, high = df.agg(F.min(first).cast("double"), F.max(first).cast("double")).first()
+        size = ((high or 0.0) - (low or 0.0)) / STEPS or 1.0
+        step = F.when(F.col(first).isNull(), -1).otherwise(F.least(F.floor((F.col(first).cast("double") - F.lit(low or 0.0)) / size), F.lit(STEPS - 1))).cast("int")
+        rows = df.withColumn("_step", step)
+        counts = rows.groupBy(prefix, "_step").agg(F.count("*").alias("_c"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(prefix).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = counts.select(F.col(prefix).alias("_p"), F.col("_step").alias("_s"), before.alias("_before"))
+        rows = rows.join(offsets, F.col(prefix).eqNullSafe(F.col("_p")) & (F.col("_step") == F.col("_s")))
+        n = F.col("_before") + F.row_number().over(Window.partitionBy(prefix, "_step").orderBy(*order))
+        return rows.withColumn("seq_id", F.concat_ws("_", F.col(prefix), F.lpad(n.cast("string"), width, "0"))).select(*df.columns, "seq_id")
     n = F.row_number().over(Window.partitionBy(prefix).orderBy(*order))
     return df.withColumn("seq_id", F.concat_ws("_", F.col(prefix), F.lpad(n.cast("string"), width, "0")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,34 +27,78 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*rest, F.explode(text_lines(F.col(text))).alias("l")).select(*rest, "l.line_no", "l.line", "l.start")
 
 
-def aligned(text: str, tokens: list[str]) -> list[tuple[str, int, int]]:
+def aligned(text: str | None, tokens: list[str] | None) -> list[tuple[str, int, int]]:
     """Tokens of a foreign segmenter placed in the text by matching their atoms, in NFC, in order.
 
-    A token none of whose first atom follows is dropped; one that matches in part keeps that part.
+    A token none of whose first atom follows is dropped; one that matches in part keeps that part. Null or empty texts
+    and token lists give nothing; null tokens are dropped.
     """
     import regex
 
-    atom = regex.compile(fixed.ATOM)
-    form = lambda s: unicodedata.normalize("NFC", s)
-    here = [(form(m[0]), m.start(), m.end()) for m in atom.finditer(text)]
-    out, at = [], 0
-    for token in tokens:
-        want = [form(m[0]) for m in atom.finditer(token)]
-        first = next((i for i in range(at, len(here)) if want and here[i][0] == want[0]), None)
-        if first is None:
-            continue
-        n = 1
-        while n < len(want) and first + n < len(here) and here[first + n][0] == want[n]:
-            n += 1
-        start, end = here[first][1], here[first + n - 1][2]
-        out.append((text[start:end], start, end))
-        at = first + n
+    def atoms_of(s: str) -> list[tuple[str, int, int]]:
+        return [(unicodedata.normalize("NFC", m[0]), *m.span()) for m in regex.finditer(fixed.ATOM, s)]
+
+    here = atoms_of(text or "")
+    forms = [form for form, _, _ in here]
+    places: dict[str, list[int]] = {}
+    for i, form in enumerate(forms):
+        places.setdefault(form, []).append(i)
+    out, free = [], 0
+    for want in ([form for form, _, _ in atoms_of(t or "")] for t in tokens or []):
+        starts = places.get(want[0], []) if want else []
+        k = bisect_left(starts, free)
+        if k < len(starts):
+            first = starts[k]
+            free = first + len(os.path.commonprefix([want, forms[first : first + len(want)]]))
+            start, end = here[first][1], here[free - 1][2]
+            out.append((text[start:end], start, end))
     return out
 
 
 @F.pandas_udf(PIECES)
 def align(text: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([[{"surface": s, "start": a, "end": b} for s, a, b in aligned(t, list(k))] for t, k in zip(text, tokens)])
+    return pd.Series([[{"surface": s, "start": a, "end": b} for s, a, b in aligned(t, None if k is None else list(k))] for t, k in zip(text, tokens)])
+
+
+def segmented(docs: DataFrame, segment: Callable[[str], list[str]] | None = None, text: str = "text") -> DataFrame:
+    """A row for each word: the other columns, pos, surface, start, end. Lines that aren't blank are segmented one by one by
+    `segment`, any function from a line to its tokens, which are then placed in the text; without one, words are atoms."""
+    if segment is None:
+        return atoms(docs, text)
+    rest = [x for x in docs.columns if x != text]
+
+    @F.pandas_udf(PIECES)
+    def run(texts: pd.Series) -> pd.Series:
+        def of(t: str) -> list[dict]:
+            out, at = [], 0
+            for line in t.split("\n"):
+                if line.strip():
+                    out += [{"surface": s, "start": at + a, "end": at + b} for s, a, b in aligned(line, segment(line))]
+                at += len(line) + 1
+            return out
+
+        return texts.map(of, na_action="ignore")
+
+    return docs.select(*rest, F.posexplode(run(F.col(text))).alias("pos", "a")).select(*rest, "pos", "a.surface", "a.start", "a.end")
+
+
+def subwords(words: DataFrame, pieces: Callable[[str], list[str]], key: str = "doc_id") -> DataFrame:
+    """words (key, pos, word, label) as sub-words: key, pos, sub, piece, label, first. The first piece of a word has its label,
+    the others its I- form; `pieces` is any function from a word to its pieces, of which none gives the word itself."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: pieces(w) or [w], na_action="ignore")
+
+    rows = words.select(key, "pos", "label", F.posexplode(run(F.col("word"))).alias("sub", "piece"))
+    inner = F.when(F.col("label").startswith("B-"), F.concat(F.lit("I-"), F.expr("substring(label, 3)"))).otherwise(F.col("label"))
+    return rows.select(key, "pos", "sub", "piece", F.when(F.col("sub") == 0, F.col("label")).otherwise(inner).alias("label"), (F.col("sub") == 0).alias("first"))
+
+
+def from_subwords(tagged: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """words with the label that a tagger gave their first piece; O where it gave none (a text that was cut off)."""
+    first = tagged.where("first").select(key, "pos", F.col("label").alias("_l"))
+    return words.drop("label").join(first, [key, "pos"], "left").withColumn("label", F.coalesce("_l", F.lit("O"))).drop("_l")
 
 
 def packed(sizes: Column, ends: Column, budget: int) -> Column:

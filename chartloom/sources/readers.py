@@ -5,12 +5,12 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartloom.functions import fixed
-from chartloom.functions.text import nfc, numeric_order
+from chartloom.functions.text import nfc, numeric_order, tokens
 
 SPAN = "text STRING, type STRING, candidates ARRAY<STRING>, assertions ARRAY<STRING>, position ARRAY<INT>"
 
@@ -39,7 +39,7 @@ def annotations(spark: SparkSession, folder: str) -> DataFrame:
     rows = raw.select(_stem().alias("doc_id"), *raw.columns, F.monotonically_increasing_id().alias("_at")).where("text IS NOT NULL OR type IS NOT NULL")
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("_at")) - 1
     each = lambda x: F.coalesce(F.col(x), F.array().cast("array<string>"))
-    return rows.select("doc_id", idx.alias("idx"), nfc(F.coalesce("text", F.lit(""))).alias("text"), nfc(F.trim(F.coalesce("type", F.lit("")))).alias("type"), F.transform(each("candidates"), F.trim).alias("candidates"), each("assertions").alias("assertions"), F.get("position", F.lit(0)).alias("start"), F.get("position", F.lit(1)).alias("end"))
+    return rows.select("doc_id", idx.alias("idx"), nfc(F.coalesce("text", F.lit(""))).alias("text"), nfc(F.trim(F.coalesce("type", F.lit("")))).alias("type"), F.transform(each("candidates"), lambda c: F.trim(c)).alias("candidates"), each("assertions").alias("assertions"), F.get("position", F.lit(0)).alias("start"), F.get("position", F.lit(1)).alias("end"))
 
 
 def with_annotations(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,6 +111,71 @@ def drug_table(spark: SparkSession, path: str) -> DataFrame:
     return preferred(use.drop("lat"), "name", "tty", ["IN", "PIN", "MIN", "SCD", "SBD", "BN"]).withColumn("name_id", F.xxhash64("name"))
 
 
+def names_and_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """(code, names, kinds): every name and term type of each code of a drug terminology, unfiltered, as sorted sets."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = raw.select(F.trim("rxcui").alias("code"), F.trim("str").alias("name"), F.trim("tty").alias("kind")).where("code <> ''")
+    names = F.array_sort(F.collect_set(F.when(F.col("name") != "", F.col("name"))))
+    return rows.groupBy("code").agg(names.alias("names"), F.array_sort(F.collect_set(F.when(F.col("kind") != "", F.col("kind")))).alias("kinds"))
+
+
+def drug_aliases(spark: SparkSession, path: str, ingredients: DataFrame | None = None, stop: list[str] = (), most_words: int = 5) -> DataFrame:
+    """(code, alias, codes): names as records write them. Ingredients and brands that aren't suppressed, 4 to 40 characters, at
+    most `most_words` words, not in `stop`; names of over 4 characters all in capitals in title case; of equal names, whatever
+    the case, the first row; codes are the brand's ingredients (code, ingredient) or the code itself."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("_at", F.monotonically_increasing_id())
+    text = lambda x: F.trim(F.coalesce(F.col(x), F.lit("")))
+    rows = raw.where(text("tty").isin("IN", "BN") & text("suppress").isin("", "N")).select(text("rxcui").alias("code"), text("str").alias("alias"), "_at")
+    capitals = (F.length("alias") > 4) & (F.upper("alias") == F.col("alias")) & (F.lower("alias") != F.col("alias"))
+    rows = rows.withColumn("alias", F.when(capitals, title_case(F.col("alias"))).otherwise(F.col("alias")))
+    ok = (F.col("code") != "") & F.length("alias").between(4, 40) & (F.size(tokens(F.col("alias"))) <= most_words) & ~F.lower("alias").isin(list(stop))
+    first = rows.where(ok).groupBy(F.lower("alias").alias("_k")).agg(F.min_by(F.struct("code", "alias"), "_at").alias("f")).select("f.code", "f.alias")
+    if ingredients is None:
+        return first.withColumn("codes", F.array("code"))
+    own = ingredients.groupBy("code").agg(F.array_sort(F.collect_set("ingredient")).alias("codes"))
+    return first.join(own, "code", "left").withColumn("codes", F.coalesce("codes", F.array("code")))
+
+
+def title_case(text: Column) -> Column:
+    """The first letter of each run of letters in upper case, the others in lower case."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
+def common(names: DataFrame, frequencies: DataFrame, name: str = "alias") -> DataFrame:
+    """names that a table of frequent names (name) has, in any case."""
+    return names.join(frequencies.select(F.lower("name").alias("_k")).distinct(), F.lower(F.col(name)) == F.col("_k"), "left_semi")
+
+
+def inline(spark: SparkSession, text: str | None = None, path: str | None = None) -> DataFrame:
+    """(doc_id, text) of a text given as such, else of a file."""
+    if text is not None:
+        return spark.createDataFrame([("input", text)], "doc_id string, text string")
+    return spark.read.text(path, wholetext=True).select(_stem().alias("doc_id"), F.col("value").alias("text"))
+
+
+def gold_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The spans of all annotation files whose type takes codes."""
+    return annotations(spark, folder).where(F.col("type").isin(fixed.CODEABLE_TYPES))
+
+
+def without_partner(labels: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key) of labelled documents, once each, that have no text."""
+    return labels.select(key).distinct().join(docs.select(key), key, "left_anti")
+
+
+def labelled_split(rows: DataFrame, held: float = 0.1, seed: int = 42, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) rows by a hash of key and seed; a key is on one side as a whole."""
+    dice = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    return rows.where(dice >= held), rows.where(dice < held)
+
+
+def new_id(old: Column) -> Column:
+    """cmp0007 as synthetic_0007: a stem's digits, four at least, under a new name; other stems stay."""
+    digits = F.regexp_extract(old, r"^cmp(\d+)$", 1)
+    return F.when(digits != "", F.concat(F.lit("synthetic_"), F.lpad(digits, 4, "0"))).otherwise(old)
+
+
 def relations(spark: SparkSession, path: str) -> DataFrame:
     """The used fields of a pipe-separated relation file."""
     f = F.split("value", r"\|")

@@ -20,6 +20,16 @@ def write_spans(spans: DataFrame, path: str, docs: DataFrame | None = None) -> N
     span_arrays(spans, docs).write.mode("overwrite").json(path)
 
 
+def write_span_files(spans: DataFrame, path: str, docs: DataFrame | None = None) -> None:
+    """A folder for each document (doc_id=...) with its array as one line of text; what an earlier run left goes."""
+    span_arrays(spans, docs).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A JSON object for each row; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
 def write_bio(words: DataFrame, path: str) -> None:
     """words: doc_id, block, pos, word, label. A blank line ends a block; unknown labels and words with line
     ends are errors."""
