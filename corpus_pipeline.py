@@ -27,10 +27,11 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of two lines and 40 bytes go from the texts but for their first copy; n_chars follows the text.
     No row goes; rows equal in id and text count as one and keep the same lines."""
     importable(spark)
-    out = linededup.dedup_line_chunks(docs, windows=True)
+    own = {x: f"_own_{x}" for x in ("n_lines", "n_removed_lines") if x in docs.columns}  # results of these names are not asked for
+    out = linededup.dedup_line_chunks(docs.withColumnsRenamed(own), windows=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop("n_lines", "n_removed_lines").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
