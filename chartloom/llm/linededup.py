@@ -94,8 +94,8 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with the text without repeated chunks (with `windows`, repeated passages), n_lines and n_removed_lines."""
     columns = [x for x in docs.columns if x not in ("n_lines", "n_removed_lines")]
     text = F.col("_cl_t")
-    # the input's columns travel in a struct, so no name of theirs meets one of these
-    keyed = docs.select(F.struct(*columns).alias("_cl_row"), F.col(text_col).alias("_cl_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_cl_id"), F.xxhash64(text_col).alias("_cl_text"))
+    # the input's other columns travel in a struct, so no name of theirs meets one of these
+    keyed = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(x).alias(f"_{x}") for x in columns if x != text_col]).alias("_cl_row"), F.col(text_col).alias("_cl_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_cl_id"), F.xxhash64(text_col).alias("_cl_text"))
     slim = keyed.where(text.isNotNull()).select(*KEY, F.explode(_chunks(F.split(text, "\n"), divisor, min_bytes, windows)).alias("c"))
     slim = c.stored(slim.select(*KEY, "c.*"), "line-chunks")
 
@@ -122,7 +122,7 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = F.when(F.col("_cl_gone").isNull(), text).otherwise(rest)
     removed = F.when(F.col("_cl_gone").isNull(), 0).otherwise(F.size(gone_lines))
     n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("long")
-    own = lambda x: F.col("_cl_row")[x].alias(x)
+    own = lambda x: text.alias(x) if x == text_col else F.col("_cl_row")[f"_{x}"].alias(x)
     kept = held.where("_cl_w IS NULL").select(*map(own, columns), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"))
     cut = asked.join(gone, KEY, "left").select(*[left.alias(x) if x == text_col else own(x) for x in columns], n_lines.alias("n_lines"), removed.cast("long").alias("n_removed_lines"))
     return kept.unionByName(cut)
