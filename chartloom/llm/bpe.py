@@ -397,6 +397,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, ids: bool = False) -> D
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: a fixed few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.worker_of("bpe", _encoders.clear)
         encoder = _encoder(shipped.value)
         for batch in batches:
             for part, _, _ in c.chunks(batch):

@@ -6,12 +6,14 @@ temporaries stay bounded by the chunk size or by one text, whichever is larger.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +88,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- workers
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def worker_of(operator: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called where a task of an operator begins: what other operators' tasks kept in this worker goes. `forget` drops
+    what this one keeps between its tasks."""
+    others = [name for name in _kept if name != operator]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _kept[operator] = forget
+
+
 # ---------------------------------------------------------------- buffers
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

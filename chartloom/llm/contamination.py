@@ -183,6 +183,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, miss:
         shipped = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c.worker_of("contamination")
             index = Items(*shipped.value, threshold, miss)
             for batch in batches:
                 for part, buf, off in c.chunks(batch):
@@ -202,6 +203,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c.worker_of("contamination")
             index = Items(*shipped.value, threshold, miss)
             for batch in batches:
                 for part, buf, off in c.chunks(batch):

@@ -24,11 +24,15 @@ BUCKET_BYTES = 4 << 20
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The bytes of an array by significance: sorted hashes and small counts then compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    """An array as bytes, by significance and then compressed: of sorted hashes and small numbers little is left."""
+    if not x.size:
+        return b""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unplanes(raw: bytes, dtype, columns: int = 1) -> np.ndarray:
+def unplanes(packed: bytes, dtype, columns: int = 1) -> np.ndarray:
+    raw = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True) if packed else b""
     width = np.dtype(dtype).itemsize * columns
     out = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype)
     return out.reshape(-1, columns) if columns > 1 else out.reshape(-1)

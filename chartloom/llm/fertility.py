@@ -164,6 +164,7 @@ def measures(docs: DataFrame, piece_model: bytes, ranks: bytes) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((piece_model, ranks))  # two files of under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.worker_of("fertility", _own.clear)
         if not _own:
             _own.append(Vocabularies(*shipped.value))
         for batch in batches:

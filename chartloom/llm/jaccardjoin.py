@@ -143,6 +143,7 @@ def records(docs: DataFrame, sample: Sample) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(sample)  # at most SAMPLE sets of SAMPLE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.worker_of("jaccardjoin")
         for batch in batches:
             for part, buf, off in c.chunks(batch):
                 who, h = sets_of(buf, off)

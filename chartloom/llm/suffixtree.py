@@ -3,7 +3,7 @@
 States are contexts of preceding words, of no word, one, two and so on to `depth`. A context is a candidate if it
 occurs `min_count` times in training texts and the context without its first word is retained; it is retained if
 the gain in log likelihood of its next-word distribution over its parent's passes `gain` nats for each
-distribution entry and `divergence` nats an occurrence. A state's entries are next words seen at least twice
+distribution entry and `divergence` nats an occurrence, the parent's probabilities taken with eight binary digits. A state's entries are next words seen at least twice
 after it, less `discount` each; what that leaves goes to the parent's distribution, down to the root's
 additively smoothed word frequencies, in which all unknown words are one symbol. Each distribution sums to
 one. A text's score uses, word by word and for its end, the longest retained suffix of what precedes.
@@ -13,9 +13,10 @@ context. A block sends its entries grouped by context, each context to one bucke
 context's entries also tests it. A context that occurs over `hot` times (a frequent word) is dealt to as many
 parts as keep a part at `hot`, by next word; parts' sums meet in an aggregation and go back by joins. A block keeps, for
 each length, only which entry each position has, beside the answers; so a round reads tables that lie by block and
-sorts its own length alone. Growth ends at `depth`, or before where no context can be retained.
-Nothing is sampled or capped, counts have 64 bits, and the tables grow with the corpus. Words and contexts are told
-apart by 64-bit hashes.
+sorts its own length alone. Growth ends at `depth`, and before where no context can be retained: one wins at most what its entries cost below, the sum of
+count * log(1 / probability), and needs 2 * `gain`.
+Nothing is sampled or capped, counts have 64 bits, and the tables grow with the corpus. Words are told apart by
+64-bit hashes and have a number from then on; contexts are told apart by 64-bit hashes.
 
 Edge cases: null and empty texts are a single end token; null ids are training rows; repeated rows are
 counted and scored each; if no row is for training, N and V are 0, no word is known and every token has
@@ -39,12 +40,13 @@ from chartloom.llm import exchange as x
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x1B873593CC9E2D51)
 SALT = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = "block long, ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary, counts binary, n_tokens long"
-#: A block's message to a bucket, with bucket -1 what the block keeps itself.
+COUNTED = "block long, ids array<long>, held array<boolean>, sizes binary, tokens binary, numbers binary, counts binary"
+#: A block's message to a bucket; under a bucket below 0 what the block keeps itself, which goes along.
 GROUPS = "bucket int, block long, contexts binary, sizes binary, seen binary, of_hot binary, words binary, counts binary, below binary, own binary, hot array<long>"
-ANSWERS = "block long, bucket int, n binary, rest binary, hot array<struct<context:long,entries:double,occurrences:double,mass:double,won:double,seen:double>>"
+ANSWERS = "block long, bucket int, n binary, rest binary, own binary, asked array<long>, hot array<struct<context:long,entries:double,occurrences:double,mass:double,won:double,seen:double>>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ALPHA = 0.1
-BLOCK_BYTES = 5 << 19
+BLOCK_BYTES = 3 << 19
 
 
 def _names(text: str) -> list[str]:
@@ -85,6 +87,22 @@ def token_blocks(docs: DataFrame, modulus: int) -> DataFrame:
     return c.stored_by(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "block", "token-blocks")
 
 
+def steps(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ascending numbers of each group as the first and what each adds to the one before."""
+    out = numbers.copy()
+    out[1:] -= numbers[:-1]
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[first] = numbers[first]
+    return out
+
+
+def summed(added: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The inverse of steps()."""
+    sizes = sizes[sizes > 0]
+    total, first = np.cumsum(added), np.cumsum(sizes) - sizes
+    return total - np.repeat(total[first] - added[first], sizes)
+
+
 class Settings:
     def __init__(self, min_count: int, gain: float, divergence: float, discount: float, hot: int, buckets: int):
         self.min_count, self.gain, self.divergence, self.discount, self.hot, self.buckets = min_count, gain, divergence, discount, hot, buckets
@@ -120,7 +138,7 @@ class Level:
     def salted_of(self, at: np.ndarray) -> np.ndarray:
         """The parts of hot contexts, by next word."""
         ctx = self.context[at]
-        part = self.words[self.token[at]] % self.parts[ctx].astype(np.uint64)
+        part = c.mix(self.words[self.token[at]]) % self.parts[ctx].astype(np.uint64)
         return c.mix(self.hashes[ctx] ^ (part + np.uint64(1)) * SALT)
 
     def find(self, often: np.ndarray) -> None:
@@ -148,7 +166,7 @@ class Level:
         return c.mix((self.hashes[self.ctx] ^ (self.words[self.token[self.example]] * SALT)) * SALT + np.uint64(1))
 
     def rests(self, rest: np.ndarray, hot: dict[int, float]) -> np.ndarray:
-        """What each context leaves to its parent; 0 where it isn't retained."""
+        """What each context leaves to its parent; 0 where it isn't retained, negative where no longer one can be."""
         out = np.zeros(len(self.hashes))
         out[self.group_ctx] = rest
         for i in self.hot.tolist():
@@ -156,37 +174,57 @@ class Level:
         return out
 
 
+def _word_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of a block's words and the begin mark in order, their order)"""
+    hashes = np.concatenate([x.unplanes(row["words"].as_py(), "<u8"), [BEGIN]])
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], order
+
+
+def word_request(row: dict, s: Settings) -> pa.RecordBatch:
+    keys, order = _word_keys(row)
+    return x.requests(row["block"].as_py(), keys, x.unplanes(row["counts"].as_py(), "<i8")[order], s.buckets)
+
+
+def counted(row: dict, s: Settings) -> pa.RecordBatch:
+    """A block with its words' numbers, which are the same in all blocks, and counts in place of their hashes."""
+    keys, order = _word_keys(row)
+    got = np.concatenate([x.unplanes(p, "<i8", 2) for p in row["words_got"].as_py()])
+    count, number = np.empty(len(keys), "<i8"), np.empty(len(keys), "<u8")
+    count[order], number[order] = got[:, 0], got[:, 1] * s.buckets + x.bucket_of(keys, s.buckets)
+    by = np.append(np.argsort(number[:-1], kind="stable"), len(number) - 1)  # the begin mark stays last
+    place = np.empty(len(by), "<i4")
+    place[by] = np.arange(len(by))
+    count, number, token = count[by], number[by], place[x.unplanes(row["tokens"].as_py(), "<i4")]
+    one = lambda v: pa.array([v], pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.array([row[f].as_py()], k) for f, k in (("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())))), one(row["sizes"].as_py()), one(x.planes(token)), one(x.planes(number)), one(x.planes(count))], names=_names(COUNTED))
+
+
 class Block:
     def __init__(self, row: dict, s: Settings):
         self.s, self.block, self.row = s, row["block"].as_py(), row
-        self.words = x.unplanes(row["words"].as_py(), "<u8")
         self.token = x.unplanes(row["tokens"].as_py(), "<i4").astype(np.int64)
         self.sizes = np.frombuffer(row["sizes"].as_py(), "<i8")
         self.ids, self.held = row["ids"].values, np.array(row["held"].as_py(), bool)
-        self.hashes = np.concatenate([self.words, [BEGIN]])
-        self.order = np.argsort(self.hashes, kind="stable")
-
-    def word_request(self) -> pa.RecordBatch:
-        n = x.unplanes(self.row["counts"].as_py(), "<i8")
-        return x.requests(self.block, self.hashes[self.order], n[self.order], self.s.buckets)
+        self.words, self.count = x.unplanes(row["numbers"].as_py(), "<u8"), x.unplanes(row["counts"].as_py(), "<i8")
 
     def learn(self, depth: int) -> None:
         """The distributions below the contexts of `depth` words, and these contexts."""
         s, first = self.s, np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        count = np.empty(len(self.hashes), np.int64)
-        count[self.order] = x.gathered(self.row["words_got"], "<i8")
-        self.count = count
-        self.root = ((count[:-1] + ALPHA) / (s.total + ALPHA * (s.distinct + 1)))[self.token] if s.total else np.ones(len(self.token))
+        count, begin = self.count, len(self.words) - 1  # the last word is the begin mark
+        self.root = ((count + ALPHA) / (s.total + ALPHA * (s.distinct + 1)))[self.token] if s.total else np.ones(len(self.token))
         self.below = self.root
-        before = np.concatenate([[len(self.words)], self.token[:-1]])
-        before[first] = len(self.words)  # the begin mark
+        before = np.concatenate([[begin], self.token[:-1]])
+        before[first] = begin
         self.often = count[self.token] >= 2
-        self.level = Level(np.where(count[before] >= s.min_count, before, -1), self.hashes, count, self.token, self.words, s.hot)
+        self.level = Level(np.where(count[before] >= s.min_count, before, -1), c.mix(self.words ^ SALT), count, self.token, self.words, s.hot)
         for d in range(1, depth):
             level = self.level
             level.given(x.unplanes(self.row[f"own_{d}"].as_py(), "<i4").astype(np.int64) - 1)
             n = x.gathered(self.row[f"n_{d}"], "<i8")
             rest = level.rests(x.gathered(self.row[f"rest_{d}"], "<f8"), {h["context"]: h["rest"] for h in self.row[f"hot_{d}"].as_py() or []})
+            grows = (level.context >= 0) & (rest[level.context] > 0)
+            rest = np.abs(rest)
             on = (level.context >= 0) & (rest[level.context] > 0)
             ctx, has = level.context[on], level.of[on] >= 0
             k = np.zeros(len(ctx), np.int64)
@@ -197,7 +235,7 @@ class Block:
             # what ends at i - 1 and the words of i's context are the context of one word more before i
             longer = np.concatenate([[-1], level.of[:-1]])
             longer[first] = -1
-            some = np.flatnonzero((longer >= 0) & on)
+            some = np.flatnonzero((longer >= 0) & grows)
             some = some[n[longer[some]] >= s.min_count]
             after = np.full(len(longer), -1, np.int64)
             after[some] = longer[some]
@@ -210,7 +248,8 @@ class Block:
         level, train = self.level, ~np.repeat(self.held, self.sizes)
         level.find(self.often)
         counts = np.bincount(level.of[(level.of >= 0) & train], minlength=len(level.example)).astype("<u4")
-        below, words = self.below[level.example].astype("<f4"), self.words[self.token[level.example]]
+        below, words = self.below[level.example].astype("<f4"), steps(self.words[self.token[level.example]], level.sizes)
+        below = (below.view("<u4") & np.uint32(0xFFFF0000)).view("<f4")  # a test takes eight digits of a probability
         ctx = level.group_ctx
         hot = level.parts[ctx] > 1
         seen, of_hot = level.seen[ctx].astype("<i8"), np.where(hot, level.hashes[ctx], 0)
@@ -219,10 +258,11 @@ class Block:
         ends = np.concatenate([edges[1:], [len(b)]]) if len(b) else edges
         at = np.concatenate([[0], np.cumsum(level.sizes)])
         groups = lambda v: [x.planes(v[i:j]) for i, j in zip(edges, ends)]
+        keys = [x.planes(np.diff(level.salted[i:j], prepend=np.uint64(0))) for i, j in zip(edges, ends)]  # ascending
         entries = lambda v: [x.planes(v[at[i] : at[j]]) for i, j in zip(edges, ends)]
         none = [None] * len(edges)
         cols = [
-            [-1, *b[edges].tolist()], [self.block] * (len(edges) + 1), [None, *groups(level.salted)], [None, *groups(level.sizes.astype("<i4"))], [None, *groups(seen)], [None, *(x.planes(of_hot[i:j]) if hot[i:j].any() else None for i, j in zip(edges, ends))],
+            [-1 - self.block % self.s.buckets, *b[edges].tolist()], [self.block] * (len(edges) + 1), [None, *keys], [None, *groups(level.sizes.astype("<i4"))], [None, *groups(seen)], [None, *(x.planes(of_hot[i:j]) if hot[i:j].any() else None for i, j in zip(edges, ends))],
             [None, *entries(words)], [None, *entries(counts)], [None, *entries(below)], [x.planes((level.of + 1).astype("<i4")), *none], [level.hashes[level.hot].astype(np.int64).tolist(), *none],
         ]
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8, pa.list_(pa.int64())]
@@ -237,15 +277,21 @@ class Block:
         return pa.RecordBatch.from_arrays(cols, names=_names(SCORES))
 
 
-def _add_counts(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
+def _totals(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
     total = np.zeros(n, np.int64)
     np.add.at(total, group, vals)
-    return total[group]
+    return total
+
+
+def _numbered(group: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
+    """The count of each word, and its number in the bucket, frequent words first."""
+    total, number = _totals(group, n, vals), np.empty(n, np.int64)
+    number[np.argsort(-total, kind="stable")] = np.arange(n)
+    return np.stack([total[group], number[group]], axis=1).astype("<i8")
 
 
 def _tally(unique: np.ndarray, group: np.ndarray, vals: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(unique), np.int64)
-    np.add.at(total, group, vals)
+    total = _totals(group, len(unique), vals)
     total[unique == BEGIN] = 0
     return np.array([total.sum(), (total > 0).sum()], "<i8")
 
@@ -253,17 +299,23 @@ def _tally(unique: np.ndarray, group: np.ndarray, vals: np.ndarray) -> np.ndarra
 def _bucket(s: Settings):
     """Adds up the entries of a bucket's contexts and tests the contexts."""
 
+    hot_kind = pa.list_(pa.struct([("context", pa.int64()), *((f, pa.float64()) for f in ("entries", "occurrences", "mass", "won", "seen"))]))
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
+        bucket = table.column("bucket")
+        if bucket[0].as_py() < 0:
+            none = lambda kind: pa.nulls(table.num_rows, kind)
+            return pa.table({"block": table.column("block"), "bucket": bucket, "n": none(pa.binary()), "rest": none(pa.binary()), "own": table.column("own"), "asked": table.column("hot"), "hot": none(hot_kind)})
         column = lambda name: table.column(name).to_pylist()
         flat = lambda name, kind: [x.unplanes(v, kind) for v in column(name)]
-        keys, sizes, counts = flat("contexts", "<u8"), flat("sizes", "<i4"), flat("counts", "<u4")
+        keys, sizes, counts = [np.cumsum(k) for k in flat("contexts", "<u8")], flat("sizes", "<i4"), flat("counts", "<u4")
         of_hot = np.concatenate([np.zeros(len(k), np.uint64) if v is None else x.unplanes(v, "<u8") for v, k in zip(column("of_hot"), keys)])
         n_groups, n_entries = ([len(v) for v in parts] for parts in (keys, counts))
         contexts, context = np.unique(np.concatenate(keys), return_inverse=True)
         seen, hot = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.uint64)
         seen[context], hot[context] = np.concatenate(flat("seen", "<i8")), of_hot
-        words, word = np.unique(np.concatenate(flat("words", "<u8")), return_inverse=True)
+        words, word = np.unique(summed(np.concatenate(flat("words", "<u8")), np.concatenate(sizes)), return_inverse=True)
         entry, of = np.unique(np.repeat(context, np.concatenate(sizes)) * len(words) + word, return_inverse=True)
         n = np.zeros(len(entry), np.int64)
         np.add.at(n, of, np.concatenate(counts))
@@ -274,13 +326,17 @@ def _bucket(s: Settings):
         mass = (k - s.discount) / seen[to]
         sums = [np.bincount(to, weights=w, minlength=len(contexts)) for w in (np.ones(len(k)), k, mass, k * np.log(mass / below))]
         rest = np.where(hot == 0, s.retained(*sums, seen), 0.0)
+        # what longer contexts can win is at most what these entries cost here; if that isn't enough for one, growth ends
+        cost = np.bincount(to, weights=-k * np.log(mass + rest[to] * below), minlength=len(contexts))
+        rest = np.where(cost >= 1.98 * s.gain, rest, -rest)
         cut = lambda v, parts: [x.planes(v[b - a : b]) for a, b in zip(parts, np.cumsum(parts))]
         parts_of_hot = [dict(zip(("context", "entries", "occurrences", "mass", "won", "seen"), (int(hot[i].astype(np.int64)), *(float(v[i]) for v in sums), float(seen[i])))) for i in np.flatnonzero(hot)]
-        blocks, kind = [*column("block"), -1], pa.list_(pa.struct([("context", pa.int64()), *((f, pa.float64()) for f in ("entries", "occurrences", "mass", "won", "seen"))]))
+        blocks = [*column("block"), -1]
         return pa.table(
             {
-                "block": pa.array(blocks, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(blocks), pa.int32()),
-                "n": pa.array([*cut(n[of], n_entries), None], pa.binary()), "rest": pa.array([*cut(rest[context], n_groups), None], pa.binary()), "hot": pa.array([*[None] * (len(blocks) - 1), parts_of_hot], kind),
+                "block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket[0].as_py()] * len(blocks), pa.int32()),
+                "n": pa.array([*cut(n[of], n_entries), None], pa.binary()), "rest": pa.array([*cut(rest[context], n_groups), None], pa.binary()),
+                "own": pa.nulls(len(blocks), pa.binary()), "asked": pa.nulls(len(blocks), pa.list_(pa.int64())), "hot": pa.array([*[None] * (len(blocks) - 1), parts_of_hot], hot_kind),
             }
         )
 
@@ -298,10 +354,10 @@ def _hot_rests(parts: DataFrame, s: Settings) -> DataFrame:
     return whole.select("context", F.when(ok, rest).otherwise(0.0).alias("rest"))
 
 
-def _by_block(got: DataFrame, d: int, s: Settings, asked: DataFrame) -> DataFrame:
+def _by_block(got: DataFrame, d: int, s: Settings) -> DataFrame:
     """What the blocks know of the contexts of d words: own_d, n_d, rest_d, hot_d."""
-    own = asked.where("bucket < 0").select("block", F.col("own").alias(f"own_{d}"), "hot")
-    lists = got.where("block >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "rest"))).alias("g"))
+    own = got.where("bucket < 0").select("block", F.col("own").alias(f"own_{d}"), F.col("asked").alias("hot"))
+    lists = got.where("block >= 0 AND bucket >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "rest"))).alias("g"))
     hot = own.select("block", F.explode("hot").alias("context")).join(_hot_rests(got, s), "context").groupBy("block").agg(F.collect_list(F.struct("context", "rest")).alias(f"hot_{d}"))
     out = own.drop("hot").join(lists, "block", "left").join(hot, "block", "left")
     return c.stored_by(out.select("block", f"own_{d}", F.col("g.n").alias(f"n_{d}"), F.col("g.rest").alias(f"rest_{d}"), f"hot_{d}"), "block", f"level-{d}")
@@ -319,23 +375,22 @@ def suffix_tree_scores(
     def over(base: DataFrame, ask, schema: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in x.each_row(batches):
-                yield ask(Block(row, s))
+                yield ask(row, s)
 
         return base.mapInArrow(run, schema)
 
-    counts = x.answered(over(blocks, lambda b: b.word_request(), x.REQUEST), _add_counts, "<i8", 1, "words", _tally)
+    counts = x.answered(over(blocks, word_request, x.REQUEST), _numbered, "<i8", 1, "words", _tally)
     s.total, s.distinct = (int(v) for v in np.sum([np.zeros(2, np.int64), *(x.unplanes(r.reply, "<i8") for r in counts.where("block < 0").select("reply").toLocalIterator())], axis=0))
-    base = c.stored_by(x.joined(blocks, words_got=counts).drop("counts"), "block", "counted-blocks")
+    base = c.stored_by(over(x.joined(blocks, words_got=counts), counted, COUNTED), "block", "counted-blocks")
     c.release(counts)
     c.release(blocks)
     known = 0
     for d in range(1, depth + 1):
-        asked = c.stored(over(base, lambda b, d=d: b.ask(d), GROUPS), f"contexts-{d}")
-        if asked.where("bucket >= 0").isEmpty():
+        asked = over(base, lambda row, s, d=d: Block(row, s).ask(d), GROUPS)
+        got = c.stored(asked.groupBy("bucket").applyInArrow(_bucket(s), ANSWERS), f"tested-{d}")
+        if got.where("bucket >= 0").isEmpty():
             break
-        got = c.stored(asked.where("bucket >= 0").groupBy("bucket").applyInArrow(_bucket(s), ANSWERS), f"tested-{d}")
-        base = base.join(_by_block(got, d, s, asked).hint("shuffle_hash"), "block", "left")
-        c.release(asked)
+        base = base.join(_by_block(got, d, s).hint("shuffle_hash"), "block", "left")
         c.release(got)
         known = d
-    return over(base, lambda b: b.scores(known), SCORES)
+    return over(base, lambda row, s: Block(row, s).scores(known), SCORES)

@@ -201,6 +201,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray
     shipped = docs.sparkSession.sparkContext.broadcast(terms)  # at most max_postings numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.worker_of("toxicity")
         df, rows = np.zeros(len(shipped.value), np.int64), 0
         for batch in batches:
             for part, buf, off in c.chunks(batch):
@@ -221,6 +222,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 6000, max_postings: int = 4_000_000, k: int = 25) -> Index:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.worker_of("toxicity")
         for batch in batches:
             for part, buf, off in c.chunks(batch):
                 row, term, count = _terms(buf, off)
@@ -269,6 +271,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_postings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.worker_of("toxicity")
         index = shipped.value
         for batch in batches:
             for part, buf, off in c.chunks(batch):
@@ -285,6 +288,7 @@ def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> Data
     shipped = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c.worker_of("toxicity")
         for batch in batches:
             for part, buf, off in c.chunks(batch):
                 yield part.filter(pa.array(shipped.value.judged(buf, off)[0] < threshold))

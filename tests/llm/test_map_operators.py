@@ -116,6 +116,17 @@ def test_hashes_tell_bytes_apart():
     assert common.same_ranges(buf, s[a], s[b], size).tolist() == [raw[i][:n] == raw[j][:n] for i, j, n in zip(a, b, size.tolist())]
 
 
+def test_workers_forget_other_operators(monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    gone = []
+    common.worker_of("a", lambda: gone.append("a"))
+    common.worker_of("a", lambda: gone.append("a"))
+    assert not gone
+    common.worker_of("b")
+    common.worker_of("a", lambda: gone.append("a"))
+    assert gone == ["a"]
+
+
 def _fertility(rows, names, width=8.0, floor=0.08, short=160.0):
     """The verdicts by plain Python: measures of whole texts, lower medians on the grid."""
     own = fertility.Vocabularies(*names)

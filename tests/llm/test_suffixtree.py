@@ -20,6 +20,11 @@ def tokens(text):
     return [*re.findall("[^\x20\x09-\x0d]+", low), "<end>"]
 
 
+def cut(p):
+    """A probability with eight binary digits."""
+    return float((np.array([p], "<f4").view("<u4") & np.uint32(0xFFFF0000)).view("<f4")[0])
+
+
 def brute(docs, min_count, gain, divergence, discount, depth=9):
     """(rows, what retained contexts leave, distributions, word counts)"""
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs]
@@ -49,7 +54,7 @@ def brute(docs, min_count, gain, divergence, discount, depth=9):
             if seen < min_count or not kept:
                 continue
             left = min(1.0, max(1e-6, 1 - sum((k - discount) / seen for k in kept.values())))
-            won = sum(k * math.log((k - discount) / seen / p(ctx[1:], w)) for w, k in kept.items()) + (seen - sum(kept.values())) * math.log(left)
+            won = sum(k * math.log((k - discount) / seen / cut(p(ctx[1:], w))) for w, k in kept.items()) + (seen - sum(kept.values())) * math.log(left)
             if won >= gain * (len(kept) + 1) and won >= divergence * seen:
                 new[ctx] = left
         rest.update(new)
@@ -91,7 +96,7 @@ def test_matches_brute_force(spark, depth, hot):
 
 def test_counts_have_64_bits():
     group, big = np.array([0, 0, 1, 0]), 2**31 - 1
-    assert suffixtree._add_counts(group, 2, np.array([big, big, 5, big])).tolist() == [3 * big, 3 * big, 5, 3 * big]
+    assert suffixtree._numbered(group, 2, np.array([big, big, 5, big])).tolist() == [[3 * big, 0], [3 * big, 0], [5, 1], [3 * big, 0]]
 
 
 def test_empty_and_untrained(spark):
