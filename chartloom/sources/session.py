@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 #: Rows go to Python in batches of this many bytes, unless the session says otherwise: texts can be long.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "1m"
 #: Python workers give memory back: large arrays when they go, Arrow buffers by the same way, so that one stage's don't
 #: add up with the next one's in a worker that serves both.
 READY = "CHARTLOOM_READY"
