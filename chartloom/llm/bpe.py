@@ -20,6 +20,7 @@ returns, which holds only the columns in its schema. A vocabulary without all by
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -382,14 +383,6 @@ class Encoder:
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS_SCHEMA = SCHEMA + ", ids array<int>"
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(source: bytes) -> Encoder:
-    key = hashlib.sha256(source).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = Encoder(Vocabulary(source))
-    return _encoders[key]
 
 
 def encode_documents(docs: DataFrame, vocabulary: bytes, ids: bool = False) -> DataFrame:
@@ -397,8 +390,8 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, ids: bool = False) -> D
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: a fixed few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c.worker_of("bpe", _encoders.clear)
-        encoder = _encoder(shipped.value)
+        c.worker_of("bpe")
+        encoder = Encoder(Vocabulary(shipped.value))
         for batch in batches:
             for part, _, _ in c.chunks(batch):
                 lists = [[] for _ in range(part.num_rows)] if ids else [None] * part.num_rows
@@ -407,6 +400,9 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, ids: bool = False) -> D
                 if ids:
                     out.append(pa.array(lists, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+        del encoder  # a worker that waits for another task holds no memo
+        gc.collect()
+        c.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, IDS_SCHEMA if ids else SCHEMA)
 

@@ -101,11 +101,16 @@ def worker_of(operator: str, forget: Callable[[], None] = lambda: None) -> None:
         _kept.pop(name)()
     if others:
         gc.collect()
-        with suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
     _kept[operator] = forget
 
 
+def trim() -> None:
+    """Gives free memory of this worker back, for the time until its next task."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ---------------------------------------------------------------- buffers
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

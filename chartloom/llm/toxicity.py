@@ -69,6 +69,7 @@ def _known(buf: np.ndarray, off: np.ndarray, terms: np.ndarray) -> tuple[np.ndar
 
 def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start, start + 1, ... n of them, for each start."""
+    start, n = start.astype(np.int64), n.astype(np.int64)
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
@@ -91,7 +92,7 @@ class Index:
         rank[order] = np.arange(n)
         row = rank[row]
         often = np.bincount(term, minlength=len(terms)) * DENSE > n
-        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         full = often[term]
         self.dense = np.zeros((n, int(often.sum())), np.float32)
         self.dense[row[full], self.column[term[full]]] = w[full]
@@ -100,11 +101,11 @@ class Index:
         order = np.lexsort((row, term))
         self.example, self.w = row[order].astype(np.int32), w[order]
         key = term[order] * max(self.n_blocks, 1) + self.example // BLOCK
-        self.first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.size = np.diff(np.concatenate([self.first, [len(key)]]))
-        self.block = key[self.first] % max(self.n_blocks, 1)
+        self.first = (np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)).astype(np.int32)
+        self.size = np.diff(np.concatenate([self.first, [len(key)]])).astype(np.int32)
+        self.block = (key[self.first] % max(self.n_blocks, 1)).astype(np.int32)
         self.top = np.maximum.reduceat(self.w, self.first) if len(key) else np.zeros(0, np.float32)
-        self.lists = np.searchsorted(key[self.first] // max(self.n_blocks, 1), np.arange(len(terms) + 1))
+        self.lists = np.searchsorted(key[self.first] // max(self.n_blocks, 1), np.arange(len(terms) + 1)).astype(np.int32)
 
     def vectors(self, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, weight) of the rows' unit vectors."""
