@@ -402,9 +402,8 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, ids: bool = False) -> D
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
         del encoder  # a worker that waits for another task holds no memo
         gc.collect()
-        c.trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, IDS_SCHEMA if ids else SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(c.lean(run), IDS_SCHEMA if ids else SCHEMA)
 
 
 def vocabulary_bytes(path: str | None = None) -> bytes:

@@ -147,7 +147,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
                 keep = [i for i, s in enumerate(out) if len(s) and ids[i] is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([out[i].tobytes() for i in keep], pa.binary()), pa.array([len(out[i]) for i in keep], pa.int64())], names=["item_id", "sets", "n"])
 
-    return items.select("item_id", "text").mapInArrow(run, "item_id long, sets binary, n long")
+    return items.select("item_id", "text").mapInArrow(c.lean(run), "item_id long, sets binary, n long")
 
 
 def _blocks(items: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -191,7 +191,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, miss:
                     n = index.sizes[item]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(row, pa.int64())), pa.array(index.ids[item], pa.int64()), pa.array(shared, pa.int64()), pa.array(n, pa.int64()), pa.array(shared / n, pa.float64())], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        return docs.select("doc_id", "text").mapInArrow(c.lean(run), SCHEMA)
 
     return reduce(DataFrame.unionByName, map(search, _blocks(items)), spark.createDataFrame([], SCHEMA))
 
@@ -211,6 +211,6 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
                     keep[_verified(index, buf, off)[0]] = False
                     yield part.filter(pa.array(keep))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(c.lean(run), docs.schema)
 
     return reduce(clean, _blocks(items), docs)

@@ -172,7 +172,7 @@ def measures(docs: DataFrame, piece_model: bytes, ranks: bytes) -> DataFrame:
                 yield _measure(_own[0], part, buf, off)
 
     cols = ["doc_id", "text", *(["lang"] if "lang" in docs.columns else [])]
-    return docs.select(*cols).mapInArrow(run, MEASURED)
+    return docs.select(*cols).mapInArrow(c.lean(run), MEASURED)
 
 
 def _middle(pairs: Column) -> Column:

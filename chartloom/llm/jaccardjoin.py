@@ -164,7 +164,7 @@ def records(docs: DataFrame, sample: Sample) -> DataFrame:
                     names=["doc_id", "key", "n", "vals", "near"],
                 )
 
-    return c.stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, vals binary, near array<int>"), "records")
+    return c.stored(docs.select("doc_id", "text").mapInArrow(c.lean(run), "doc_id long, key long, n long, vals binary, near array<int>"), "records")
 
 
 def _vals(column: pa.Array) -> np.ndarray:
@@ -204,7 +204,7 @@ def root_paths(reps: DataFrame, roots: np.ndarray, positions: np.ndarray, sketch
             for root, at in zip(roots, positions):
                 yield _placed(child(np.full(len(key), root), np.full(len(key), at), vals[:, at]), key, comp, *([batch.column("sk")] if sketches else []))
 
-    return reps.select("key", "comp", "vals", *(["sk"] if sketches else [])).mapInArrow(run, PATHS + ", sk binary" * sketches)
+    return reps.select("key", "comp", "vals", *(["sk"] if sketches else [])).mapInArrow(c.lean(run), PATHS + ", sk binary" * sketches)
 
 
 def _spanning(path: np.ndarray, key: np.ndarray, comp: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +263,7 @@ def _led(rows: DataFrame, heads: DataFrame, reps: DataFrame) -> DataFrame:
     """rows (path, key, comp, sk) whose path is in heads (path, leader, leader_comp), with est, their likeness to its leader."""
     few = _few(c.stored(heads, "heads"))
     own = _few(c.stored(reps.select(F.col("key").alias("leader"), F.col("sk").alias("leader_sk")).join(few, "leader"), "leaders"), 200)
-    return rows.join(own, "path").mapInArrow(_with_leader, PATHS + ", leader long, leader_comp long, est double")
+    return rows.join(own, "path").mapInArrow(c.lean(_with_leader), PATHS + ", leader long, leader_comp long, est double")
 
 
 def _children(threshold: float):
@@ -316,14 +316,14 @@ def wave_links(reps: DataFrame, threshold: float, first_run: int, runs: int) ->
             easy = easy.unionByName(across.where("few").select("path"))
             big = c.stored(big.join(across.where("NOT few").select("path"), "path"), "large")
         easy = _few(c.stored(easy, "easy"), 16)
-        links.append(c.stored(sketched.join(easy, "path").repartition("path").sortWithinPartitions("path", "comp", "key").mapInArrow(_small, LINKS).distinct(), "links"))
+        links.append(c.stored(sketched.join(easy, "path").repartition("path").sortWithinPartitions("path", "comp", "key").mapInArrow(c.lean(_small), LINKS).distinct(), "links"))
         if not any_big or big.isEmpty():
             return links
         heads = rows.join(_few(big.select("path", F.col("leader_comp").alias("comp"))), ["path", "comp"]).groupBy("path").agg(F.min("key").alias("leader"), F.min("comp").alias("leader_comp"))
         est = c.stored(_led(sketched, heads, reps), "led")
         links.append(est.where((F.col("est") >= CUT) & (F.col("comp") != F.col("leader_comp"))).select(F.col("key").alias("u"), F.col("leader").alias("v")).distinct())
         rest = _few(c.stored(est.where(F.col("est") < SAME).select("path", "key", "comp"), "rest"))
-        rows = c.stored(reps.select("key", "vals").join(rest, "key").mapInArrow(_children(threshold), PATHS).distinct(), "paths")
+        rows = c.stored(reps.select("key", "vals").join(rest, "key").mapInArrow(c.lean(_children(threshold)), PATHS).distinct(), "paths")
         sketched = reps.select("key", "sk").join(_few(rows), "key").select("path", "key", "comp", "sk")
 
 
@@ -407,7 +407,7 @@ def classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame
     own = F.coalesce("doc_id", F.lit(NO_ID))
     first = lambda x: F.first(x).alias(x)
     reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), first("n"), first("vals"), first("near"))
-    reps = c.stored(reps.mapInArrow(_sketched, "key long, rep long, copies long, n long, vals binary, near array<int>, sk binary"), "reps")
+    reps = c.stored(reps.mapInArrow(c.lean(_sketched), "key long, rep long, copies long, n long, vals binary, near array<int>, sk binary"), "reps")
     sample_keys = [int(_keys(s, np.zeros(1, np.int64))[0]) for s in sets]
     groups = candidate_groups(reps.select("key", "vals", "sk", "near"), sample_keys, threshold, recall)
     members = c.stored(groups.join(reps.select("key", "rep", "copies", "n"), "key"), "members")
@@ -431,7 +431,7 @@ def classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame
                 yield pa.RecordBatch.from_arrays([*(part.column(n).take(take) for n in ("key", "grp", "copies", "tiles")), pa.array([h[a:b].astype("<u8").tobytes() for a, b, k in zip(starts, ends, ok) if k], pa.binary())], names=["key", "grp", "copies", "tiles", "set"])
 
     texts = docs.select(own.alias("_id"), "text").join(wanted, "_id").select("text", "key", "grp", "copies", "tiles")
-    full = c.stored(texts.mapInArrow(made, "key long, grp long, copies long, tiles int, set binary").dropDuplicates(["key"]), "sets")
+    full = c.stored(texts.mapInArrow(c.lean(made), "key long, grp long, copies long, tiles int, set binary").dropDuplicates(["key"]), "sets")
 
     n_bytes = full.agg(F.sum(F.length("set"))).first()[0] or 0
     placed = full.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
@@ -487,7 +487,7 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8, recall: float = 0
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     linked = known.select(F.col("key").alias("_jj_key"), F.col("root").alias("_jj_root"), F.col("n_links").alias("_jj_links"))
-    rows = c.stored(docs.mapInArrow(keyed, f"{names}, _jj_key long").join(linked, "_jj_key", "left"), "rows-by-class")
+    rows = c.stored(docs.mapInArrow(c.lean(keyed), f"{names}, _jj_key long").join(linked, "_jj_key", "left"), "rows-by-class")
     alone = F.coalesce("_jj_links", F.lit(0)) == 0
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
     # a task hands on one row a class, however large the class

@@ -215,7 +215,7 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray
         total = sum(np.frombuffer(v.as_py(), "<i8") for v in table.column("n"))
         return pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
-    got = {r.part: np.frombuffer(r.n, "<i8") for r in docs.select("text").mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()}  # as many numbers as terms
+    got = {r.part: np.frombuffer(r.n, "<i8") for r in docs.select("text").mapInArrow(c.lean(run), "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()}  # as many numbers as terms
     if not got:
         return 0, np.zeros(len(terms), np.int64)
     return int(got[-1][0]), np.concatenate([got[i] for i in range(RANGES)])
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 6000, max_postin
                 cut = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int64()), pa.array(np.diff(edge)), cut(term.astype("<u8")), cut(count.astype("<i8"))], names=["doc_id", "label", "n", "terms", "counts"])
 
-    sample = c.stored(examples(docs, labels, max_examples).mapInArrow(listed, "doc_id long, label long, n long, terms binary, counts binary"), "examples")
+    sample = c.stored(examples(docs, labels, max_examples).mapInArrow(c.lean(listed), "doc_id long, label long, n long, terms binary, counts binary"), "examples")
     sizes = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n").orderBy("h", "doc_id").collect()  # at most max_examples rows
     room = int((np.cumsum([r.n for r in sizes]) <= max_postings).sum())
     got = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id,) for r in sizes[:room]], "doc_id long")), "doc_id").toArrow()  # at most max_postings terms
@@ -281,7 +281,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                 kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(own), pa.array(why, kind)], names=["doc_id", "score", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(c.lean(run), SCHEMA)
 
 
 def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
@@ -294,4 +294,4 @@ def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> Data
             for part, buf, off in c.chunks(batch):
                 yield part.filter(pa.array(shipped.value.judged(buf, off)[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(c.lean(run), docs.schema)
