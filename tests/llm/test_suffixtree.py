@@ -141,3 +141,32 @@ def test_words_equal_to_polynomial_hashes(spark):
         t = {1: [x, x, 0], 2: ["c", 0], 11: [y, 0]}[r.doc_id]
         assert r.n_known == sum(words[w] > 0 for w in t) and r.train_tokens == n
         assert r.base_score == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+
+
+def test_contexts_whose_beginning_is_no_candidate(spark):
+    """What follows "a b c" counts though nothing is learnt from "b", so that "a b" is no candidate."""
+    rnd = random.Random(8)
+    docs = []
+    for i in range(1200):
+        t = []
+        for _ in range(40):
+            # independent words, but that which of x, y, z and w comes after "c" depends on the two words before it
+            w = rnd.choices("bxyzwacdefg", [6, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1])[0]
+            if w in "xyzw" and len(t) > 2 and t[-1] == "c":
+                w = ("x" if t[-3] in "bad" else "y") if t[-2] == "b" else rnd.choice("zw")
+            t.append(w)
+        docs.append((i, " ".join(t)))
+    want, rest, *_ = brute(docs, **OPTS, depth=3)
+    assert ("b",) not in rest and ("b", "b", "c") in rest
+    got = [(r.doc_id, r.score) for r in suffix_tree_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), **OPTS, depth=3).collect()]
+    for g, w in zip(sorted(got), sorted((w[0], w[6]) for w in want), strict=True):
+        assert g == (w[0], pytest.approx(w[1], rel=1e-5))
+
+
+def test_positions_move_once_for_all_lengths(spark, monkeypatch):
+    """Tables that are moved to the buckets of contexts: one, however long contexts are."""
+    moved, stored = [], suffixtree.c.stored
+    monkeypatch.setattr(suffixtree.c, "stored", lambda df, name: moved.append(name) or stored(df, name))
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    assert suffix_tree_scores(frame, **OPTS, depth=3).count() == len(corpus())
+    assert sorted(moved) == ["answers", "words"]
