@@ -1,7 +1,9 @@
 """WARC archives: written with revisit records, read back by boundary-chain verification.
 
 Writing: payloads are digested, equal ones grouped by digest and length, the row of the largest id of a
-group becomes a response record and the others revisit records without a body. Spark's text writer makes
+group becomes a response record and the others revisit records without a body. Groups are found from digests alone. A
+filter of bits of the repeated ones, of bounded size, tells most other rows apart: these are written where they are read;
+only rows that the filter lets through move with their payload, to be joined with the groups. Spark's text writer makes
 the files, its line separator being the blank lines that end a record, so commits survive lost tasks.
 
 Reading: Spark's text reader cuts the files at the magic that begins a record, wherever it stands, also
@@ -26,6 +28,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +40,8 @@ MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 NULL_ID = -(2**63)
 CELL = 1 << 20
+#: Words of 64 bits of the filter of repeated payloads: one for four of them, and at most so many (8 MB).
+MOST_WORDS = 1 << 20
 
 CANDIDATE = (
     "file string, split long, file_size long, at long, size long, next_at long, body_at long, body_size long, record_type string, page_id long,"
@@ -52,20 +57,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """A WARC file for each task; payloads of under min_revisit bytes are never revisits. Payloads are equal if their
     SHA-1, their BLAKE2b-128 and their length are."""
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = c.buffer_of(batch.column("payload"))
-            raw = memoryview(buf.tobytes())
-            cuts = [*zip(off[:-1].tolist(), off[1:].tolist())]
-            found = pa.array([_digest(raw[a:b]) for a, b in cuts], pa.string())
-            other = pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in cuts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("payload"), found, other], names=["id", "url", "payload", "digest", "other"])
-
+    spark = pages.sparkSession
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url") if url_col in pages.columns else F.lit(None).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = slim.mapInArrow(digests, "id long, url string, payload string, digest string, other binary").withColumn("size", F.octet_length("payload").cast("long"))
     # the largest id of each repeated payload; singles need no join partner
-    heads = rows.groupBy("digest", "other", "size").agg(F.max(F.coalesce("id", F.lit(NULL_ID))).alias("head"), F.count("*").alias("n")).where(f"n > 1 AND size >= {min_revisit}").drop("n")
-    rows = rows.join(heads, ["digest", "other", "size"], "left")
+    keys = slim.select("id", "payload").mapInArrow(_digests(), "id long, digest string, other binary, size long")
+    heads = keys.groupBy("digest", "other", "size").agg(F.max(F.coalesce("id", F.lit(NULL_ID))).alias("head"), F.count("*").alias("n")).where(f"n > 1 AND size >= {min_revisit}").drop("n")
+    heads = c.stored(heads, "warc-heads")
+    repeated = _filter(heads)
+    schema = "id long, url string, payload string, digest string, other binary, size long"
+    rows = slim.mapInArrow(_digests(repeated, False), schema).withColumn("head", F.lit(None).cast("long"))
+    if len(repeated):
+        rows = rows.unionByName(slim.mapInArrow(_digests(repeated, True), schema).join(heads, ["digest", "other", "size"], "left"))
     revisit = F.col("head").isNotNull() & (F.coalesce("id", F.lit(NULL_ID)) != F.col("head"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     optional = lambda name, value: F.coalesce(line(name, value), F.lit(""))
@@ -78,7 +80,56 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("head").cast("string"), F.lit(">")))).otherwise(F.lit("")),
         line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
+    with c.shuffles_dropped(spark):
+        rows.select(record.alias("value")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
+    c.release(heads)
+
+
+def _places(other: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, its bits) of the filter for some BLAKE2b digests: four bits of one word each."""
+    h = np.frombuffer(b"".join(other), "<u8").reshape(-1, 2)
+    bits = np.zeros(len(h), np.uint64)
+    for k in range(4):
+        bits |= np.uint64(1) << (h[:, 1] >> np.uint64(6 * k) & np.uint64(63))
+    return (h[:, 0] % np.uint64(words)).astype(np.int64), bits
+
+
+def _filter(heads: DataFrame) -> np.ndarray:
+    """The words of a filter that lets all repeated payloads through, and few others; none if none is repeated."""
+    n = heads.count()
+    words = min(MOST_WORDS, max(1, n // 4))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bits = _places(batch.column("other").to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    if not n:
+        return np.zeros(0, np.uint64)
+    got = heads.select("other").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _digests(repeated: np.ndarray | None = None, through: bool = False):
+    """Rows with SHA-1, BLAKE2b-128 and length of the payload; with a filter, those and their payloads that it lets through, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = c.buffer_of(batch.column("payload"))
+            raw = memoryview(buf.tobytes())
+            cuts = [*zip(off[:-1].tolist(), off[1:].tolist())]
+            other = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in cuts]
+            if repeated is not None:
+                word, bits = _places(other, max(len(repeated), 1))
+                let = repeated[word] & bits == bits if len(repeated) else np.zeros(len(word), bool)
+                at = np.flatnonzero(let == through).tolist()
+                batch, other, cuts = batch.take(pa.array(at, pa.int64())), [other[i] for i in at], [cuts[i] for i in at]
+            found = pa.array([_digest(raw[a:b]) for a, b in cuts], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *(batch.columns[1:] if repeated is not None else []), found, pa.array(other, pa.binary()), pa.array([b - a for a, b in cuts], pa.int64())], names=[*batch.schema.names[: 1 if repeated is None else None], "digest", "other", "size"])
+
+    return run
 
 
 def _parse(head: bytes) -> dict[str, str] | None:

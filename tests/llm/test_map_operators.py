@@ -218,6 +218,35 @@ def test_warc_odd_tables(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def _shuffled(spark):
+    """Bytes of shuffles that all stages so far wrote."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    there = spark._jsc.sc().statusStore().executorList(False)
+    return sum(there.apply(i).totalShuffleWrite() for i in range(there.size()))
+
+
+def test_warc_single_payloads_stay_where_they_are(spark):
+    rnd = random.Random(4)
+    rows = [(i, f"http://x/{i}", rnd.randbytes(10_000).hex()) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2).localCheckpoint()
+    before, path = _shuffled(spark), common.fresh_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    assert _shuffled(spark) - before < 200_000  # of 4 MB
+    assert {(r.page_id, r.record_type, r.payload_bytes) for r in warc.read_archives(spark, path).collect()} == {(i, "response", 20_000) for i in range(200)}
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_warc_filter_of_repeated_payloads(spark, monkeypatch, words):
+    """A filter that lets nearly everything through changes no record."""
+    monkeypatch.setattr(warc, "MOST_WORDS", words)
+    rows = [(i, None, f"page {i if i % 3 else i % 200}") for i in range(400)]
+    path, head = common.fresh_path(spark, "warc-test"), {p: i for i, _, p in rows}
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect())
+    assert 20 < sum(head[p] != i for i, _, p in rows) < 200
+    assert got == [(i, "response", None) if head[p] == i else (i, "revisit", head[p]) for i, _, p in rows]
+
+
 def test_warc_long_headers(spark):
     rows = [(i, "data:text/html," + "x" * (200_000 if i in (3, 11) else 10), f"page {i}" * 50) for i in range(20)]
     path = common.fresh_path(spark, "warc-test")
