@@ -40,7 +40,7 @@ from chartloom.llm import exchange as x
 
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x1B873593CC9E2D51)
 SALT = np.uint64(0x9E3779B97F4A7C15)
-BLOCKS = "block long, ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary, counts binary, n_tokens long"
+BLOCKS = "block long, ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary, counts binary, n_tokens long, n_words long"
 COUNTED = "block long, ids array<long>, held array<boolean>, sizes binary, tokens binary, numbers binary, counts binary"
 ASKED = "bucket int, block long, packed binary"
 #: Answers to the blocks; under block -1 the sums of a bucket's parts of hot contexts.
@@ -53,7 +53,7 @@ NO_CONTEXT = np.float32(1)
 OF_HOT = [HASH, HASH, WORD, COUNT, BELOW]
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ALPHA = 0.1
-BLOCK_BYTES = 7 << 19
+BLOCK_BYTES = 5 << 20
 
 
 def _names(text: str) -> list[str]:
@@ -99,7 +99,7 @@ def token_blocks(docs: DataFrame, modulus: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         one(task << 32 | k, pa.int64()), one(ids.to_pylist(), pa.list_(pa.int64())), one(held.tolist(), pa.list_(pa.bool_())), one(sizes.astype("<i8").tobytes(), pa.binary()),
-                        one(x.planes(words), pa.binary()), one(x.planes(tokens.astype("<i4")), pa.binary()), one(x.planes(counts.astype("<i8")), pa.binary()), one(len(h), pa.int64()),
+                        one(x.planes(words), pa.binary()), one(x.planes(tokens.astype("<i4")), pa.binary()), one(x.planes(counts.astype("<i8")), pa.binary()), one(len(h), pa.int64()), one(len(words), pa.int64()),
                     ],
                     names=_names(BLOCKS),
                 )
@@ -134,6 +134,7 @@ def unpacked(messages: list[bytes], kinds: list[tuple[str, int]], more: str = "<
         behind.append(np.ascontiguousarray(raw[width * n :].reshape(np.dtype(more).itemsize, -1).T).view(more).reshape(-1))
     sizes = np.array([p.shape[1] for p in parts])
     raw, out, at = np.concatenate(parts, axis=1), [], 0
+    del parts
     for k, w in kinds:
         column = np.zeros((raw.shape[1], np.dtype(k).itemsize), np.uint8)
         column[:, :w] = raw[at : at + w].T
@@ -169,7 +170,9 @@ def summed(columns: list[np.ndarray], edges: np.ndarray, bits: list[int]) -> lis
     """The inverse of steps(), of columns of which `bits` bits are there."""
     new, out = np.zeros(len(columns[0]), bool), []
     new[edges] = True
-    for v, n in zip(columns, bits):
+    columns = columns[::-1]
+    for n in bits:
+        v = columns.pop()
         first, total = np.flatnonzero(new), np.cumsum(v)
         v = (total - (total[first] - v[first])[np.cumsum(new) - 1]) & np.uint64((1 << n) - 1)
         out.append(v)
@@ -225,8 +228,9 @@ def longer_hash(hashes: np.ndarray, word: np.ndarray, d: int) -> np.ndarray:
 
 
 class Settings:
-    def __init__(self, min_count: int, gain: float, divergence: float, discount: float, hot: int, buckets: int):
-        self.min_count, self.gain, self.divergence, self.discount, self.hot, self.buckets = min_count, gain, divergence, discount, hot, buckets
+    def __init__(self, min_count: int, gain: float, divergence: float, discount: float, hot: int, buckets: int, word_buckets: int, hot_buckets: int):
+        self.min_count, self.gain, self.divergence, self.discount, self.hot = min_count, gain, divergence, discount, hot
+        self.buckets, self.word_buckets, self.hot_buckets = buckets, word_buckets, hot_buckets
         self.total = self.distinct = self.most = 0
         #: for each length that has hot contexts: (their hashes in order, what each leaves to its parent, or 0)
         self.rests: list[tuple[np.ndarray, np.ndarray]] = []
@@ -247,7 +251,7 @@ def _word_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def word_request(row: dict, s: Settings) -> pa.RecordBatch:
     keys, order = _word_keys(row)
-    return x.requests(row["block"].as_py(), keys, x.unplanes(row["counts"].as_py(), "<i8")[order], s.buckets)
+    return x.requests(row["block"].as_py(), keys, x.unplanes(row["counts"].as_py(), "<i8")[order], s.word_buckets)
 
 
 def counted(row: dict, s: Settings) -> pa.RecordBatch:
@@ -255,7 +259,7 @@ def counted(row: dict, s: Settings) -> pa.RecordBatch:
     keys, order = _word_keys(row)
     got = np.concatenate([x.unplanes(p, "<i8", 2) for p in row["words_got"].as_py()])
     count, number = np.empty(len(keys), "<i8"), np.empty(len(keys), "<u8")
-    count[order], number[order] = got[:, 0], got[:, 1] * s.buckets + x.bucket_of(keys, s.buckets)
+    count[order], number[order] = got[:, 0], got[:, 1] * s.word_buckets + x.bucket_of(keys, s.word_buckets)
     by = np.append(np.argsort(number[:-1], kind="stable"), len(number) - 1)  # the begin mark stays last
     place = np.empty(len(by), "<i4")
     place[by] = np.arange(len(by))
@@ -322,7 +326,7 @@ class Block:
         self.example = at[first]
         parts = -(-self.seen[self.example] // s.hot)
         part = c.mix(self.words[self.token[self.example]]) % np.maximum(parts, 1).astype(np.uint64)
-        to = x.bucket_of(c.mix(self.hashes(self.example, d) ^ (part + np.uint64(1)) * SALT), s.buckets)
+        to = x.bucket_of(c.mix(self.hashes(self.example, d) ^ (part + np.uint64(1)) * SALT), s.hot_buckets)
         self.order = ordered(to)
         self.to = to[self.order]
 
@@ -450,8 +454,9 @@ def _bucket(s: Settings, depth: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         columns, sizes, given = unpacked(table.column("packed").to_pylist(), of_all(depth))
-        *before, words = summed(columns[: depth + 1], np.cumsum(sizes) - sizes, [48] * (depth + 1))
         counts, length = columns[depth + 1], columns[depth + 2]
+        *before, words = summed(columns[: depth + 1], np.cumsum(sizes) - sizes, [48] * (depth + 1))
+        del columns
         p = given[sources(np.repeat(np.arange(len(sizes)), sizes), words, length)[1]].astype(float)
         grows, said, hashes = np.ones(len(p), bool), np.zeros(len(p), bool), None
         for d in range(1, depth + 1):
@@ -502,8 +507,10 @@ def suffix_tree_scores(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     blocks = token_blocks(docs, modulus)
-    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    s = Settings(min_count, gain, divergence, discount, hot, x.n_buckets(spark, 6 * tokens))
+    tokens, words = (n or 0 for n in blocks.agg(F.sum("n_tokens"), F.sum("n_words")).first())
+    # as few buckets as what they get allows, since each has a message from each block: blocks' distinct words, positions, and a
+    # block's entries behind hot contexts, of which many are equal
+    s = Settings(min_count, gain, divergence, discount, hot, x.n_buckets(spark, 5 * tokens), x.n_buckets(spark, 8 * words), x.n_buckets(spark, tokens))
 
     def over(base: DataFrame, ask, schema: str) -> DataFrame:
         @c.lean
