@@ -12,7 +12,8 @@ Counts are gathered by hash across blocks of documents: a round for words (excha
 lengths. All contexts that end with the same word go to one bucket, which has with them whatever decides on them: it adds up
 and tests length after length. So a position moves once, as its `depth` words before and its own, up to the first
 word that occurs under `min_count` times, and comes back as its word's log probability. What moves grows with the
-tokens, however many contexts are retained. A context that occurs over `hot` times (a frequent word) is dealt to as many parts as keep a part at `hot`, by next word;
+tokens, however many contexts are retained; half of the buckets take their turn after the others, when the messages to these
+are gone from the disks. A context that occurs over `hot` times (a frequent word) is dealt to as many parts as keep a part at `hot`, by next word;
 parts' sums meet in an aggregation, and the at most N / `hot` contexts of a length go to the driver. Positions behind hot
 contexts go to the bucket of the first longer context that isn't hot. Contexts stop being tested where none can be
 retained: one wins at most what its entries cost below, the sum of count * log(1 / probability), and needs 2 * `gain`.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,8 @@ OF_HOT = [HASH, HASH, WORD, COUNT, BELOW]
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ALPHA = 0.1
 BLOCK_BYTES = 5 << 20
+#: Buckets get their messages in so many turns; only one turn's are on disk at a time.
+TURNS = 2
 
 
 def _names(text: str) -> list[str]:
@@ -344,24 +348,29 @@ class Block:
         e, (edges, ends) = self.example[self.order], runs(self.to)
         return self.messages([*steps([self.hashes(e, d), self.seen[e].astype("<u8"), self.words[self.token[e]]], edges), self.counts(self.at), self.below[e]], OF_HOT, edges, ends)
 
-    def entries(self) -> np.ndarray:
-        """The positions that some context may speak for; their entries (words before, next word) in the order of their buckets."""
+    def entries(self, turn: int | None = None) -> np.ndarray:
+        """The positions that some context may speak for, of one turn's buckets or of all; their entries (words before, next
+        word) in the order of their buckets."""
         self.learn()
         own = np.concatenate([self.before, np.full((1, len(self.token)), -1, np.int32)])[self.length, np.arange(len(self.token))]
         at = np.flatnonzero(self.alive & (own >= 0))
-        first, self.of = rows_of([*(b[at] + 1 for b in self.before), self.token[at]], len(self.words) + 1)
-        e = self.example = at[first]
-        key, hashes, length = first_hash(self.words[self.before[0][e]]), first_hash(self.words[self.before[0][e]]), self.length[e]
+        length, hashes = self.length[at], first_hash(self.words[self.before[0][at]])
+        key = hashes
         for d in range(2, int(length.max(initial=0)) + 2):
-            hashes = longer_hash(hashes, self.words[self.before[d - 1][e]], d)
+            hashes = longer_hash(hashes, self.words[self.before[d - 1][at]], d)
             key = np.where(length == d - 1, hashes, key)
         to = x.bucket_of(key, self.s.buckets)
+        if turn is not None:
+            now = to % TURNS == turn
+            at, to = at[now], to[now]
+        first, self.of = rows_of([*(b[at] + 1 for b in self.before), self.token[at]], len(self.words) + 1)
+        self.example, to = at[first], to[first]
         self.order = ordered(to)
         self.to = to[self.order]
         return at
 
-    def ask(self) -> pa.RecordBatch:
-        at = self.entries()
+    def ask(self, turn: int) -> pa.RecordBatch:
+        at = self.entries(turn)
         e, (edges, ends) = self.example[self.order], runs(self.to)
         words = [np.where(b[e] >= 0, self.words[b[e]] + np.uint64(1), np.uint64(0)) for b in self.before]
         message = np.repeat(np.arange(len(edges)), ends - edges)
@@ -533,5 +542,6 @@ def suffix_tree_scores(
         hashes, rests, s.most = _hot_rests(got, s)
         s.rests.append((hashes, rests))
         base = x.joined(base, **{f"hot_{d}": got})
-    answers = c.stored(over(base, lambda row, s: Block(row, s, depth).ask(), ASKED).groupBy("bucket").applyInArrow(_bucket(s, depth), ANSWERS), "answers")
+    turns = [c.stored(over(base, lambda row, s, k=k: Block(row, s, depth).ask(k), ASKED).groupBy("bucket").applyInArrow(_bucket(s, depth), ANSWERS), f"answers-{k}") for k in range(TURNS)]
+    answers = reduce(DataFrame.unionByName, turns)
     return over(x.joined(base, answers=answers), lambda row, s: Block(row, s, depth).scores(), SCORES)

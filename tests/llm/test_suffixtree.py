@@ -164,9 +164,9 @@ def test_contexts_whose_beginning_is_no_candidate(spark):
 
 
 def test_positions_move_once_for_all_lengths(spark, monkeypatch):
-    """Tables that are moved to the buckets of contexts: one, however long contexts are."""
+    """Tables that are moved to the buckets of contexts: one for each turn of the buckets, however long contexts are."""
     moved, stored = [], suffixtree.c.stored
     monkeypatch.setattr(suffixtree.c, "stored", lambda df, name: moved.append(name) or stored(df, name))
     frame = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
     assert suffix_tree_scores(frame, **OPTS, depth=3).count() == len(corpus())
-    assert sorted(moved) == ["answers", "words"]
+    assert sorted(moved) == [*(f"answers-{k}" for k in range(suffixtree.TURNS)), "words"]
