@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from chartloom.functions import fixed
 from chartloom.functions.similarity import indel_ratio, token_set_ratio, token_sort_ratio
 from chartloom.functions.text import code_key, drug_string, folded, lower_squashed
-from chartloom.operators.linking import by_margin, drugs, exact_then_fuzzy, nearest, to_ingredients, token_candidates
+from chartloom.operators.linking import by_margin, drugs, exact_then_fuzzy, nearest_codes, to_ingredients, token_candidates
 
 BACKENDS = {"fuzzy": "fuzzy", "rapid": "fuzzy", "rapidfuzz": "fuzzy", "dense": "dense", "sapbert": "dense"}
 KINDS = {"drug": "drug", "thuoc": "drug", "thuốc": "drug", "rxnorm": "drug", "rx": "drug", "diagnosis": "diagnosis", "icd": "diagnosis", "disease": "diagnosis", "benh": "diagnosis", "bệnh": "diagnosis", "chan_doan": "diagnosis", "chẩn_đoán": "diagnosis"}
@@ -41,10 +41,7 @@ def fuzzy_links(mentions: DataFrame, names: DataFrame, margin: float = fixed.FUZ
 def dense_links(mentions: DataFrame, names: DataFrame, margin: float = fixed.DENSE_MARGIN, least: float = fixed.DENSE_MIN) -> DataFrame:
     """(mention, code, score, rank): the two best codes by cosine under the same rule. mentions: mention, embedding; names:
     name_id, code, embedding. A code has its best name's score."""
-    q = mentions.select(F.col("mention").alias("id"), "embedding")
-    n = names.groupBy("code").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # names of one code can take as many places
-    top = nearest(q, names.select(F.col("name_id").alias("id"), "embedding"), 2 * n).join(names.select(F.col("name_id").alias("id"), "code"), "id")
-    best = top.groupBy(F.col("q").alias("mention"), "code").agg(F.max("score").alias("score"))
+    best = nearest_codes(mentions.select(F.col("mention").alias("id"), "embedding"), names, 2).withColumnRenamed("q", "mention")
     return by_margin(best, margin, least)
 
 
