@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -61,6 +66,124 @@ def islands(words: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("po
     return k.groupBy(key, "island").agg(F.first("kind").alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words")).drop("island")
 
 
+class _Owned:
+    """The atoms of a batch of texts with the span that owns each: all texts of the batch at once, positions set apart by text."""
+
+    def __init__(self, texts: pa.Array, listed: pa.Array, pattern: str):
+        import regex
+
+        find = regex.compile(pattern).finditer
+        places = [[m.span() for m in find(t)] if t is not None else [] for t in texts.to_pylist()]
+        count = np.fromiter(map(len, places), np.int64, len(places))
+        at = np.fromiter(chain.from_iterable(chain.from_iterable(places)), np.int64, 2 * int(count.sum())).reshape(-1, 2)
+        self.texts, self.places, self.count, self.start, self.end = texts, places, count, at[:, 0], at[:, 1]
+        self.text = np.repeat(np.arange(len(count)), count)
+        size = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+        idx, lo, hi, self.label = pc.list_flatten(listed).flatten()
+        there = pc.and_(pc.is_valid(idx), pc.fill_null(pc.less(lo, hi), False)).to_numpy(zero_copy_only=False)
+        idx, lo, hi = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (idx, lo, hi))
+        of = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((idx, lo, of))
+        order = order[there[order]]
+        idx, lo, hi = idx[order], (of[order] << 32) + lo[order], (of[order] << 32) + hi[order]
+        a, b = (self.text << 32) + self.start, (self.text << 32) + self.end
+        first = np.searchsorted(np.maximum.accumulate(hi), a, "right")
+        n = np.maximum(np.searchsorted(lo, b, "left") - first, 0)
+        own, self.overlap = np.full(len(a), -1), np.zeros(len(a), np.int64)
+        total = np.cumsum(n)
+        begin = 0
+        while begin < len(n):  # a bounded number of pairs at a time
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] - n[begin] + PAIRS_AT_ONCE, "right")))
+            m = n[begin:end]
+            word = np.repeat(np.arange(begin, end), m)
+            span = np.arange(len(word)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[begin:end], m)
+            common = np.minimum(b[word], hi[span]) - np.maximum(a[word], lo[span])
+            word, span, common = (x[common > 0] for x in (word, span, common))
+            best = np.lexsort((idx[span], -common, word)) if (m > 1).any() else np.arange(len(word))
+            best = best[np.diff(word[best], prepend=-1) != 0]
+            own[word[best]], self.overlap[word[best]] = span[best], common[best]
+            begin = end
+        self.has = own >= 0
+        self.owner = np.zeros(len(a), np.int64) if not len(idx) else idx[own]
+        self.span = np.full(len(a), -1) if not len(idx) else np.where(self.has, order[own], -1)
+        # spans of one text with one idx are one owner
+        same = np.unique(np.stack([of[order], idx]), axis=1, return_inverse=True)[1].reshape(-1)
+        group = np.zeros(len(a), np.int64) if not len(idx) else same[own]
+        self.opens, self.broken = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        place = np.flatnonzero(self.has)
+        if len(place):
+            least, most = np.zeros((2, len(idx)), np.int64)
+            most[group[place]], least[group[place[::-1]]] = place, place[::-1]
+            much = np.bincount(group[place], minlength=len(idx))
+            self.opens[place] = least[group[place]] == place
+            self.broken[place] = (most - least + 1 != much)[group[place]]
+
+    def lists(self, fields: dict[str, pa.Array], count: np.ndarray) -> pa.ListArray:
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+    def words(self, surface: bool) -> pa.ListArray:
+        whole = lambda x, none=None: pa.array(x.astype(np.int32), mask=none)
+        pos = np.arange(len(self.start)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        text = [t[a:b] for t, at in zip(self.texts.to_pylist(), self.places) for a, b in at] if surface else [""] * len(pos)
+        labelled = self.has & self.known()
+        label = pc.if_else(pa.array(labelled), pc.binary_join_element_wise(pc.if_else(pa.array(self.opens), "B", "I"), self.labels(), "-"), "O")
+        fields = {"pos": whole(pos), "surface": pa.array(text, pa.string()), "start": whole(self.start), "end": whole(self.end), "owner": whole(self.owner, ~self.has), "overlap": whole(self.overlap, ~self.has)}
+        return self.lists(fields | {"label": label, "broken": pa.array(labelled & self.broken)}, self.count)
+
+    def labels(self) -> pa.Array:
+        return self.label.take(pa.array(self.span, mask=self.span < 0))
+
+    def known(self) -> np.ndarray:
+        return pc.is_valid(self.labels()).to_numpy(zero_copy_only=False)
+
+    def islands(self) -> pa.ListArray:
+        kind = pc.fill_null(pc.index_in(self.label, value_set=pc.unique(self.label.drop_null())), -1).to_numpy(zero_copy_only=False)
+        kind = np.where(self.span < 0, -1, kind[self.span]) if len(kind) else np.full(len(self.span), -1)
+        goes_on = ~self.opens & (np.diff(self.text, prepend=-1) == 0) & (kind == np.concatenate([[-1], kind[:-1]]))
+        some = kind >= 0
+        first = np.flatnonzero(some & ~goes_on)
+        group = (np.cumsum(some & ~goes_on) - 1)[some]
+        last = np.zeros(len(first), np.int64)
+        last[group] = np.flatnonzero(some)
+        fields = {"kind": self.labels().take(pa.array(first)), "start": pa.array(self.start[first].astype(np.int32)), "end": pa.array(self.end[last].astype(np.int32)), "n_words": pa.array(np.bincount(group, minlength=len(first)))}
+        return self.lists(fields, np.bincount(self.text[first], minlength=len(self.count)))
+
+
+#: Pairs of words and spans that a task holds at once.
+PAIRS_AT_ONCE = 1 << 21
+WORDS = "array<struct<pos:int,surface:string,start:int,end:int,owner:int,overlap:int,label:string,broken:boolean>>"
+ISLANDS = "array<struct<kind:string,start:int,end:int,n_words:long>>"
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with _s, the spans of each text: texts move once, and no word does."""
+    label = F.col("label").cast("string") if "label" in spans.columns else F.lit(None).cast("string")
+    listed = spans.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), label.alias("label"))).alias("_s"))
+    return docs.select(key, text).join(listed, key, "left")
+
+
+def labelled_atoms(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = fixed.ATOM, surface: bool = True) -> DataFrame:
+    """(key, pos, surface, start, end, owner, overlap, label, broken): what owners() and bio() give for the atoms of texts, a text at a time: its
+    words are found and labelled where it is. spans: key, idx, start, end, and label if there are any. surface: False leaves these empty."""
+
+    @F.arrow_udf(WORDS)
+    def run(texts: pa.Array, listed: pa.Array) -> pa.Array:
+        return _Owned(texts, listed, pattern).words(surface)
+
+    return _with_spans(docs, spans, key, text).select(key, F.explode(run(F.col(text), F.col("_s"))).alias("w")).select(key, "w.*")
+
+
+def atom_islands(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = fixed.ATOM) -> DataFrame:
+    """(key, kind, start, end, n_words): islands() of labelled_atoms()."""
+
+    @F.arrow_udf(ISLANDS)
+    def run(texts: pa.Array, listed: pa.Array) -> pa.Array:
+        return _Owned(texts, listed, pattern).islands()
+
+    return _with_spans(docs, spans, key, text).select(key, F.explode(run(F.col(text), F.col("_s"))).alias("w")).select(key, "w.*")
+
+
 def concept_lines(rows: DataFrame, key: str = "file", kept: list[str] | None = None) -> DataFrame:
     """(key, text, kind, first, last): the words of each BIO group, joined by blanks, with its first and last line number.
 

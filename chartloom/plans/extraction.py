@@ -37,8 +37,7 @@ def training_words(docs: DataFrame, annotated: DataFrame) -> DataFrame:
     """Words of documents labelled by the spans that own them: doc_id, pos, word, label, broken."""
     names = {v: k for k, v in fixed.LABEL_TYPES.items()}
     label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    owned = spans.owners(words.atoms(docs.select("doc_id", "text")), annotated)
-    return spans.bio(owned, annotated.select("doc_id", "idx", label[F.col("type")].alias("label"))).select("doc_id", "pos", F.col("surface").alias("word"), "start", "end", "label", "broken")
+    return spans.labelled_atoms(docs, annotated.withColumn("label", label[F.col("type")])).select("doc_id", "pos", F.col("surface").alias("word"), "start", "end", "label", "broken")
 
 
 def keyword_training(docs: DataFrame, keywords: DataFrame, segment: Callable[[str], list[str]] | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 import math
 import random
 
-from chartloom.operators import linkers, linking
+from chartloom.operators import linkers, linking, spans, words
 
 
 def _plan(df):
@@ -50,3 +50,20 @@ def test_dense_links_take_a_code_by_its_best_name(spark):
         for n, (c, s) in enumerate(sorted(best.items(), key=lambda t: (-t[1], t[0]))[:2]):
             assert got[f"m{i}", n + 1] == (c, round(s, 9))
     assert linkers.dense_links(mentions.limit(0), table).count() == linkers.dense_links(mentions, table.limit(0)).count() == 0
+
+
+def test_atoms_are_labelled_where_their_text_is(spark):
+    rnd = random.Random(7)
+    docs = [(d, " ".join("ab. c"[: rnd.randint(1, 5)] for _ in range(rnd.randint(0, 30)))) for d in range(40)] + [(40, None), (41, ""), (42, "no spans here"), (None, "no key")]
+    marks = [(d, i, s := rnd.randint(0, 60), s + rnd.randint(0, 25), rnd.choice(["A", "B", None])) for d in range(41) for i in range(rnd.randint(0, 8))] + [(None, 0, 0, 3, "A"), (42, 0, None, 5, "A")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    s = spark.createDataFrame(marks, "doc_id long, idx int, start int, end int, label string").repartition(3)
+    slow = spans.bio(spans.owners(words.atoms(d), s), s.select("doc_id", "idx", "label"))
+    columns = ["doc_id", "pos", "surface", "start", "end", "owner", "overlap", "label", "broken"]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    fast = spans.labelled_atoms(d, s)
+    assert rows(fast.select(columns)) == rows(slow.select(columns))
+    kinds = ["doc_id", "kind", "start", "end", "n_words"]
+    assert rows(spans.atom_islands(d, s).select(kinds)) == rows(spans.islands(slow).select(kinds))
+    assert "Window" not in _plan(spans.atom_islands(d, s)) and _plan(fast).count("Exchange") <= _plan(slow).count("Exchange") // 2
+    assert spans.labelled_atoms(d.limit(0), s).count() == spans.atom_islands(d, s.limit(0)).count() == 0
