@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 import os
-from functools import reduce
+import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -19,22 +20,34 @@ OPEN, CLOSE = "〔", "〕"
 MOST_WEIGHTS = 100_000
 
 
-_EMPTY = "array<struct<type:string,text:string,start:int,end:int,extras:array<string>>>"
+_UNWRAPPED = "struct<text:string,spans:array<struct<type:string,text:string,start:int,end:int,extras:array<string>>>>"
 
 
 def _unwrap(clean: Column, field_mark: str) -> Column:
-    """struct<text, spans>: marks 〔KIND|words|...〕 replaced by their words, trimmed, with where these then stand."""
-    parts = F.regexp_extract_all(clean, F.lit(rf"({field_mark}|(?:(?!{field_mark})[\s\S])+)"), F.lit(1))
-    fields = lambda p: F.transform(F.split(F.substr(p, F.lit(2), F.length(p) - 2), r"\|"), lambda f: F.trim(f))
-    is_mark = lambda p: p.rlike(rf"^{field_mark}$")
+    """struct<text, spans>: marks 〔KIND|words|...〕 replaced by their words, trimmed, with where these then stand; one pass a text."""
 
-    def step(a: Column, p: Column) -> Column:
-        surface = F.when(is_mark(p), F.get(fields(p), F.lit(1))).otherwise(F.regexp_replace(p, f"[{OPEN}{CLOSE}]", ""))
-        start = F.length(a["text"])
-        span = F.struct(F.get(fields(p), F.lit(0)).alias("type"), surface.alias("text"), start.alias("start"), (start + F.length(surface)).alias("end"), F.slice(fields(p), 3, 100).alias("extras"))
-        return F.struct(F.concat(a["text"], surface).alias("text"), F.when(is_mark(p) & (surface != ""), F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+    @F.arrow_udf(_UNWRAPPED)
+    def run(texts: pa.Array) -> pa.Array:
+        find, broken = re.compile(field_mark).finditer, str.maketrans("", "", OPEN + CLOSE)
+        span = pa.struct([("type", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("extras", pa.list_(pa.string()))])
+        kind = pa.struct([("text", pa.string()), ("spans", pa.list_(span))])
 
-    return F.aggregate(parts, F.struct(F.lit("").alias("text"), F.array().cast(_EMPTY).alias("spans")), step)
+        def of(t: str | None) -> dict | None:
+            if t is None:
+                return None
+            parts, spans, at, done = [], [], 0, 0
+            for m in find(t):
+                own, words, *extras = [f.strip(" ") for f in m[0][1:-1].split("|")]
+                plain = t[done : m.start()].translate(broken)
+                parts += [plain, words]
+                at, done = at + len(plain) + len(words), m.end()
+                if words:
+                    spans.append({"type": own, "text": words, "start": at - len(words), "end": at, "extras": extras})
+            return {"text": "".join([*parts, t[done:].translate(broken)]), "spans": spans}
+
+        return pa.array(list(map(of, texts.to_pylist())), kind)
+
+    return run(clean)
 
 
 def unwrapped(docs: DataFrame, key: str = "doc_id", aliases: dict[str, str] | None = None, allowed: list[str] | None = None) -> DataFrame:
@@ -75,12 +88,12 @@ def hand_marked(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFr
     takes = {"flags": F.col("kind").isin(fixed.ASSERTION_TYPES), "codes": F.col("kind").isin(fixed.CODEABLE_TYPES)}
     own = lambda x: F.when(takes[x], F.array_sort(F.array_distinct(x))).otherwise(F.array().cast("array<string>"))
     spans = s.where("kind IS NOT NULL").select(key, "idx", "text", F.col("kind").alias("type"), own("codes").alias("candidates"), own("flags").alias("assertions"), "start", "end")
-    told = lambda where, why, about: s.where(where).select(key, "idx", F.lit(why).alias("reason"), about.alias("about"))
-    errors = [
+    told = lambda where, why, about: F.when(where, F.struct(F.lit(why).alias("reason"), about.alias("about")))
+    errors = F.array(
         told(F.col("kind").isNull(), "kind", F.col("type")), told(F.col("kind").isNotNull() & (F.size("wrong") > 0), "assertion", F.array_join("wrong", ",")),
         told((F.size("flags") > 0) & ~takes["flags"], "takes no assertion", F.col("kind")), told((F.size("codes") > 0) & ~takes["codes"], "takes no code", F.col("kind")),
-    ]
-    return spans, reduce(DataFrame.unionByName, errors)
+    )
+    return spans, s.select(key, "idx", F.explode(F.array_compact(errors)).alias("e")).select(key, "idx", "e.*")
 
 
 def compiled(marked: DataFrame, originals: DataFrame, key: str = "doc_id") -> DataFrame:

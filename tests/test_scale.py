@@ -3,7 +3,7 @@
 import math
 import random
 
-from chartloom.operators import linkers, linking, spans, words
+from chartloom.operators import corpus, linkers, linking, spans, words
 
 
 def _plan(df):
@@ -67,3 +67,13 @@ def test_atoms_are_labelled_where_their_text_is(spark):
     assert rows(spans.atom_islands(d, s).select(kinds)) == rows(spans.islands(slow).select(kinds))
     assert "Window" not in _plan(spans.atom_islands(d, s)) and _plan(fast).count("Exchange") <= _plan(slow).count("Exchange") // 2
     assert spans.labelled_atoms(d.limit(0), s).count() == spans.atom_islands(d, s.limit(0)).count() == 0
+
+
+def test_hand_marks_are_read_once_for_all_errors(spark):
+    many = ",".join(f"c{i}" for i in range(3)) + "|" + "|".join(f"d{i}" for i in range(150))
+    texts = [f"a 〔dx| x |{many}, isOdd〕 b〕 〔", "〔NO|y〕〔TEST|z|isFamily|Q1〕", None, "", "〔DX| 〕.\n〔DRUG|w〕"]
+    found, errors = corpus.hand_marked(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert "Union" not in _plan(errors)
+    got = {(r.doc_id, r.idx): (r.text, r.type, len(r.candidates), r.start, r.end) for r in found.collect()}
+    assert got == {(0, 0): ("x", "CHẨN_ĐOÁN", 153, 2, 3), (1, 1): ("z", "TÊN_XÉT_NGHIỆM", 0, 1, 2), (4, 0): ("w", "THUỐC", 0, 2, 3)}
+    assert {(r.doc_id, r.idx, r.reason, r.about) for r in errors.collect()} == {(0, 0, "assertion", "isOdd"), (1, 0, "kind", "NO"), (1, 1, "takes no assertion", "TÊN_XÉT_NGHIỆM"), (1, 1, "takes no code", "TÊN_XÉT_NGHIỆM")}
